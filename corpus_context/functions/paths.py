@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from corpus_context.functions.util import col_of
 
-_EMPTY = F.array().cast("array<string>")
+def _empty():
+    return F.array().cast("array<string>")
 
 
 def normalize_path(p) -> Column:
@@ -38,7 +39,7 @@ def normalize_path(p) -> Column:
             .otherwise(acc)
         )
 
-    parts = F.aggregate(F.split(p, "/"), _EMPTY, step)
+    parts = F.aggregate(F.split(p, "/"), _empty(), step)
     out = F.concat(lead, F.array_join(parts, "/"))
     return F.replace(F.when(out == "", F.lit(".")).otherwise(out), F.lit("\\"), F.lit("/"))
 
@@ -77,33 +78,44 @@ def dirname(p) -> Column:
     return F.when(cut < 0, F.lit("")).when(cut == 0, F.lit("/")).otherwise(F.substring(p, 1, cut))
 
 
+def slash_count(p) -> Column:
+    p = col_of(p)
+    return F.length(p) - F.length(F.replace(p, F.lit("/"), F.lit("")))
+
+
+def depth_below(p, root) -> Column:
+    """Number of components of p below the root (0 for the root itself)."""
+    root = col_of(root)
+    rs = F.when(root.endswith("/"), slash_count(root) - 1).otherwise(slash_count(root))
+    return F.when(col_of(p) == root, F.lit(0)).otherwise(slash_count(p) - rs)
+
+
 def rel_components(p, root) -> Column:
     """Components of the path below the root (empty for the root itself)."""
     rel = to_relative(p, root)
-    return F.when(rel == ".", _EMPTY).otherwise(F.split(rel, "/"))
+    return F.when(rel == ".", _empty()).otherwise(F.split(rel, "/"))
 
 
 def dir_components(p, root) -> Column:
     """Directory components below the root (the file name excluded)."""
     comps = rel_components(p, root)
     n = F.size(comps)
-    return F.when(n <= 1, _EMPTY).otherwise(F.slice(comps, 1, n - 1))
+    return F.when(n <= 1, _empty()).otherwise(F.slice(comps, 1, n - 1))
 
 
 def ancestors(p, root) -> Column:
     """All ancestor directories of p from the root (included) down to its parent.
 
-    ``sequence(0, -1)`` would descend, so a path without parents below the root
-    gets only the root.
+    The k-th ancestor is the prefix of p before its (root slashes + 1 + k)-th '/',
+    one ``substring_index`` per ancestor. ``sequence(0, -1)`` would descend, so
+    the root itself (depth 0) gets no ancestors.
     """
     p, root = col_of(p), col_of(root)
-    dcs = dir_components(p, root)
-    n = F.size(dcs)
-    sub = F.transform(
-        F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-        lambda i: F.concat(_root_prefix(root), F.array_join(F.slice(dcs, 1, i), "/")),
-    )
-    return F.when(n == 0, F.array(root)).otherwise(F.concat(F.array(root), sub))
+    d = depth_below(p, root)
+    rs = F.when(root.endswith("/"), slash_count(root) - 1).otherwise(slash_count(root))
+    return F.when(d <= 0, _empty()).otherwise(
+        F.transform(F.sequence(F.lit(0), F.greatest(d - 1, F.lit(0))),
+                    lambda i: F.when(i == 0, root).otherwise(F.call_function("substring_index", p, F.lit("/"), (rs + 1 + i).cast("int")))))
 
 
 def extension(p) -> Column:

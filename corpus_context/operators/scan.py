@@ -73,10 +73,7 @@ def corpus_tokens(files: DataFrame, estimator="chars4", ignore=None, max_bytes:
     est = TK.estimator(estimator)
     kept = _kept(files, ignore)
     strategy = R.token_strategy("path", "size")
-    skipped = kept.where(F.col("size") > R.SKIP_LIMIT).select("root", "path", "size").unionByName(
-        kept.where(F.col("size") <= R.SKIP_LIMIT).where(R.skip_pattern_reason("path").isNotNull())
-        .select("root", "path", "size"))
-    skipped = skipped.select(
+    skipped = kept.where((F.col("size") > R.SKIP_LIMIT) | R.skip_pattern_reason("path").isNotNull()).select(
         "root", "path", F.lit(False).alias("is_dir"), F.lit(True).alias("is_valid"),
         R.skip_reason("path", "size").alias("reason"), F.lit(0).cast("long").alias("token_count"),
         F.lit("skip").alias("strategy"))

@@ -100,6 +100,8 @@ def with_views(body: str, *names: str) -> str:
         return body
     ctes = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in order)
     b = body.lstrip()
+    if b[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes},\n{b[15:]}"
     if b[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{b[5:]}"
     return f"WITH {ctes}\n{b}"
