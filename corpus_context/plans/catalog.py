@@ -9,6 +9,7 @@ from corpus_context.plans.registry import QUERIES
 _MODULES = [
     "corpus_context.plans.q_scan",
     "corpus_context.plans.q_pack",
+    "corpus_context.plans.q_select",
 ]
 
 
