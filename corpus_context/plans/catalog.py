@@ -10,6 +10,7 @@ _MODULES = [
     "corpus_context.plans.q_scan",
     "corpus_context.plans.q_pack",
     "corpus_context.plans.q_select",
+    "corpus_context.plans.q_events",
 ]
 
 
