@@ -11,6 +11,7 @@ _MODULES = [
     "corpus_context.plans.q_pack",
     "corpus_context.plans.q_select",
     "corpus_context.plans.q_events",
+    "corpus_context.plans.q_config",
 ]
 
 
