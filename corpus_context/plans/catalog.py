@@ -12,6 +12,7 @@ _MODULES = [
     "corpus_context.plans.q_select",
     "corpus_context.plans.q_events",
     "corpus_context.plans.q_config",
+    "corpus_context.plans.q_stream",
 ]
 
 
