@@ -19,7 +19,8 @@ def decode_utf8(content, max_bytes: int | None = None) -> Column:
 
 def universal_newlines(text) -> Column:
     """Text-mode reading: '\\r\\n' and '\\r' become '\\n'."""
-    return F.regexp_replace(col_of(text), "\r\n?", "\n")
+    t = col_of(text)
+    return F.when(F.instr(t, "\r") == 0, t).otherwise(F.regexp_replace(t, "\r\n?", "\n"))
 
 
 def read_text(files: DataFrame, max_bytes: int | None = None, newline: str = "keep") -> Column:
@@ -35,7 +36,8 @@ def read_text(files: DataFrame, max_bytes: int | None = None, newline: str = "ke
 
 def strip_nuls(text) -> Column:
     """R1."""
-    return F.replace(col_of(text), F.lit("\u0000"), F.lit(""))
+    t = col_of(text)
+    return F.when(F.instr(t, "\u0000") == 0, t).otherwise(F.replace(t, F.lit("\u0000"), F.lit("")))
 
 
 def escape_fences(text) -> Column:

@@ -44,8 +44,6 @@ def tree_nodes(sel: DataFrame) -> DataFrame:
         F.array_join(F.slice("c", 1, F.col("d")), "/").alias("node"),
         F.element_at("c", F.col("d")).alias("name"),
         (F.col("d") < F.size("c")).alias("is_dir"),
-        F.transform(F.slice("c", 1, F.col("d")),
-                    lambda x, i: F.struct((i + 1 < F.col("d")).alias("is_dir"), x.alias("name"))).alias("key0"),
     )
     # a node can be a folder for one path and the end of another: keep one row, folder wins
     nodes = nodes.groupBy("context_id", "node").agg(
@@ -76,7 +74,8 @@ def render_tree(sel: DataFrame, contexts: DataFrame) -> DataFrame:
     c = contexts.select("context_id", F.concat(P.basename("root"), F.lit("/")).alias("head"))
     out = c.join(lines, "context_id", "left")
     return out.select("context_id", F.when(F.col("body").isNull() | (F.col("body") == ""), F.col("head"))
-                      .otherwise(F.concat(F.col("head"), F.lit("\n"), F.col("body"))).alias("tree"))
+                      .otherwise(F.concat(F.col("head"), F.lit("\n"), F.col("body"))).alias("tree"),
+                      F.col("body").isNotNull().alias("has_sel"))
 
 
 def render_tree_flat(sel: DataFrame, contexts: DataFrame) -> DataFrame:
@@ -167,8 +166,10 @@ def build_context(sel_files: DataFrame, contexts: DataFrame, estimator="chars4",
     Output: chunks(context_id, chunk_no, tokens, chars, n_files[, text]).
     """
     est = TK.estimator(estimator)
+    # the selection is read twice: (context, rel) for the tree, and once with text for the parts
     tree = render_tree(sel_files.select("context_id", "rel"), contexts)
-    hdr = contexts.join(tree, "context_id").select("context_id", X.render_header("prompt", "tree").alias("header"))
+    hdr = contexts.join(tree, "context_id").where(F.col("has_sel")).select(
+        "context_id", X.render_header("prompt", "tree").alias("header"))
     hdr = hdr.withColumn("h", est("header"))
 
     ok = packable(sel_files)
@@ -177,15 +178,17 @@ def build_context(sel_files: DataFrame, contexts: DataFrame, estimator="chars4",
     parts = ranked(parts, ["rel"])
     # the header enters the fold as a per-context column
     ph = parts.select("context_id", "rank", "t").join(hdr.select("context_id", "h"), "context_id")
-    assigned, ranges = assign_chunks(ph, limit, F.col("h"), guard=True)
+    starts = chunk_starts(ph, limit, F.col("h"), guard=True)
+    ranges = chunk_ranges(starts)
     # contexts with a selection but no packable file still give their header chunk
-    empty_ctx = hdr.join(parts.select("context_id").distinct(), "context_id", "left_anti").join(
-        sel_files.select("context_id").distinct(), "context_id", "left_semi")
+    empty_ctx = hdr.join(starts.select("context_id"), "context_id", "left_anti")
     ranges = ranges.unionByName(empty_ctx.select("context_id", "h", F.lit(1).alias("chunk_no"),
                                                  F.lit(0).alias("lo"), F.lit(-1).alias("hi")))
     last = ranges.groupBy("context_id").agg(F.max("chunk_no").alias("last_no"))
 
-    files_in = assigned.join(parts.select("context_id", "rank", "rel", "text"), ["context_id", "rank"])
+    idx = ranges.where(F.col("hi") >= F.col("lo")).select(
+        "context_id", "chunk_no", F.explode(F.sequence("lo", "hi")).alias("rank"))
+    files_in = parts.join(idx, ["context_id", "rank"])
     per_chunk = files_in.groupBy("context_id", "chunk_no").agg(
         F.count(F.lit(1)).alias("n_files"),
         F.sum("t").alias("ft"),
@@ -200,7 +203,7 @@ def build_context(sel_files: DataFrame, contexts: DataFrame, estimator="chars4",
         ch = ch.join(hdr.select("context_id", "header"), "context_id").withColumn(
             "text", F.concat("header", body, F.when(F.col("is_last"), F.lit("\n")).otherwise(F.lit(""))))
         ch = ch.withColumn("chars", F.char_length("text").cast("long")).drop("ps", "header")
-    none = contexts.join(sel_files.select("context_id").distinct(), "context_id", "left_anti").select(
+    none = tree.where(~F.col("has_sel")).select(
         "context_id", F.lit(1).alias("chunk_no"), F.lit(0).cast("long").alias("tokens"),
         F.lit(0).cast("long").alias("file_tokens"), F.lit(0).cast("long").alias("n_files"),
         F.lit(True).alias("is_last"),

@@ -58,18 +58,22 @@ def _rel(f: DataFrame) -> F.Column:
 
 
 def selections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """selections(workspace, group_name, path) with paths relative to the root."""
+    """selections(workspace, group_name, path) with paths relative to the root.
+
+    Default: files labelled quality = 1, plus a '.gone' twin of every doc_id % 10 = 9 file;
+    Flagged: files labelled toxic = 1. One scan, one join, one explode.
+    """
     f = files(spark, sf_dir).select("root", "path", "doc_id")
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    j = f.join(lab, "doc_id")
-    good = j.where(F.col("quality") == 1).select(
-        F.col("root").alias("workspace"), F.lit("Default").alias("group_name"), _rel(j).alias("path"))
-    flagged = j.where(F.col("toxic") == 1).select(
-        F.col("root").alias("workspace"), F.lit("Flagged").alias("group_name"), _rel(j).alias("path"))
-    gone = f.where(F.col("doc_id") % 10 == 9).select(
-        F.col("root").alias("workspace"), F.lit("Default").alias("group_name"),
-        F.concat(_rel(f), F.lit(".gone")).alias("path"))
-    return good.unionByName(flagged).unionByName(gone)
+    j = f.join(lab, "doc_id", "left")
+    rel = _rel(j)
+    opts = F.array(
+        F.when(F.col("quality") == 1, F.struct(F.lit("Default").alias("g"), rel.alias("p"))),
+        F.when(F.col("toxic") == 1, F.struct(F.lit("Flagged").alias("g"), rel.alias("p"))),
+        F.when(F.col("doc_id") % 10 == 9, F.struct(F.lit("Default").alias("g"), F.concat(rel, F.lit(".gone")).alias("p"))),
+    )
+    e = j.select(F.col("root").alias("workspace"), F.explode(F.filter(opts, lambda x: x.isNotNull())).alias("s"))
+    return e.select("workspace", F.col("s.g").alias("group_name"), F.col("s.p").alias("path"))
 
 
 def selection_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
