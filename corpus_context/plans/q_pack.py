@@ -125,7 +125,7 @@ pp AS (SELECT context_id, rel, text,
 WITH {_tree_sql('sel_files')}
 SELECT context_id, tree FROM tree""", "ctx", "sel_files"))
 def q_render_tree(spark, sf):
-    return PK.render_tree(selected_files(spark, sf).select("context_id", "rel"), contexts(spark, sf))
+    return PK.render_tree(selected_files(spark, sf).select("context_id", "rel"), contexts(spark, sf)).select("context_id", "tree")
 
 
 @query("render_tree_flat", "R7", with_views("""
@@ -288,3 +288,22 @@ FROM sel_files GROUP BY context_id""", "sel_files"))
 def q_build_context_panel(spark, sf):
     out = PK.build_context_panel(selected_files(spark, sf))
     return out.select("context_id", "n_files", "tokens", F.md5("text").alias("text_md5"))
+
+
+@query("chunks_roundtrip", "K1 A7 R1", _build_context_sql("""
+SELECT context_id, count(*) AS n_chunks, CAST(sum(length(text) // 4) AS BIGINT) AS tokens,
+       CAST(sum(length(text)) AS BIGINT) AS total_chars
+FROM out WHERE text <> '' GROUP BY context_id"""))
+def q_chunks_roundtrip(spark, sf):
+    """Write the contexts' chunks (parquet per context + named text objects) into the shared
+    checkpoint folder, then read them back."""
+    import os
+    import uuid
+
+    from corpus_context.session import checkpoint_dir
+    from corpus_context.sinks.chunks import read_chunks, write_chunks
+
+    out = os.path.join(checkpoint_dir(spark), f"chunks-{uuid.uuid4().hex[:12]}")
+    ch = PK.build_context(selected_files(spark, sf), contexts(spark, sf), "chars4", TOKEN_LIMIT)
+    write_chunks(ch, out, text_files=True)
+    return read_chunks(spark, out)
