@@ -22,6 +22,7 @@ from corpus_context.functions import paths as P
 from corpus_context.functions import rules as R
 from corpus_context.functions import text as X
 from corpus_context.functions import tokens as TK
+from corpus_context.session import cut_lineage
 
 PACKER_LIMIT = 600_000
 XML_LIMIT = 500_000
@@ -134,9 +135,30 @@ def chunk_ranges(starts: DataFrame) -> DataFrame:
                        (F.element_at("b", F.col("k") + 2) - 1).alias("hi"))
 
 
-def assign_chunks(parts: DataFrame, limit: int, header: Column | int = 0, guard: bool = True) -> tuple[DataFrame, DataFrame]:
+# contexts with more parts than this go through the distributed path (operators/nextfit.py)
+FOLD_MAX_PARTS = 1_000_000
+
+
+def chunk_ranges_auto(parts: DataFrame, limit: int, header: Column | int = 0, guard: bool = True,
+                      fold_max: int = FOLD_MAX_PARTS) -> DataFrame:
+    """Chunk ranges per context: the in-task fold for contexts up to ``fold_max`` parts (checked
+    at run time on the per-context counts), the exact distributed path for larger ones."""
+    from corpus_context.operators.nextfit import chunk_ranges_distributed
+
+    counts = parts.groupBy("context_id").agg(F.count(F.lit(1)).alias("_n"))
+    big = counts.where(F.col("_n") > fold_max).select("context_id")
+    small = parts.join(big, "context_id", "left_anti")
+    out = chunk_ranges(chunk_starts(small, limit, header, guard))
+    if not big.isEmpty():
+        h = header if isinstance(header, Column) else F.lit(int(header)).cast("long")
+        out = out.unionByName(chunk_ranges_distributed(parts.join(big, "context_id", "left_semi"), limit, h, guard))
+    return out
+
+
+def assign_chunks(parts: DataFrame, limit: int, header: Column | int = 0, guard: bool = True,
+                  fold_max: int = FOLD_MAX_PARTS) -> tuple[DataFrame, DataFrame]:
     """(parts with chunk_no, chunk table (context_id, chunk_no, h, lo, hi))."""
-    ranges = chunk_ranges(chunk_starts(parts, limit, header, guard))
+    ranges = chunk_ranges_auto(parts, limit, header, guard, fold_max)
     idx = ranges.where(F.col("hi") >= F.col("lo")).select(
         "context_id", "chunk_no", F.explode(F.sequence("lo", "hi")).alias("rank"))
     return parts.join(idx, ["context_id", "rank"]), ranges
@@ -157,7 +179,7 @@ def packable(parts: DataFrame) -> DataFrame:
 
 
 def build_context(sel_files: DataFrame, contexts: DataFrame, estimator="chars4", limit: int = PACKER_LIMIT,
-                  with_text: bool = True) -> DataFrame:
+                  with_text: bool = True, materialize: bool = True, fold_max: int = FOLD_MAX_PARTS) -> DataFrame:
     """The flagship. Selected files -> token-bounded chunks with header, tree and fenced files.
 
     sel_files(context_id, rel, path, text): the selected files that exist, text
@@ -166,7 +188,10 @@ def build_context(sel_files: DataFrame, contexts: DataFrame, estimator="chars4",
     Output: chunks(context_id, chunk_no, tokens, chars, n_files[, text]).
     """
     est = TK.estimator(estimator)
-    # the selection is read twice: (context, rel) for the tree, and once with text for the parts
+    if materialize:
+        # the selection is read twice (tree; parts with text) and the header three times:
+        # each is computed once, into the shared checkpoint folder
+        sel_files = cut_lineage(sel_files.select("context_id", "rel", "path", "text"))
     tree = render_tree(sel_files.select("context_id", "rel"), contexts)
     hdr = contexts.join(tree, "context_id").where(F.col("has_sel")).select(
         "context_id", X.render_header("prompt", "tree").alias("header"))
@@ -176,12 +201,13 @@ def build_context(sel_files: DataFrame, contexts: DataFrame, estimator="chars4",
     parts = ok.select("context_id", "rel", "text",
                       (est("text") + est(F.concat(X.part_header("rel"), F.lit(X.PART_FOOTER)))).alias("t"))
     parts = ranked(parts, ["rel"])
+    if materialize:
+        hdr = cut_lineage(hdr)
     # the header enters the fold as a per-context column
     ph = parts.select("context_id", "rank", "t").join(hdr.select("context_id", "h"), "context_id")
-    starts = chunk_starts(ph, limit, F.col("h"), guard=True)
-    ranges = chunk_ranges(starts)
+    ranges = chunk_ranges_auto(ph, limit, F.col("h"), guard=True, fold_max=fold_max)
     # contexts with a selection but no packable file still give their header chunk
-    empty_ctx = hdr.join(starts.select("context_id"), "context_id", "left_anti")
+    empty_ctx = hdr.join(ranges.select("context_id").distinct(), "context_id", "left_anti")
     ranges = ranges.unionByName(empty_ctx.select("context_id", "h", F.lit(1).alias("chunk_no"),
                                                  F.lit(0).alias("lo"), F.lit(-1).alias("hi")))
     last = ranges.groupBy("context_id").agg(F.max("chunk_no").alias("last_no"))

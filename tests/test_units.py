@@ -136,3 +136,34 @@ def test_change_log_format(spark):
     log = EV.change_log(EV.change_entries(none, diffs))
     got = {r["path"]: r["line"] for r in log.collect()}
     assert got == {"/r/file1": "file1  (+150 tokens)", "/r/file2": "file2  (-75 tokens)"}
+
+
+def test_next_fit_distributed_matches_loop(spark):
+    import random
+
+    from corpus_context.operators.nextfit import chunk_ranges_distributed
+
+    rnd = random.Random(11)
+    rows, expect = [], {}
+    for c in range(8):
+        ts = [rnd.choice([1, 3, 30, 90, 150, 260, 700]) for _ in range(rnd.randint(1, 40))]
+        limit, h = 200, rnd.choice([0, 10, 250])
+        cur, k, chunks = h, 1, []
+        for i, t in enumerate(ts):
+            if cur > 0 and cur + t > limit:
+                k += 1
+                cur = h
+            cur += t
+            chunks.append(k)
+            rows.append((f"c{c}", i, t, h))
+        expect[f"c{c}"] = chunks
+    parts = spark.createDataFrame(rows, "context_id string, rank int, t long, h long")
+    ranges = chunk_ranges_distributed(parts, 200, F.col("h"), guard=True)
+    fold = PK.chunk_ranges(PK.chunk_starts(parts, 200, F.col("h"), guard=True))
+    key = lambda r: (r["context_id"], r["chunk_no"], r["lo"], r["hi"])
+    assert sorted(map(key, ranges.collect())) == sorted(map(key, fold.collect()))
+    got = {}
+    a, _ = PK.assign_chunks(parts, 200, F.col("h"), guard=True, fold_max=0)
+    for r in a.orderBy("context_id", "rank").collect():
+        got.setdefault(r["context_id"], []).append(r["chunk_no"])
+    assert got == expect
