@@ -157,7 +157,11 @@ def chunk_ranges_auto(parts: DataFrame, limit: int, header: Column | int = 0, gu
 
 def assign_chunks(parts: DataFrame, limit: int, header: Column | int = 0, guard: bool = True,
                   fold_max: int = FOLD_MAX_PARTS) -> tuple[DataFrame, DataFrame]:
-    """(parts with chunk_no, chunk table (context_id, chunk_no, h, lo, hi))."""
+    """(parts with chunk_no, chunk table (context_id, chunk_no, h, lo, hi)).
+
+    The parts (no text: a few small columns per file) are read by the size check, the fold and
+    the final join, so they are computed once into the checkpoint folder."""
+    parts = cut_lineage(parts)
     ranges = chunk_ranges_auto(parts, limit, header, guard, fold_max)
     idx = ranges.where(F.col("hi") >= F.col("lo")).select(
         "context_id", "chunk_no", F.explode(F.sequence("lo", "hi")).alias("rank"))
@@ -205,7 +209,7 @@ def build_context(sel_files: DataFrame, contexts: DataFrame, estimator="chars4",
         hdr = cut_lineage(hdr)
     # the header enters the fold as a per-context column
     ph = parts.select("context_id", "rank", "t").join(hdr.select("context_id", "h"), "context_id")
-    ranges = chunk_ranges_auto(ph, limit, F.col("h"), guard=True, fold_max=fold_max)
+    ranges = chunk_ranges_auto(cut_lineage(ph), limit, F.col("h"), guard=True, fold_max=fold_max)
     # contexts with a selection but no packable file still give their header chunk
     empty_ctx = hdr.join(ranges.select("context_id").distinct(), "context_id", "left_anti")
     ranges = ranges.unionByName(empty_ctx.select("context_id", "h", F.lit(1).alias("chunk_no"),

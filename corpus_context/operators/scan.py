@@ -62,14 +62,22 @@ def list_items(files: DataFrame, ignore=None) -> DataFrame:
     return dirs.unionByName(fl)
 
 
-def corpus_tokens(files: DataFrame, estimator="chars4", ignore=None, max_bytes: int = R.READ_LIMIT) -> DataFrame:
+def corpus_tokens(files: DataFrame, estimator="chars4", ignore=None, max_bytes: int = R.READ_LIMIT,
+                  two_pass: bool = False) -> DataFrame:
     """T4: the full scan result: strategy, validity, reason and token count per item.
 
-    Planned in two branches so that bytes are read only for files that are
-    counted: the skip branch projects (root, path, size) only; the counting
-    branch filters ``size <= 50 KiB`` (pushed to the scan) before it touches
-    ``content``.
+    Table sources (parquet, one column chunk per column) are read once: each
+    file row yields its own item and its ancestor folders, and one shuffle of
+    these small rows (no text) removes duplicate folders. Decoding and counting
+    sit behind the strategy test, so skipped files are never decoded.
+
+    ``two_pass=True`` is for ``binaryFile`` sources: the skip branch projects
+    (root, path, size) only and the counting branch filters ``size <= 50 KiB``
+    before it touches ``content``; the filter is pushed into the listing, so
+    large files are never read at all.
     """
+    if not two_pass:
+        return _corpus_tokens_one_pass(files, estimator, ignore, max_bytes)
     est = TK.estimator(estimator)
     kept = _kept(files, ignore)
     strategy = R.token_strategy("path", "size")
@@ -105,3 +113,27 @@ def skipped_by_reason(items: DataFrame) -> DataFrame:
     """Skipped files per root and reason."""
     return items.where(~F.col("is_dir") & (F.col("strategy") == "skip")).groupBy("root", "reason").agg(
         F.count(F.lit(1)).alias("n_files"))
+
+
+def _corpus_tokens_one_pass(files: DataFrame, estimator, ignore, max_bytes: int) -> DataFrame:
+    est = TK.estimator(estimator)
+    ig = _ignore(files, ignore)
+    kept = R.prune_ignored("path", "root", ig)
+    if "include_subfolders" in files.columns:
+        kept = kept & R.include_subfolders("path", "root", F.col("include_subfolders"))
+    reason = R.skip_reason("path", "size")
+    x = files.select("root", "path", "size", *(["content"] if "content" in files.columns else ["text"]),
+                     *(["ignore"] if "ignore" in files.columns else []), kept.alias("_kept"), reason.alias("_reason"))
+    strategy = (F.when(F.col("_reason").isNotNull(), F.lit("skip"))
+                .when(F.col("size") <= R.IMMEDIATE_LIMIT, F.lit("immediate")).otherwise(F.lit("defer")))
+    tokens = F.when(F.col("_reason").isNull(), est(read_text(x, max_bytes=max_bytes))).otherwise(F.lit(0)).cast("long")
+    file_row = F.when(F.col("_kept"), F.struct(
+        F.col("path").alias("path"), F.lit(False).alias("is_dir"), F.coalesce(F.col("_reason"), F.lit("")).alias("reason"),
+        tokens.alias("token_count"), strategy.alias("strategy")))
+    dirs = F.transform(
+        F.filter(F.slice(P.ancestors("path", "root"), 2, 1 << 20), lambda d: R.dir_pruned(d, F.col("root"), ig)),
+        lambda d: F.struct(d.alias("path"), F.lit(True).alias("is_dir"), F.lit("").alias("reason"),
+                           F.lit(0).cast("long").alias("token_count"), F.lit(None).cast("string").alias("strategy")))
+    rows = x.select("root", F.explode(F.filter(F.concat(F.array(file_row), dirs), lambda r: r.isNotNull())).alias("r"))
+    out = rows.select("root", "r.*").dropDuplicates(["root", "path"])
+    return out.select("root", "path", "is_dir", F.lit(True).alias("is_valid"), "reason", "token_count", "strategy")

@@ -155,8 +155,7 @@ def q_pack_tokens(spark, sf, fold_max=PK.FOLD_MAX_PARTS):
     parts = parts.select("context_id", "rel",
                          (TK.tokens_chars4("text") + TK.tokens_chars4(F.concat(X.part_header("rel"), F.lit(X.PART_FOOTER)))).alias("t"))
     parts = PK.ranked(parts, ["rel"])
-    assigned, _ = PK.assign_chunks(parts.select("context_id", "rank", "t"), TOKEN_LIMIT, 0, guard=True, fold_max=fold_max)
-    a = assigned.join(parts.select("context_id", "rank", "rel"), ["context_id", "rank"])
+    a, _ = PK.assign_chunks(parts.select("context_id", "rank", "t", "rel"), TOKEN_LIMIT, 0, guard=True, fold_max=fold_max)
     return a.groupBy("context_id", "chunk_no").agg(
         F.count(F.lit(1)).alias("n_files"), F.sum("t").cast("long").alias("tokens"),
         F.min("rel").alias("first_rel"), F.max("rel").alias("last_rel"))
