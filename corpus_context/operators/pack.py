@@ -168,9 +168,36 @@ def assign_chunks(parts: DataFrame, limit: int, header: Column | int = 0, guard:
     return parts.join(idx, ["context_id", "rank"]), ranges
 
 
-def ranked(parts: DataFrame, order_cols) -> DataFrame:
+def ranked(parts: DataFrame, order_cols, fold_max: int | None = None) -> DataFrame:
+    """0-based rank per context in ``order_cols`` order.
+
+    Contexts up to ``fold_max`` rows use a window per context; larger ones are ranked without
+    one task per context (``distributed_rank``). The size check runs on per-context counts.
+    """
+    fold_max = FOLD_MAX_PARTS if fold_max is None else fold_max
     w = Window.partitionBy("context_id").orderBy(*order_cols)
-    return parts.withColumn("rank", (F.row_number().over(w) - 1).cast("int"))
+    counts = parts.groupBy("context_id").agg(F.count(F.lit(1)).alias("_n"))
+    big = counts.where(F.col("_n") > fold_max).select("context_id")
+    if big.isEmpty():
+        return parts.withColumn("rank", (F.row_number().over(w) - 1).cast("int"))
+    small = parts.join(big, "context_id", "left_anti").withColumn("rank", (F.row_number().over(w) - 1).cast("int"))
+    return small.unionByName(distributed_rank(parts.join(big, "context_id", "left_semi"), order_cols))
+
+
+def distributed_rank(parts: DataFrame, order_cols, n_tasks: int | None = None) -> DataFrame:
+    """Rank within context without a per-context window: range-partition on (context, order),
+    count rows per (task, context), turn the counts into offsets over that small table, and add
+    a row number inside each (task, context) slice. Every window is bounded by a task's rows."""
+    spark = parts.sparkSession
+    n = n_tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    x = parts.repartitionByRange(n, "context_id", *order_cols).withColumn("_pid", F.spark_partition_id())
+    x = cut_lineage(x)  # fixes the task ids the offsets refer to
+    cnt = x.groupBy("_pid", "context_id").agg(F.count(F.lit(1)).alias("_c"))
+    wo = Window.partitionBy("context_id").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    off = cnt.select("_pid", "context_id", F.coalesce(F.sum("_c").over(wo), F.lit(0)).alias("_off"))
+    wl = Window.partitionBy("_pid", "context_id").orderBy(*order_cols)
+    y = x.join(off, ["_pid", "context_id"]).withColumn("rank", (F.col("_off") + F.row_number().over(wl) - 1).cast("int"))
+    return y.drop("_pid", "_off")
 
 
 # ---------------------------------------------------------------------------
@@ -204,7 +231,7 @@ def build_context(sel_files: DataFrame, contexts: DataFrame, estimator="chars4",
     ok = packable(sel_files)
     parts = ok.select("context_id", "rel", "text",
                       (est("text") + est(F.concat(X.part_header("rel"), F.lit(X.PART_FOOTER)))).alias("t"))
-    parts = ranked(parts, ["rel"])
+    parts = ranked(parts, ["rel"], fold_max)
     if materialize:
         hdr = cut_lineage(hdr)
     # the header enters the fold as a per-context column

@@ -13,6 +13,7 @@ from corpus_context.operators import scan as S
 from corpus_context.operators import selection as SEL
 from corpus_context.plans.oracle_views import IGNORE_SQL, VIEWS, DEPS, with_views
 from corpus_context.plans.registry import QUERIES, query
+from corpus_context.session import cut_lineage
 from corpus_context.sources import testdata as TD
 
 TOKEN_LIMIT = 2000
@@ -154,7 +155,7 @@ def q_pack_tokens(spark, sf, fold_max=PK.FOLD_MAX_PARTS):
     parts = PK.packable(all_files(spark, sf))
     parts = parts.select("context_id", "rel",
                          (TK.tokens_chars4("text") + TK.tokens_chars4(F.concat(X.part_header("rel"), F.lit(X.PART_FOOTER)))).alias("t"))
-    parts = PK.ranked(parts, ["rel"])
+    parts = PK.ranked(cut_lineage(parts), ["rel"], fold_max)
     a, _ = PK.assign_chunks(parts.select("context_id", "rank", "t", "rel"), TOKEN_LIMIT, 0, guard=True, fold_max=fold_max)
     return a.groupBy("context_id", "chunk_no").agg(
         F.count(F.lit(1)).alias("n_files"), F.sum("t").cast("long").alias("tokens"),

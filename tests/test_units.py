@@ -167,3 +167,15 @@ def test_next_fit_distributed_matches_loop(spark):
     for r in a.orderBy("context_id", "rank").collect():
         got.setdefault(r["context_id"], []).append(r["chunk_no"])
     assert got == expect
+
+
+def test_distributed_rank_matches_window(spark):
+    from pyspark.sql import Window
+
+    rows = [(f"c{i % 3}", f"p{(i * 7919) % 1000:04d}") for i in range(600)]
+    df = spark.createDataFrame(rows, "context_id string, rel string")
+    got = PK.distributed_rank(df, ["rel"], n_tasks=5)
+    w = Window.partitionBy("context_id").orderBy("rel")
+    exp = df.withColumn("rank", (F.row_number().over(w) - 1).cast("int"))
+    assert sorted(map(tuple, got.select("context_id", "rel", "rank").collect())) == \
+        sorted(map(tuple, exp.select("context_id", "rel", "rank").collect()))
