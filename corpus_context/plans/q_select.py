@@ -209,3 +209,50 @@ def q_compare_estimators(spark, sf):
     per, tot = SEL.compare_estimators(TD.files(spark, sf))
     n = per.groupBy("root").agg(F.count_if(F.col("diff") != 0).alias("n_differ"))
     return tot.join(n, "root")
+
+
+@query("validate_file", "B13", with_views("""
+SELECT s.path, CASE WHEN f.path IS NULL THEN FALSE WHEN strlen(f.text) > 204800 THEN FALSE ELSE TRUE END AS is_valid,
+       CASE WHEN f.path IS NULL THEN 'File not found'
+            WHEN strlen(f.text) > 204800 THEN 'File too large (' || CAST(strlen(f.text) AS VARCHAR) || ' bytes)'
+            ELSE '' END AS reason
+FROM (SELECT DISTINCT path FROM sel_abs) s LEFT JOIN files f ON f.path = s.path""", "sel_abs", "files"))
+def q_validate_file(spark, sf):
+    from corpus_context.functions import rules as R
+
+    s = sel_abs(spark, sf).select("path").distinct()
+    f = TD.files(spark, sf).select("path", "size", F.lit(True).alias("exists"))
+    j = s.join(f, "path", "left")
+    v = R.validate_file(F.coalesce("exists", F.lit(False)), "size")
+    return j.select("path", v["is_valid"].alias("is_valid"), v["reason"].alias("reason"))
+
+
+@query("items_from_paths", "P8 P3 P4 P7", with_views("""
+WITH p AS (SELECT DISTINCT workspace AS root, workspace || '/' || path AS path FROM selections WHERE path <> '.'),
+own AS (SELECT root, path, regexp_extract(regexp_extract(path, '([^/]*)$', 1), '^\\.*[^.].*(\\.[^.]*)$', 1) = '' AS is_dir FROM p),
+par AS (SELECT DISTINCT root, dir AS path FROM (
+          SELECT root, path, unnest(range(1, len(string_split(substr(path, length(root) + 2), '/')))) AS i,
+                 string_split(substr(path, length(root) + 2), '/') AS c FROM p) x,
+        LATERAL (SELECT root || '/' || array_to_string(list_slice(c, 1, i), '/') AS dir)),
+allp AS (SELECT root, root AS path, TRUE AS is_dir, 0 AS pr FROM p
+         UNION ALL SELECT root, path, is_dir, CASE WHEN is_dir THEN 2 ELSE 1 END FROM own
+         UNION ALL SELECT root, path, TRUE, 2 FROM par)
+SELECT root, path, arg_min(is_dir, pr) AS is_dir, TRUE AS is_valid, '' AS reason,
+       CAST(CASE WHEN arg_min(is_dir, pr) THEN 0 ELSE -1 END AS BIGINT) AS token_count
+FROM allp GROUP BY root, path""", "selections"))
+def q_items_from_paths(spark, sf):
+    from corpus_context.operators import tree as TR
+
+    s = TD.selections(spark, sf).select(F.col("workspace").alias("root"), F.col("path").alias("rel")).distinct()
+    return TR.items_from_paths(s)
+
+
+@query("match_paths", "P9 J1", with_views("""
+WITH s AS (SELECT DISTINCT workspace AS root, path FROM sel_abs)
+SELECT s.root, s.path, i.path AS item_path, 'exact' AS how FROM s JOIN items i ON i.root = s.root AND i.path = s.path""",
+                                          "sel_abs", "items"))
+def q_match_paths(spark, sf):
+    from corpus_context.operators import tree as TR
+
+    s = sel_abs(spark, sf).select(F.col("workspace").alias("root"), "path").distinct()
+    return TR.match_paths(s, corpus_items(spark, sf), case_insensitive=False)

@@ -179,3 +179,50 @@ def test_distributed_rank_matches_window(spark):
     exp = df.withColumn("rank", (F.row_number().over(w) - 1).cast("int"))
     assert sorted(map(tuple, got.select("context_id", "rel", "rank").collect())) == \
         sorted(map(tuple, exp.select("context_id", "rel", "rank").collect()))
+
+
+def test_scan_files_binaryfile(spark, tmp_path):
+    from corpus_context.operators import scan as S
+    from corpus_context.sources.files import scan_files
+
+    root = tmp_path / "repo"
+    (root / "folder1").mkdir(parents=True)
+    (root / "folder_to_ignore").mkdir()
+    (root / "file1.py").write_text("print('hello')")
+    (root / "folder1" / "file2.txt").write_text("world")
+    (root / "folder_to_ignore" / "ignored_file.txt").write_text("x")
+    files = scan_files(spark, [str(root)])
+    items = S.corpus_tokens(files, "chars4", ignore=["folder_to_ignore"], two_pass=True)
+    got = {r["path"].replace(str(root), ""): (r["is_dir"], r["token_count"]) for r in items.collect()}
+    assert got == {"/file1.py": (False, 3), "/folder1": (True, 0), "/folder1/file2.txt": (False, 1)}
+
+
+def test_bpe_with_stub_encoder(spark):
+    from corpus_context.functions import tokens as TK
+
+    class Stub:
+        def encode(self, text, disallowed_special=()):
+            return text.split()
+
+    df = spark.createDataFrame([("a b c",), ("",), (None,)], "t string")
+    got = [r[0] for r in df.select(TK.tokens_bpe(Stub)("t")).collect()]
+    assert got == [3, 0, 0]
+
+
+def test_truncate_notice(spark):
+    df = spark.createDataFrame([(b"a" * 1500,), (b"short",)], "content binary")
+    got = [r[0] for r in df.select(X.truncate_notice("content", 1)).collect()]
+    assert got[0].startswith("a" * 1024) and got[0].endswith("... (truncated at 1KB)")
+    assert got[1] == "short"
+
+
+def test_apply_events_structure(spark):
+    base = spark.createDataFrame([("/p", "/p/file1.py", 7), ("/p", "/p/src/main.py", 5)], "root string, path string, token_count long")
+    ev = spark.createDataFrame([
+        ("/p", 1, "created", "/p/src/utils.py", None, 3),
+        ("/p", 2, "deleted", "/p/file1.py", None, 0),
+        ("/p", 3, "moved", "/p/src/main.py", "/p/src/app.py", 5),
+    ], "root string, seq long, action string, src_path string, dst_path string, tokens long")
+    out = EV.apply_events(base, ev)
+    files = sorted(r["path"] for r in out.where("NOT is_dir").collect())
+    assert files == ["/p/src/app.py", "/p/src/utils.py"]
