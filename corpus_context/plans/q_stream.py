@@ -78,3 +78,21 @@ def q_stream_selection_tokens(spark, sf):
     out = os.path.join(base, "sel")
     L.run_versioned(L.selection_tokens_stream(diffs, sel), out, os.path.join(base, "ckpt2"))
     return L.latest_versions(spark, out, ["root"]).select("root", F.col("selected_diff").cast("long"), "n_changes")
+
+
+@query("stream_change_log", "S7 S2 W3 R11 (stream)", QUERIES["change_log"].sql)
+def q_stream_change_log(spark, sf):
+    """Token diffs from the stateful stream plus structural events, merged into the stored log per micro-batch."""
+    from corpus_context.operators.events import change_entries
+
+    base, src = _event_files(spark, sf)
+    ev = fs_event_source(spark, src, max_files_per_trigger=1)
+    diffs_dir = os.path.join(base, "diffs")
+    L.run_append(L.token_changes_stream(ev), diffs_dir, os.path.join(base, "ckpt"))
+    diffs = spark.readStream.schema("root string, seq long, path string, diff long").option("maxFilesPerTrigger", 1).parquet(diffs_dir)
+    structural = fs_event_source(spark, src, max_files_per_trigger=1).where(F.col("action") != "modified")
+    empty_ev = structural.where(F.lit(False))
+    entries = change_entries(structural, diffs.where(F.lit(False))).unionByName(change_entries(empty_ev, diffs))
+    log_dir = os.path.join(base, "log")
+    L.run_change_log(entries, log_dir, os.path.join(base, "ckpt2"))
+    return L.change_log_lines(spark, log_dir)

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from corpus_context.operators import events as EV
+from corpus_context.session import path_exists
 
 TS_FMT = EV.TS_FMT
 
@@ -114,18 +115,46 @@ def selection_tokens_stream(diffs: DataFrame, selection: DataFrame) -> DataFrame
 
 # -- S7: live change log, merged per micro-batch -----------------------------------------------
 
+LOG_SCHEMA = "root string, path string, seq long, change string, first_seq long"
+
+
 def change_log_merge(entries_batch: DataFrame, log_dir: str, batch_id: int, n: int = 5) -> None:
-    """S7 step: merge one micro-batch of change entries into the stored log (last n per path).
+    """S7 step: merge one micro-batch of change entries into the stored log.
 
-    The log is written as a new version per batch id (batch=<id>), read back from the previous one."""
-    spark = entries_batch.sparkSession
-    prev = None
-    if batch_id > 0 and os.path.exists(os.path.join(log_dir, f"batch={batch_id - 1}")):
-        prev = spark.read.parquet(os.path.join(log_dir, f"batch={batch_id - 1}"))
-    cur = entries_batch.select("root", "seq", "path", "change")
-    allr = cur if prev is None else prev.select("root", "seq", "path", "change").unionByName(cur)
+    The stored log keeps, per path, its last n entries and the seq it was first seen at. Each
+    batch writes a new version (batch=<id>) from the previous one, so a replayed batch rewrites
+    its own version and never counts twice."""
     from pyspark.sql import Window
 
+    spark = entries_batch.sparkSession
+    cur = entries_batch.select("root", "path", "seq", "change", F.col("seq").alias("first_seq"))
+    prev_dir = os.path.join(log_dir, f"batch={batch_id - 1}")
+    if batch_id > 0 and path_exists(spark, prev_dir):
+        cur = spark.read.schema(LOG_SCHEMA).parquet(prev_dir).unionByName(cur)
+    wf = Window.partitionBy("root", "path")
     w = Window.partitionBy("root", "path").orderBy(F.col("seq").desc())
-    keep = allr.withColumn("k", F.row_number().over(w)).where(F.col("k") <= n).drop("k")
+    keep = cur.withColumn("first_seq", F.min("first_seq").over(wf)).withColumn("k", F.row_number().over(w))
+    keep = keep.where(F.col("k") <= n).drop("k")
     keep.write.mode("overwrite").parquet(os.path.join(log_dir, f"batch={batch_id}"))
+
+
+def run_change_log(entries: DataFrame, log_dir: str, ckpt: str, n: int = 5):
+    q = (entries.writeStream.option("checkpointLocation", ckpt)
+         .foreachBatch(lambda df, bid: change_log_merge(df, log_dir, bid, n)).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return q
+
+
+def change_log_lines(spark: SparkSession, log_dir: str) -> DataFrame:
+    """The newest log version as display lines (same form as the batch W3/R11)."""
+    from corpus_context.functions import paths as P
+
+    allv = spark.read.parquet(log_dir)  # batch=<id> folders become a column
+    last = allv.agg(F.max("batch").alias("batch"))
+    log = allv.join(last, "batch").drop("batch")
+    g = log.groupBy("root", "path").agg(
+        F.min("first_seq").alias("first_seq"),
+        F.sort_array(F.collect_list(F.struct((-F.col("seq")).alias("k"), "change"))).alias("cs"))
+    g = g.withColumn("changes", F.array_join(F.transform("cs", lambda x: x["change"]), ", "))
+    return g.select("root", "path", "first_seq", "changes",
+                    F.concat(P.display_path("path", "root"), F.lit("  ("), F.col("changes"), F.lit(")")).alias("line"))
