@@ -192,3 +192,58 @@ def event_summary(events: DataFrame, every: str = "1 day") -> DataFrame:
     return g.select("root", F.date_format("w.start", TS_FMT).alias("window_start"), "n_created", "n_deleted", "n_modified", "n_moved",
                     F.concat(F.lit("Directory updated – "), a.cast("string"), F.lit(" added, "), r.cast("string"),
                              F.lit(" removed, "), F.col("n_modified").cast("string"), F.lit(" modified")).alias("message"))
+
+
+_SEL_SCHEMA = T.StructType([T.StructField("root", T.StringType()), T.StructField("path", T.StringType()),
+                            T.StructField("selected", T.BooleanType())])
+
+
+def _replay_selection(pdf: pd.DataFrame) -> pd.DataFrame:
+    # rows: kind 0 = initial item (path, selected), kind 1 = event; replayed in seq order per root
+    items = pdf[pdf["kind"] == 0]
+    state = dict(zip(items["path"], items["selected"].astype(bool)))
+    root = pdf["root"].iloc[0]
+    ev = pdf[pdf["kind"] == 1].sort_values("seq")
+    for action, src, dst in zip(ev["action"], ev["src_path"], ev["dst_path"]):
+        if action == "created":
+            state.setdefault(src, False)
+        elif action == "deleted":
+            for p in [p for p in state if p == src or p.startswith(src + "/")]:
+                del state[p]
+        elif action == "moved":
+            # a folder is present when something lies below it
+            below = [p for p in state if p == src or p.startswith(src + "/")]
+            for p in below:
+                state[dst + p[len(src):]] = state.pop(p)
+    return pd.DataFrame({"root": root, "path": list(state), "selected": list(state.values())})
+
+
+def apply_events_keep_selection(items: DataFrame, sel: DataFrame, events: DataFrame) -> DataFrame:
+    """Items and their selected state after the events: a move keeps the selected state (a
+    folder move rewrites the prefix of everything below); a new file is unselected; a delete removes
+    the path and everything below. Moves chain through paths of one root, so the replay is per root
+    (grouped Arrow batches). -> (root, path, selected)."""
+    s = sel.select("root", "path").distinct().withColumn("_s", F.lit(True))
+    it = items.select("root", "path").join(s, ["root", "path"], "left").select(
+        "root", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast("string").alias("action"),
+        F.col("path").alias("src_path"), F.lit(None).cast("string").alias("dst_path"), "path",
+        F.coalesce("_s", F.lit(False)).alias("selected"))
+    ev = events.select("root", F.lit(1).alias("kind"), "seq", "action", "src_path", "dst_path",
+                       F.lit(None).cast("string").alias("path"), F.lit(None).cast("boolean").alias("selected"))
+    return it.unionByName(ev).groupBy("root").applyInPandas(_replay_selection, _SEL_SCHEMA)
+
+
+def keep_selection_snapshot(items: DataFrame, sel: DataFrame, events: DataFrame) -> DataFrame:
+    """S4 / E5 for a snapshot diff (each path in at most one event, as A9 produces): pure joins.
+
+    Deleted and moved-out paths leave; a moved-in path takes the selected state of its source;
+    created paths come in unselected. -> (root, path, selected)."""
+    s = sel.select("root", "path").distinct().withColumn("_s", F.lit(True))
+    gone = events.where(F.col("action").isin("deleted", "moved")).select("root", F.col("src_path").alias("path"))
+    kept = items.select("root", "path").join(gone, ["root", "path"], "left_anti").join(s, ["root", "path"], "left")
+    kept = kept.select("root", "path", F.coalesce("_s", F.lit(False)).alias("selected"))
+    mv = events.where(F.col("action") == "moved").select("root", F.col("src_path").alias("path"), F.col("dst_path").alias("dst"))
+    moved = mv.join(s, ["root", "path"], "left").select("root", F.col("dst").alias("path"),
+                                                       F.coalesce("_s", F.lit(False)).alias("selected"))
+    new = events.where(F.col("action") == "created").select("root", F.col("src_path").alias("path"), F.lit(False).alias("selected"))
+    return kept.unionByName(moved).unionByName(new)

@@ -168,3 +168,25 @@ SELECT root, strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S.%g') AS window_s
 FROM fs_events GROUP BY root, date_trunc('day', ts)""", "fs_events"))
 def q_event_summary(spark, sf):
     return EV.event_summary(_events(spark, sf), "1 day")
+
+
+@query("apply_events_keep_selection", "S4 A9 E5", with_views("""
+WITH s AS (SELECT DISTINCT workspace AS root, workspace || '/' || path AS path FROM selections WHERE group_name = 'Default'),
+o AS (SELECT root, path, sha256(text) AS h, strlen(text) AS sz FROM old_files),
+n AS (SELECT root, path, sha256(text) AS h FROM new_files),
+cr AS (SELECT n.root, n.path, n.h FROM n WHERE n.path NOT IN (SELECT path FROM o)),
+de AS (SELECT o.root, o.path, o.h FROM o WHERE o.path NOT IN (SELECT path FROM n)),
+cu AS (SELECT root, h, min(path) AS dst FROM cr GROUP BY ALL HAVING count(*) = 1),
+du AS (SELECT root, h, min(path) AS src FROM de GROUP BY ALL HAVING count(*) = 1),
+mv AS (SELECT cu.root, du.src, cu.dst FROM cu JOIN du ON cu.root = du.root AND cu.h = du.h),
+kept AS (SELECT o.root, o.path, o.path IN (SELECT path FROM s) AS selected FROM o
+         WHERE o.path NOT IN (SELECT path FROM de))
+SELECT root, path, selected FROM kept
+UNION ALL SELECT mv.root, mv.dst, mv.src IN (SELECT path FROM s) FROM mv
+UNION ALL SELECT root, path, FALSE FROM cr WHERE path NOT IN (SELECT dst FROM mv)""", "old_files", "new_files", "selections"))
+def q_apply_events_keep_selection(spark, sf):
+    old = TD.old_files(spark, sf)
+    ev = EV.snapshot_diff(old, TD.new_files(spark, sf))
+    sel = TD.selections(spark, sf).where(F.col("group_name") == "Default").select(
+        F.col("workspace").alias("root"), F.concat("workspace", F.lit("/"), "path").alias("path"))
+    return EV.keep_selection_snapshot(old.select("root", "path"), sel, ev)

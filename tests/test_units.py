@@ -238,3 +238,17 @@ def test_chunk_text_objects(spark, tmp_path):
     assert texts == {"aggregation_chunk_01.md": "first chunk", "aggregation_chunk_02.md": "second"}
     tot = read_chunks(spark, str(tmp_path / "out")).collect()[0]
     assert (tot["n_chunks"], tot["total_chars"]) == (2, 17)
+
+
+def test_keep_selection_replay_chain(spark):
+    items = spark.createDataFrame([("/p", "/p/a.py"), ("/p", "/p/b.py"), ("/p", "/p/d/x.py")], "root string, path string")
+    sel = spark.createDataFrame([("/p", "/p/a.py"), ("/p", "/p/d/x.py")], "root string, path string")
+    ev = spark.createDataFrame([
+        ("/p", 1, "moved", "/p/a.py", "/p/c.py"),
+        ("/p", 2, "moved", "/p/c.py", "/p/e.py"),
+        ("/p", 3, "moved", "/p/d", "/p/d2"),
+        ("/p", 4, "created", "/p/n.py", None),
+        ("/p", 5, "deleted", "/p/b.py", None),
+    ], "root string, seq long, action string, src_path string, dst_path string")
+    got = {r["path"]: r["selected"] for r in EV.apply_events_keep_selection(items, sel, ev).collect()}
+    assert got == {"/p/e.py": True, "/p/d2/x.py": True, "/p/n.py": False}
