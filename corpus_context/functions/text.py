@@ -25,12 +25,14 @@ def universal_newlines(text) -> Column:
 
 def read_text(files: DataFrame, max_bytes: int | None = None, newline: str = "keep") -> Column:
     """A3 over a files table: decodes ``content`` (or uses an already decoded ``text``)."""
-    if "content" in files.columns:
-        t = decode_utf8("content", max_bytes)
-    else:
+    if "text" in files.columns:
+        # already decoded (a compacted corpus table): cut by bytes only when it is longer
         t = F.col("text")
         if max_bytes is not None:
-            t = decode_utf8(F.col("text").cast("binary"), max_bytes)
+            size = F.col("size") if "size" in files.columns else F.octet_length("text")
+            t = F.when(size > max_bytes, decode_utf8(F.col("text").cast("binary"), max_bytes)).otherwise(t)
+    else:
+        t = decode_utf8("content", max_bytes)
     return universal_newlines(t) if newline == "universal" else t
 
 

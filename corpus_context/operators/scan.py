@@ -122,7 +122,7 @@ def _corpus_tokens_one_pass(files: DataFrame, estimator, ignore, max_bytes: int)
     if "include_subfolders" in files.columns:
         kept = kept & R.include_subfolders("path", "root", F.col("include_subfolders"))
     reason = R.skip_reason("path", "size")
-    x = files.select("root", "path", "size", *(["content"] if "content" in files.columns else ["text"]),
+    x = files.select("root", "path", "size", *(["text"] if "text" in files.columns else ["content"]),
                      *(["ignore"] if "ignore" in files.columns else []), kept.alias("_kept"), reason.alias("_reason"))
     strategy = (F.when(F.col("_reason").isNotNull(), F.lit("skip"))
                 .when(F.col("size") <= R.IMMEDIATE_LIMIT, F.lit("immediate")).otherwise(F.lit("defer")))
