@@ -47,9 +47,28 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
+    """Write ``df`` once as a table in the shared checkpoint folder and read it back.
+
+    One job computes it (a plain ``checkpoint`` computes its input twice unless cached);
+    the table survives executor loss and cuts the lineage."""
+    import uuid
+
+    spark = df.sparkSession
+    path = scratch_path(spark, f"cut-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def checkpoint_partitions(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint that keeps the physical partitioning and order within partitions
+    (needed when later steps rely on task boundaries). Persisted first so it is computed once."""
+    from pyspark import StorageLevel
+
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    cp = df.checkpoint(eager=True)
+    df.unpersist()
+    return cp
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
