@@ -31,9 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     key = _KEYS.get(name)
     if key is not None:
-        n = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < n:
-            df = df.repartition(n, key)
+        try:
+            n = spark.sparkContext.defaultParallelism
+            if df.rdd.getNumPartitions() < n:
+                df = df.repartition(n, key)
+        except Exception:  # no RDD access (e.g. a remote session): keep the scan as it is
+            pass
     return df
 
 
