@@ -83,16 +83,42 @@ def _replay_token_changes(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["root", "seq", "path", "diff"])
 
 
+def move_components(events: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """Connected components of paths linked by moves: (root, path, comp), comp = the smallest path.
+
+    Min-label propagation over the move edges, one join + groupBy per round, each round written
+    to the checkpoint folder; stops when no label changes (rounds = component diameter)."""
+    from corpus_context.session import cut_lineage
+
+    mv = events.where(F.col("action") == "moved").select("root", F.col("src_path").alias("a"), F.col("dst_path").alias("b"))
+    edges = mv.unionByName(mv.select("root", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    edges = cut_lineage(edges)
+    labels = cut_lineage(edges.select("root", F.col("a").alias("path")).distinct().withColumn("comp", F.col("path")))
+    for _ in range(max_rounds):
+        prop = edges.join(labels.withColumnRenamed("path", "b"), ["root", "b"]).select("root", F.col("a").alias("path"), "comp")
+        new = labels.unionByName(prop).groupBy("root", "path").agg(F.min("comp").alias("comp"))
+        new = cut_lineage(new)
+        changed = new.join(labels.withColumnRenamed("comp", "old"), ["root", "path"]).where(F.col("comp") != F.col("old"))
+        labels = new
+        if changed.isEmpty():
+            break
+    return labels
+
+
 def token_changes(events: DataFrame) -> DataFrame:
     """Per 'modified' event the token difference to the last observed count of that path.
 
     The first observation gives no output, zero diffs are dropped, 'deleted'
     forgets the path, 'moved' hands the remembered count to the destination,
-    'created' does not seed. Moves carry state across paths of one root, so
-    the replay is keyed by root (grouped Arrow batches).
+    'created' does not seed. State only flows between paths linked by moves,
+    so the replay is keyed by (root, move component): a path never moved is
+    its own group, and a component holds only the paths its moves connect.
     """
     e = events.select("root", "seq", "action", "src_path", "dst_path", F.col("tokens").cast("long"))
-    return e.groupBy("root").applyInPandas(_replay_token_changes, _TC_SCHEMA)
+    comp = move_components(e)
+    e = e.join(comp.withColumnRenamed("path", "src_path"), ["root", "src_path"], "left").withColumn(
+        "comp", F.coalesce("comp", F.col("src_path")))
+    return e.groupBy("root", "comp").applyInPandas(_replay_token_changes, _TC_SCHEMA)
 
 
 def token_changes_no_moves(events: DataFrame) -> DataFrame:
