@@ -275,3 +275,18 @@ def test_stream_restart_from_checkpoint(spark, tmp_path):
     got = sorted(map(tuple, spark.read.parquet(out).select("seq", "path", "diff").collect()))
     exp = sorted(map(tuple, EV.token_changes(TD.fs_events(spark, "/root/testdata/sf0.001")).select("seq", "path", "diff").collect()))
     assert got == exp and len(got) > 0
+
+
+def test_gitignore_filter(spark):
+    from corpus_context.operators import scan as S
+
+    rows = [
+        ("/r", "/r/.gitignore", "*.log\nbuild/\n!keep.log\n/secret.txt\n# comment\n"),
+        ("/r", "/r/a.log", "x"), ("/r", "/r/keep.log", "x"), ("/r", "/r/src/b.log", "x"),
+        ("/r", "/r/build/out.bin", "x"), ("/r", "/r/src/build/o.bin", "x"),
+        ("/r", "/r/secret.txt", "x"), ("/r", "/r/src/secret.txt", "x"), ("/r", "/r/main.py", "x"),
+        ("/r", "/r/src/.gitignore", "*.tmp\n"), ("/r", "/r/src/x.tmp", "x"), ("/r", "/r/y.tmp", "x"),
+    ]
+    files = spark.createDataFrame(rows, "root string, path string, text string")
+    kept = sorted(r["path"] for r in S.gitignore_filter(files).collect() if not r["path"].endswith(".gitignore"))
+    assert kept == ["/r/keep.log", "/r/main.py", "/r/src/secret.txt", "/r/y.tmp"]
