@@ -114,8 +114,9 @@ def verify_checksums(files: DataFrame, manifest: DataFrame) -> DataFrame:
 
 def retain_versions(versions: DataFrame, keep: int = 5, days: int = 7, now=None) -> DataFrame:
     """K4: keep the newest ``keep`` versions per name, then drop those older than ``days`` before now."""
-    w = Window.partitionBy("name").orderBy(F.col("ts").desc(), F.col("version").desc())
-    v = versions.withColumn("k", F.row_number().over(w)).where(F.col("k") <= keep)
+    from corpus_context.operators.topk import top_k_per_key
+
+    v = top_k_per_key(versions, ["name"], [F.col("ts").desc(), F.col("version").desc()], keep, ["version"])
     now = F.current_timestamp() if now is None else now
     return v.where(F.col("ts") >= now - F.expr(f"INTERVAL {int(days)} DAYS")).drop("k")
 

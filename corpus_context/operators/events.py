@@ -195,11 +195,12 @@ def change_entries(events: DataFrame, diffs: DataFrame) -> DataFrame:
 
 def change_log(entries: DataFrame, n: int = 5) -> DataFrame:
     """W3 + R11: per path the last n changes, newest first, and its display line."""
-    w = Window.partitionBy("root", "path").orderBy(F.col("seq").desc())
-    e = entries.withColumn("k", F.row_number().over(w))
-    g = e.groupBy("root", "path").agg(
-        F.min("seq").alias("first_seq"),
-        F.sort_array(F.collect_list(F.when(F.col("k") <= n, F.struct(F.col("k"), F.col("change")))), asc=True).alias("cs"))
+    from corpus_context.operators.topk import top_k_per_key
+
+    first = entries.groupBy("root", "path").agg(F.min("seq").alias("first_seq"))
+    last = top_k_per_key(entries, ["root", "path"], [F.col("seq").desc()], n, ["seq"])
+    g = last.groupBy("root", "path").agg(F.sort_array(F.collect_list(F.struct("k", "change"))).alias("cs"))
+    g = g.join(first, ["root", "path"])
     g = g.withColumn("changes", F.array_join(F.transform("cs", lambda x: x["change"]), ", "))
     return g.select("root", "path", "first_seq", "changes",
                     F.concat(P.display_path("path", "root"), F.lit("  ("), F.col("changes"), F.lit(")")).alias("line"))
