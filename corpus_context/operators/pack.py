@@ -168,35 +168,37 @@ def assign_chunks(parts: DataFrame, limit: int, header: Column | int = 0, guard:
     return parts.join(idx, ["context_id", "rank"]), ranges
 
 
-def ranked(parts: DataFrame, order_cols, fold_max: int | None = None) -> DataFrame:
+def ranked(parts: DataFrame, order_cols, fold_max: int | None = None, keys=("context_id",)) -> DataFrame:
     """0-based rank per context in ``order_cols`` order.
 
     Contexts up to ``fold_max`` rows use a window per context; larger ones are ranked without
     one task per context (``distributed_rank``). The size check runs on per-context counts.
     """
     fold_max = FOLD_MAX_PARTS if fold_max is None else fold_max
-    w = Window.partitionBy("context_id").orderBy(*order_cols)
-    counts = parts.groupBy("context_id").agg(F.count(F.lit(1)).alias("_n"))
-    big = counts.where(F.col("_n") > fold_max).select("context_id")
+    keys = list(keys)
+    w = Window.partitionBy(*keys).orderBy(*order_cols)
+    counts = parts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    big = counts.where(F.col("_n") > fold_max).select(*keys)
     if big.isEmpty():
         return parts.withColumn("rank", (F.row_number().over(w) - 1).cast("int"))
-    small = parts.join(big, "context_id", "left_anti").withColumn("rank", (F.row_number().over(w) - 1).cast("int"))
-    return small.unionByName(distributed_rank(parts.join(big, "context_id", "left_semi"), order_cols))
+    small = parts.join(big, keys, "left_anti").withColumn("rank", (F.row_number().over(w) - 1).cast("int"))
+    return small.unionByName(distributed_rank(parts.join(big, keys, "left_semi"), order_cols, keys=keys))
 
 
-def distributed_rank(parts: DataFrame, order_cols, n_tasks: int | None = None) -> DataFrame:
+def distributed_rank(parts: DataFrame, order_cols, n_tasks: int | None = None, keys=("context_id",)) -> DataFrame:
     """Rank within context without a per-context window: range-partition on (context, order),
     count rows per (task, context), turn the counts into offsets over that small table, and add
     a row number inside each (task, context) slice. Every window is bounded by a task's rows."""
     spark = parts.sparkSession
     n = n_tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    x = parts.repartitionByRange(n, "context_id", *order_cols).withColumn("_pid", F.spark_partition_id())
+    keys = list(keys)
+    x = parts.repartitionByRange(n, *keys, *order_cols).withColumn("_pid", F.spark_partition_id())
     x = cut_lineage(x)  # fixes the task ids the offsets refer to
-    cnt = x.groupBy("_pid", "context_id").agg(F.count(F.lit(1)).alias("_c"))
-    wo = Window.partitionBy("context_id").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    off = cnt.select("_pid", "context_id", F.coalesce(F.sum("_c").over(wo), F.lit(0)).alias("_off"))
-    wl = Window.partitionBy("_pid", "context_id").orderBy(*order_cols)
-    y = x.join(off, ["_pid", "context_id"]).withColumn("rank", (F.col("_off") + F.row_number().over(wl) - 1).cast("int"))
+    cnt = x.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_c"))
+    wo = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    off = cnt.select("_pid", *keys, F.coalesce(F.sum("_c").over(wo), F.lit(0)).alias("_off"))
+    wl = Window.partitionBy("_pid", *keys).orderBy(*order_cols)
+    y = x.join(off, ["_pid", *keys]).withColumn("rank", (F.col("_off") + F.row_number().over(wl) - 1).cast("int"))
     return y.drop("_pid", "_off")
 
 
@@ -348,24 +350,30 @@ def conservation_check(chunks: DataFrame, parts: DataFrame, overhead: DataFrame
                     (F.coalesce("chars_out", F.lit(0)) == F.coalesce("chars_in", F.lit(0)) + F.coalesce("overhead", F.lit(0))).alias("ok"))
 
 
-def running_tokens(parts: DataFrame) -> DataFrame:
+def running_tokens(parts: DataFrame, fold_max: int | None = None) -> DataFrame:
     """Running total of tokens and the percent done, in path order.
 
     parts(context_id, path, size, t, counted). Percent = processed bytes / total bytes
     when <= 300 files and total > 0, else i / n (i = files before this one), truncated.
-    Skipped files add to the byte total, never to the processed bytes.
-    """
-    w = Window.partitionBy("context_id").orderBy("path")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    allw = Window.partitionBy("context_id")
-    cnt = F.when(F.col("counted"), F.col("t")).otherwise(F.lit(0))
-    x = parts.select(
-        "context_id", "path",
-        F.coalesce(F.sum(cnt).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)).cast("long").alias("running_tokens"),
-        (F.row_number().over(w) - 1).alias("i"),
-        F.count(F.lit(1)).over(allw).alias("n"),
-        F.sum("size").over(allw).alias("total_bytes"),
-        F.coalesce(F.sum(F.when(F.col("counted"), F.col("size")).otherwise(0)).over(before), F.lit(0)).alias("processed_bytes"))
+    Skipped files add to the byte total, never to the processed bytes. Ranks come from the
+    size-checked rank; the two running sums are blocked prefix sums (every window is bounded
+    by a block of ranks)."""
+    from corpus_context.operators.nextfit import BLOCK
+
+    r = ranked(parts, ["path"], fold_max)
+    r = r.withColumn("ct", F.when(F.col("counted"), F.col("t")).otherwise(F.lit(0)).cast("long")).withColumn(
+        "cb", F.when(F.col("counted"), F.col("size")).otherwise(F.lit(0)).cast("long")).withColumn(
+        "blk", (F.col("rank") / F.lit(BLOCK)).cast("long"))
+    bs = r.groupBy("context_id", "blk").agg(F.sum("ct").alias("bt"), F.sum("cb").alias("bb"))
+    wb = Window.partitionBy("context_id").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    bs = bs.select("context_id", "blk", F.coalesce(F.sum("bt").over(wb), F.lit(0)).alias("ot"),
+                   F.coalesce(F.sum("bb").over(wb), F.lit(0)).alias("ob"))
+    tot = parts.groupBy("context_id").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total_bytes"))
+    wl = Window.partitionBy("context_id", "blk").orderBy("rank")
+    x = r.join(bs, ["context_id", "blk"]).join(tot, "context_id").select(
+        "context_id", "path", "n", "total_bytes", F.col("rank").alias("i"),
+        (F.col("ot") + F.sum("ct").over(wl.rowsBetween(Window.unboundedPreceding, 0))).cast("long").alias("running_tokens"),
+        (F.col("ob") + F.coalesce(F.sum("cb").over(wl.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("processed_bytes"))
     pct = F.when((F.col("n") <= 300) & (F.col("total_bytes") > 0),
                  F.floor(F.col("processed_bytes") * 100 / F.col("total_bytes"))).otherwise(F.floor(F.col("i") * 100 / F.col("n")))
     return x.select("context_id", "path", "running_tokens", pct.cast("int").alias("percent"))

@@ -94,11 +94,16 @@ def sort_items(items: DataFrame) -> DataFrame:
 
 def rank_position(items: DataFrame) -> DataFrame:
     """Position among siblings (files first, then by name) and the is_last flag."""
-    x = items.where(F.col("path") != F.col("root")).withColumn("parent", P.dirname("path")).withColumn("name", P.basename("path"))
-    w = Window.partitionBy("root", "parent").orderBy(F.col("is_dir"), F.col("name"))
-    return x.select("root", "path", "parent", "is_dir", "name",
-                    F.row_number().over(w).alias("position"),
-                    F.lead(F.lit(1)).over(w).isNull().alias("is_last"))
+    from corpus_context.operators.pack import ranked
+
+    x = items.where(F.col("path") != F.col("root")).select(
+        "root", "path", P.dirname("path").alias("parent"), "is_dir", P.basename("path").alias("name"))
+    # size-checked rank per folder: a hot folder is ranked across tasks, not in one window
+    r = ranked(x, ["is_dir", "name"], keys=("root", "parent"))
+    n = x.groupBy("root", "parent").agg(F.count(F.lit(1)).alias("_n"))
+    return r.join(n, ["root", "parent"]).select(
+        "root", "path", "parent", "is_dir", "name", (F.col("rank") + 1).alias("position"),
+        (F.col("rank") + 1 == F.col("_n")).alias("is_last"))
 
 
 def restore_selection(sel: DataFrame, items: DataFrame) -> DataFrame:

@@ -290,3 +290,18 @@ def test_gitignore_filter(spark):
     files = spark.createDataFrame(rows, "root string, path string, text string")
     kept = sorted(r["path"] for r in S.gitignore_filter(files).collect() if not r["path"].endswith(".gitignore"))
     assert kept == ["/r/keep.log", "/r/main.py", "/r/src/secret.txt", "/r/y.tmp"]
+
+
+def test_running_tokens_distributed_equals_window(spark):
+    rows = [(f"c{i % 2}", f"f{i:03d}", 100 + i, i % 7, i % 5 != 0) for i in range(90)]
+    parts = spark.createDataFrame(rows, "context_id string, path string, size long, t long, counted boolean")
+    a = sorted(map(tuple, PK.running_tokens(parts).collect()))
+    b = sorted(map(tuple, PK.running_tokens(parts, fold_max=0).collect()))
+    assert a == b
+    # the running total is a prefix sum of counted tokens in path order
+    c0 = [r for r in a if r[0] == "c0"]
+    exp, acc = [], 0
+    for (ctx, path, size, t, counted) in sorted(r for r in rows if r[0] == "c0"):
+        acc += t if counted else 0
+        exp.append(acc)
+    assert [r[2] for r in sorted(c0, key=lambda r: r[1])] == exp
