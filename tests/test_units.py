@@ -305,3 +305,14 @@ def test_running_tokens_distributed_equals_window(spark):
         acc += t if counted else 0
         exp.append(acc)
     assert [r[2] for r in sorted(c0, key=lambda r: r[1])] == exp
+
+
+def test_include_subfolders_and_file_globs(spark):
+    df = spark.createDataFrame([("/w", "/w/a.py"), ("/w", "/w/sub/b.py"), ("/w", "/w/app.log"), ("/w", "/w/sub/x.LOG")],
+                               "root string, path string")
+    top = sorted(r[0] for r in df.where(R.include_subfolders("path", "root", False)).select("path").collect())
+    assert top == ["/w/a.py", "/w/app.log"]
+    allp = df.where(R.include_subfolders("path", "root", True)).count()
+    assert allp == 4
+    kept = sorted(r[0] for r in df.where(~R.ignore_globs("path", ["*.log"])).select("path").collect())
+    assert kept == ["/w/a.py", "/w/sub/b.py", "/w/sub/x.LOG"]  # globs match case-sensitively
