@@ -170,8 +170,31 @@ def drop_empty_parents(items: DataFrame) -> DataFrame:
     return files.unionByName(dirs)
 
 
-def debounce(events: DataFrame, key: str = "root", gap: str = "500 milliseconds") -> DataFrame:
-    """A burst (events closer than ``gap``) collapses into its last event."""
+def debounce(events: DataFrame, key: str = "root", gap: str = "500 milliseconds", fold_max: int | None = None) -> DataFrame:
+    """A burst (events closer than ``gap``) collapses into its last event.
+
+    Sessions without a per-key window: events are ranked in (ts, seq) order per key (size-checked
+    rank), each meets its predecessor by an equi-join on rank - 1, a gap of at least ``gap`` opens a
+    session, and the session number is a blocked running count of those openings."""
+    from corpus_context.operators.pack import blocked_running_sum, ranked
+
+    e = events.select(key, "seq", "ts", "action", "src_path")
+    r = ranked(e.withColumnRenamed(key, "context_id"), ["ts", "seq"], fold_max).withColumnRenamed("context_id", key)
+    prev = r.select(key, (F.col("rank") + 1).alias("rank"), F.col("ts").alias("prev_ts"))
+    j = r.join(prev, [key, "rank"], "left")
+    opens = F.when(F.col("prev_ts").isNull() | (F.col("ts") - F.col("prev_ts") >= F.expr(f"INTERVAL {gap}")), 1).otherwise(0)
+    j = blocked_running_sum(j.withColumn("_open", opens), [key], "_open", "session")
+    g = j.groupBy(key, "session").agg(
+        F.min("ts").alias("s0"), F.max("ts").alias("s1"), F.count(F.lit(1)).alias("n_events"),
+        F.max_by(F.struct("seq", "action", "src_path"), "seq").alias("last"))
+    return g.select(key, F.date_format("s0", TS_FMT).alias("burst_start"),
+                    F.date_format(F.col("s1") + F.expr(f"INTERVAL {gap}"), TS_FMT).alias("burst_end"),
+                    "n_events", F.col("last.seq").alias("seq"), F.col("last.action").alias("action"),
+                    F.col("last.src_path").alias("src_path"))
+
+
+def debounce_session_window(events: DataFrame, key: str = "root", gap: str = "500 milliseconds") -> DataFrame:
+    """S6 with Spark's session windows (the form the stream uses, with a watermark)."""
     g = events.groupBy(key, F.session_window("ts", gap).alias("s")).agg(
         F.max_by(F.struct("seq", "action", "src_path"), "seq").alias("last"), F.count(F.lit(1)).alias("n_events"))
     return g.select(key, F.date_format("s.start", TS_FMT).alias("burst_start"), F.date_format("s.end", TS_FMT).alias("burst_end"),

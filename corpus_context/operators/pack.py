@@ -377,3 +377,17 @@ def running_tokens(parts: DataFrame, fold_max: int | None = None) -> DataFrame:
     pct = F.when((F.col("n") <= 300) & (F.col("total_bytes") > 0),
                  F.floor(F.col("processed_bytes") * 100 / F.col("total_bytes"))).otherwise(F.floor(F.col("i") * 100 / F.col("n")))
     return x.select("context_id", "path", "running_tokens", pct.cast("int").alias("percent"))
+
+
+def blocked_running_sum(df: DataFrame, keys, value: str, out: str, rank_col: str = "rank") -> DataFrame:
+    """Inclusive running sum of ``value`` per key in ``rank_col`` order (dense 0-based ranks), by
+    blocks: block sums, per-key offsets over the small block table, a window inside each block."""
+    from corpus_context.operators.nextfit import BLOCK
+
+    keys = list(keys)
+    d = df.withColumn("_blk", (F.col(rank_col) / F.lit(BLOCK)).cast("long"))
+    bs = d.groupBy(*keys, "_blk").agg(F.sum(value).alias("_bs"))
+    wb = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    bs = bs.select(*keys, "_blk", F.coalesce(F.sum("_bs").over(wb), F.lit(0)).alias("_off"))
+    wl = Window.partitionBy(*keys, "_blk").orderBy(rank_col).rowsBetween(Window.unboundedPreceding, 0)
+    return d.join(bs, [*keys, "_blk"]).withColumn(out, F.col("_off") + F.sum(value).over(wl)).drop("_blk", "_off")

@@ -316,3 +316,13 @@ def test_include_subfolders_and_file_globs(spark):
     assert allp == 4
     kept = sorted(r[0] for r in df.where(~R.ignore_globs("path", ["*.log"])).select("path").collect())
     assert kept == ["/w/a.py", "/w/sub/b.py", "/w/sub/x.LOG"]  # globs match case-sensitively
+
+
+def test_debounce_forms_agree(spark):
+    from corpus_context.sources import testdata as TD
+
+    ev = TD.fs_events(spark, "/root/testdata/sf0.001")
+    a = sorted(map(tuple, EV.debounce(ev, "root", "10 minutes").collect()))
+    b = sorted(map(tuple, EV.debounce(ev, "root", "10 minutes", fold_max=0).collect()))
+    c = sorted(map(tuple, EV.debounce_session_window(ev, "root", "10 minutes").collect()))
+    assert a == b == c and len(a) > 0
