@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpus_context.llm import chat, exact_dedup, url_filter
+from corpus_context.llm import bpe, chat, exact_dedup, packing, url_filter
 from corpus_context.llm.common import table
 
 QUERIES: dict = {}
@@ -135,3 +136,20 @@ g AS (SELECT conv_id, count(*) AS n_turns,
 SELECT conv_id, n_turns, sha256(shown) AS turns_sha256, length(learned) AS loss_chars,
        sha256(learned) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars FROM g
 """
+
+
+# 7 ------------------------------------------------------------------------------------------
+@query
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.digests(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group")
+
+
+# 10 -----------------------------------------------------------------------------------------
+@query
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = bpe.decode(bpe.encode(docs, vocabulary).drop("text"), vocabulary)
+    return bpe.digests(done).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
