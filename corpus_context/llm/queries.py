@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpus_context.llm import bpe, chat, exact_dedup, packing, url_filter
+from corpus_context.llm import bpe, chat, exact_dedup, packing, topk, url_filter
 from corpus_context.llm.common import table
 
 QUERIES: dict = {}
@@ -153,3 +153,20 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = bpe.decode(bpe.encode(docs, vocabulary).drop("text"), vocabulary)
     return bpe.digests(done).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+# 3 ------------------------------------------------------------------------------------------
+@query
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select("vec_id", topk.quantised(F.col("embedding")).alias("v"))
+    return topk.topk(e, F.col("vec_id") % 20 == 0)
+
+
+SQL["op3_topk_search"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
