@@ -37,7 +37,7 @@ _SEPARATORS = regex.compile("[\x1c-\x1f]")  # str.split() cuts there, the patter
 _FLUSH = 4 << 20  # ids of a batch handed back at a time
 
 
-def _byte_characters() -> list[str]:
+def byte_characters() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies: itself where it
     is printable in Latin-1, else the next code point from 256 on."""
     shown = {*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)}
@@ -61,7 +61,7 @@ class PrefixBpe:
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         vocab = model["vocab"]
         self.shown = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
-        self.chars = _byte_characters()
+        self.chars = byte_characters()
         mark = lambda t: t[: -len(suffix)] + _END if t.endswith(suffix) else t
         self.merge: dict[tuple[int, int], int] = {}  # pair -> rank
         self.parts: dict[int, tuple[int, int, int]] = {}  # token -> (rank, left, right)

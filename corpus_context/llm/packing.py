@@ -15,6 +15,7 @@ table gives no rows; extra columns are dropped. Sequence ids are unique, not con
 
 from __future__ import annotations
 
+import json
 import re
 from collections import deque
 
@@ -24,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpus_context.llm.bpe import byte_characters
 from corpus_context.llm.common import Memo
 
 TIERS = (1024, 512, 256, 128)
@@ -32,6 +34,8 @@ STEP_TOKENS = 64 * 1024
 _FLUSH = 4 << 20  # tokens of pieces handed back at a time
 #: White space where cutting at single spaces could change how a run of it is split.
 _RUNS = re.compile(r"  |\s \s")
+#: The split pattern of byte-level vocabularies (fixed value).
+_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 SCHEMA = ("{id} {type}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, "
           "tier int, step_group long")
@@ -39,20 +43,32 @@ SCHEMA = ("{id} {type}, start long, length long, ids binary, doc_tokens long, se
 
 class ByteBpe:
     """Ids, as little-endian 32-bit bytes, of whole texts. Its pattern never joins a letter, digit or sign to
-    a space after it, so the pieces that start at single spaces are encoded by themselves and remembered."""
+    a space after it, so the pieces that start at single spaces are encoded by themselves and remembered.
+    Pieces are short; tiktoken encodes them by the same vocabulary, whose ids are in merge order."""
 
     def __init__(self, spec: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(spec)
         self.tok.no_truncation()
         self.tok.no_padding()
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.piece = Memo(self._encode)
+        vocab = json.loads(spec)["model"]["vocab"]
+        merged = [vocab[a + b] for a, b in json.loads(spec)["model"]["merges"]]
+        if merged != sorted(merged):
+            raise ValueError("the ids of this vocabulary are not in merge order")
+        byte = {c: b for b, c in enumerate(byte_characters())}
+        ranks = {bytes(map(byte.__getitem__, t)): i for t, i in vocab.items()}
+        self.fast = tiktoken.Encoding("pieces", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.piece = Memo(self._piece)
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _piece(self, text: str) -> bytes:
+        return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
+
     def ids(self, text: str) -> bytes:
         if _RUNS.search(text) or any(s in text for s in self.special):
             return self._encode(text)

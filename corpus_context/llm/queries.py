@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpus_context.llm import bpe, chat, exact_dedup, packing, quality, topk, toxicity, url_filter
+from corpus_context.llm import bpe, chat, exact_dedup, jaccard_join, packing, quality, topk, toxicity, url_filter
 from corpus_context.llm.common import table
 
 QUERIES: dict = {}
@@ -183,3 +183,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+# 5 ------------------------------------------------------------------------------------------
+@query
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.near_duplicates(docs).select("doc_id", "class_id", "n_links")
