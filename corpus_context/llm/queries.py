@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpus_context.llm import bpe, chat, exact_dedup, jaccard_join, packing, quality, topk, toxicity, url_filter
+from corpus_context.llm import bpe, bwt_dedup, chat, exact_dedup, jaccard_join, packing, quality, topk, toxicity, url_filter
 from corpus_context.llm.common import table
 
 QUERIES: dict = {}
@@ -190,3 +190,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard_join.near_duplicates(docs).select("doc_id", "class_id", "n_links")
+
+
+# 6 ------------------------------------------------------------------------------------------
+@query
+def op6_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bwt_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
