@@ -83,7 +83,7 @@ def _replay_token_changes(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["root", "seq", "path", "diff"])
 
 
-def move_components(events: DataFrame, max_rounds: int = 64) -> DataFrame:
+def move_components(events: DataFrame) -> DataFrame:
     """Connected components of paths linked by moves: (root, path, comp), comp = the smallest path.
 
     Min-label propagation over the move edges, one join + groupBy per round, each round written
@@ -94,7 +94,7 @@ def move_components(events: DataFrame, max_rounds: int = 64) -> DataFrame:
     edges = mv.unionByName(mv.select("root", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     edges = cut_lineage(edges)
     labels = cut_lineage(edges.select("root", F.col("a").alias("path")).distinct().withColumn("comp", F.col("path")))
-    for _ in range(max_rounds):
+    while True:
         prop = edges.join(labels.withColumnRenamed("path", "b"), ["root", "b"]).select("root", F.col("a").alias("path"), "comp")
         new = labels.unionByName(prop).groupBy("root", "path").agg(F.min("comp").alias("comp"))
         new = cut_lineage(new)

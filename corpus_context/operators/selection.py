@@ -14,14 +14,23 @@ from corpus_context.functions import paths as P
 from corpus_context.functions import tokens as TK
 
 
-def selected_files(ws: DataFrame, sel: DataFrame) -> DataFrame:
-    """Paths of each workspace's active group (missing -> 'Default'); no folder -> no rows.
+def selected_files(ws: DataFrame, sel: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """Paths of each workspace's active group; unset, or not among the workspace's groups -> 'Default';
+    no folder -> no rows. The groups are ``groups(workspace, group_name)``, by default those of ``sel`` and of
+    the workspace's own ``selection_groups``.
 
     -> (workspace, root, group_name, rel, path) with path absolute (P3).
     """
     w = ws.where(F.col("folder_path").isNotNull() & (F.col("folder_path") != "")).select(
         "workspace", F.col("folder_path").alias("root"),
-        F.coalesce(F.col("active_selection_group"), F.lit("Default")).alias("group_name"))
+        F.coalesce(F.col("active_selection_group"), F.lit("Default")).alias("group_name"),
+        *([F.col("selection_groups")] if "selection_groups" in ws.columns and groups is None else []))
+    there = (sel if groups is None else groups).select("workspace", "group_name").distinct().withColumn("_there", F.lit(True))
+    known = F.coalesce("_there", F.lit(False))
+    if "selection_groups" in w.columns:
+        known = known | F.coalesce(F.map_contains_key("selection_groups", F.col("group_name")), F.lit(False))
+    w = w.join(there, ["workspace", "group_name"], "left").select(
+        "workspace", "root", F.when(known, F.col("group_name")).otherwise("Default").alias("group_name"))
     j = sel.select("workspace", "group_name", F.col("path").alias("rel")).distinct().join(w, ["workspace", "group_name"])
     return j.select("workspace", "root", "group_name", "rel", P.to_absolute("rel", "root").alias("path"))
 
@@ -46,14 +55,15 @@ def load_groups(ws: DataFrame) -> tuple[DataFrame, DataFrame]:
 def upsert_group(groups: DataFrame, sel: DataFrame, updates: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Save paths into a group: relative (P2), distinct, sorted; last_updated = now; replaces the group.
 
-    updates(workspace, group_name, path, now) one row per path (absolute or relative);
+    updates(workspace, group_name, path, now) one row per path (absolute or relative); a row with a null
+    path only names the group, so a group saved empty is one such row;
     roots(workspace, root). A new group gets the description '{name} selection'.
     -> (groups, selections(workspace, group_name, rel)).
     """
     u = updates.join(roots, "workspace")
-    u = u.select("workspace", "group_name", "now", P.to_relative(P.to_absolute("path", "root"), "root").alias("rel"))
     keys = u.select("workspace", "group_name").distinct()
     now = u.groupBy("workspace", "group_name").agg(F.max("now").alias("now"))
+    u = u.where(F.col("path").isNotNull()).select("workspace", "group_name", "now", P.to_relative(P.to_absolute("path", "root"), "root").alias("rel"))
     kept_groups = groups.join(keys, ["workspace", "group_name"], "left_anti")
     upd_groups = now.join(groups.select("workspace", "group_name", "description"), ["workspace", "group_name"], "left").select(
         "workspace", "group_name",
@@ -108,12 +118,12 @@ def drift_new(sel_abs: DataFrame, groups: DataFrame, files: DataFrame) -> DataFr
 
 
 def resolve_drift(sel_abs: DataFrame, missing: DataFrame, new: DataFrame, accept: bool | Column = True) -> tuple[DataFrame, DataFrame]:
-    """D3: (selection - missing) + new when accepted, else unchanged; plus a message per group."""
+    """D3: (selection - missing) + new when accepted, else unchanged; plus a message per group.
+    ``accept`` is for all groups, or a Column over (workspace, group_name); null is no."""
     k = ["workspace", "group_name", "path"]
-    if accept is True:
-        out = sel_abs.select(*k).join(missing.select(*k), k, "left_anti").unionByName(new.select(*k)).distinct()
-    else:
-        out = sel_abs.select(*k).distinct()
+    yes = F.coalesce(accept if isinstance(accept, Column) else F.lit(bool(accept)), F.lit(False))
+    gone = missing.select(*k).where(yes)
+    out = sel_abs.select(*k).join(gone, k, "left_anti").unionByName(new.select(*k).where(yes)).distinct()
     nm = missing.groupBy("workspace", "group_name").agg(F.count(F.lit(1)).alias("n_missing"))
     nn = new.groupBy("workspace", "group_name").agg(F.count(F.lit(1)).alias("n_new"))
     msg = nm.join(nn, ["workspace", "group_name"], "full").fillna(0, ["n_missing", "n_new"])

@@ -16,7 +16,7 @@ SELECT '/corpus/' || source AS root,
        '/corpus/' || source || '/' || lang || '/' ||
        CASE doc_id % 7 WHEN 3 THEN 'node_modules/' WHEN 4 THEN 'src/app/' WHEN 5 THEN 'src/build/'
                        WHEN 6 THEN '.hidden/' ELSE '' END ||
-       'doc_' || lpad(CAST(doc_id AS VARCHAR), 6, '0') ||
+       'doc_' || printf('%06d', doc_id) ||
        CASE doc_id % 16 WHEN 0 THEN '.py' WHEN 1 THEN '.md' WHEN 2 THEN '.js' WHEN 3 THEN '.txt'
             WHEN 4 THEN '.json' WHEN 5 THEN '.min.js' WHEN 6 THEN '.TS' WHEN 7 THEN '.log'
             WHEN 8 THEN '.html' WHEN 9 THEN '.rs' WHEN 10 THEN '' WHEN 11 THEN '.png'

@@ -50,7 +50,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     ext = F.element_at(lit_array(_EXTS), (doc % 16 + 1).cast("int"))
     root = F.concat(F.lit("/corpus/"), F.col("source"))
     path = F.concat(root, F.lit("/"), F.col("lang"), F.lit("/"), sub, F.lit("doc_"),
-                    F.lpad(doc.cast("string"), 6, "0"), ext)
+                    F.format_string("%06d", doc), ext)
     text = (
         F.when(doc % 13 == 0, F.repeat(F.col("text"), 16))
         .when(doc % 29 == 0, F.lit(""))
