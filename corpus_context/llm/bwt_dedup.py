@@ -33,14 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpus_context.llm.common import cut_lineage, drop_matching, keep_matching, with_key
+from corpus_context.llm.common import cut_lineage, drop_matching, keep_matching, small_batches, with_key
 from corpus_context.llm.jaccard_join import _mix, _whole_groups
 
 LENGTH, GRAM = 200, 64
 REACH = LENGTH - GRAM  # bytes next to an anchor's gram that a window can hold
 #: Different surroundings of one gram that a single task refines.
 HOT = 100_000
-_SEGMENT = 1 << 20  # bytes parsed at a time
+_SEGMENT = 1 << 18  # bytes parsed at a time
 _LOW = np.uint64((1 << 21) - 1)  # positions in a segment, below the hash bits that order grams
 
 _RESULTS = ("n_bytes", "spans", "kept")
@@ -209,7 +209,8 @@ def _in_spark(around: DataFrame) -> DataFrame:
 def repeated_spans(texts: DataFrame, hot: int = HOT) -> DataFrame:
     """(_key, start, end): byte ranges, not yet merged, that repeated windows cover, of (_key, raw)."""
     parsed = cut_lineage(texts.mapInArrow(_parse, "sym long, around long, _key long, pos long, lo short, hi short"))
-    first = parsed.groupBy("sym").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("sym")
+    # written, so that both sides of the join are plain exchanges, whose large partitions Spark can split
+    first = cut_lineage(parsed.groupBy("sym").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("sym"))
     left = cut_lineage(parsed.join(first, "sym"))
     kinds = cut_lineage(left.groupBy("sym", "around").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("_key", "pos", "lo", "hi")).alias("one")))
@@ -254,6 +255,7 @@ def _cut(batches):
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """``docs`` with n_bytes, spans (removed byte ranges, merged, ascending) and kept (the remaining bytes)."""
+    small_batches(docs.sparkSession)
     keyed = with_key(docs, id_col)
     raw = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")
     spans = repeated_spans(keyed.select("_key", raw.alias("raw")), hot)
