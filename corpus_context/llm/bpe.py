@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpus_context.llm.common import Memo
+from corpus_context.llm.common import Memo, small_batches
 
 _END = "\0"  # stands for the end-of-word suffix, which then is one character
 _SEPARATORS = regex.compile("[\x1c-\x1f]")  # str.split() cuts there, the pattern's \s does not
@@ -60,7 +60,6 @@ class PrefixBpe:
         self.pattern = regex.compile(j["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         vocab = model["vocab"]
-        self.shown = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         self.chars = byte_characters()
         mark = lambda t: t[: -len(suffix)] + _END if t.endswith(suffix) else t
         self.merge: dict[tuple[int, int], int] = {}  # pair -> rank
@@ -76,9 +75,9 @@ class PrefixBpe:
             if made is None or self._stays(made[1], made[2], made[0]):  # others never end an encoding
                 self.matches.add_word(mark(t), (i, len(mark(t))))
         self.matches.make_automaton()
-        self.pair = Memo(lambda ab: self._stays(*ab), 1_000_000)
-        self.word = Memo(self.encode_word, 200_000)
-        self.piece = Memo(self._encode_piece, 200_000)
+        self.pair = Memo(lambda ab: self._stays(*ab), 400_000)
+        self.word = Memo(self.encode_word, 150_000)
+        self.piece = Memo(self._encode_piece, 150_000)
 
     def _stays(self, a: int, b: int, limit: float = float("inf")) -> bool:
         """Whether no merge across the border of tokens ``a`` and ``b`` comes before merge ``limit``, nor
@@ -127,8 +126,11 @@ class PrefixBpe:
                 ids.extend(chain.from_iterable(map(self.piece.__getitem__, part.split())))
         return ids
 
-    def decode(self, ids) -> str:
-        return " ".join(map(self.shown.__getitem__, ids))
+
+def token_strings(spec: str) -> dict[int, str]:
+    """The text that each id stands for."""
+    j = json.loads(spec)
+    return {i: t for t, i in j["model"]["vocab"].items()} | {t["id"]: t["content"] for t in j["added_tokens"]}
 
 
 _LOADED: dict[str, PrefixBpe] = {}
@@ -155,6 +157,7 @@ def _mapped(df: DataFrame, column: str, result: str, result_type: T.DataType, fn
 
 def encode(df: DataFrame, vocabulary: str, text_col: str = "text", result: str = "ids") -> DataFrame:
     """``df`` with the ids (array<int>) of ``text_col``; ``vocabulary`` is the file's path on the driver."""
+    small_batches(df.sparkSession)
     with open(vocabulary, encoding="utf-8") as f:
         spec = df.sparkSession.sparkContext.broadcast(f.read())
 
@@ -166,13 +169,13 @@ def encode(df: DataFrame, vocabulary: str, text_col: str = "text", result: str =
                 ids = np.fromiter(bpe.encode(v.as_py() or ""), np.int32)
                 lists.append(ids)
                 held += len(ids)
+                for memo in (bpe.piece, bpe.word, bpe.pair):
+                    memo.trim()
                 if held > _FLUSH or i == batch.num_rows - 1:
                     offsets = np.cumsum([0, *map(len, lists)], dtype=np.int32)
                     values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists)))
                     yield _with_result(batch, start, i + 1, result, values)
                     lists, start, held = [], i + 1, 0
-            for memo in (bpe.piece, bpe.word, bpe.pair):
-                memo.trim()
 
     return _mapped(df, text_col, result, T.ArrayType(T.IntegerType()), run)
 
@@ -183,12 +186,12 @@ def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", result: str = "
         spec = df.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
-        bpe = load(spec.value)
+        shown = token_strings(spec.value)
         for batch in batches:
             texts, start, held = [], 0, 0
             for i, v in enumerate(batch.column(ids_col)):
                 ids = v.values.to_numpy(zero_copy_only=False).tolist() if v.is_valid else []
-                texts.append(bpe.decode(ids))
+                texts.append(" ".join(map(shown.__getitem__, ids)))
                 held += len(ids)
                 if held > _FLUSH or i == batch.num_rows - 1:
                     yield _with_result(batch, start, i + 1, result, pa.array(texts, pa.string()))

@@ -14,6 +14,18 @@ from corpus_context.session import cut_lineage, scratch_path  # noqa: F401  (re-
 BROADCAST_ROWS = 1_000_000
 
 
+#: Rows of whole texts that one Arrow batch takes to a Python worker, where the session has Spark's default.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long: the default batch of 10,000 rows can be hundreds of MB on both sides of the pipe. A
+    value set by the user stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -21,7 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 class Memo(dict):
     """value = memo[token], computed once per token and worker; ``trim`` bounds its memory."""
 
-    def __init__(self, fn: Callable, limit: int = 300_000):
+    def __init__(self, fn: Callable, limit: int = 150_000):
         super().__init__()
         self.fn, self.limit = fn, limit
 
@@ -34,10 +46,12 @@ class Memo(dict):
             self.clear()
 
 
-def texts_of(batch: pa.RecordBatch, name: str = "text") -> Iterator[str]:
-    """The text column of an Arrow batch, null as empty, one Python string at a time."""
+def texts_of(batch: pa.RecordBatch, name: str = "text", memo: Memo | None = None) -> Iterator[str]:
+    """The text column of an Arrow batch, null as empty, one Python string at a time; ``memo`` is trimmed in between."""
     for v in batch.column(name):
         yield v.as_py() or ""
+        if memo is not None:
+            memo.trim()
 
 
 def with_key(df: DataFrame, id_col: str) -> DataFrame:

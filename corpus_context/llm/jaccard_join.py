@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpus_context.llm.common import Memo, cut_lineage, keep_matching, texts_of, with_key
+from corpus_context.llm.common import Memo, cut_lineage, keep_matching, small_batches, texts_of, with_key
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, BAND_VALUES = 32, 4
@@ -140,7 +140,7 @@ def documents(docs: DataFrame, with_shingles: bool = False) -> DataFrame:
         words = Memo(_word)
         for b in batches:
             keys, out, held = b.column("_key").to_pylist(), [], 0
-            for key, text in zip(keys, texts_of(b)):
+            for key, text in zip(keys, texts_of(b, memo=words)):
                 u = shingles(text, words)
                 raw = u.tobytes()
                 out.append((key, xxhash.xxh3_128_digest(raw), len(u), minhash(u).tobytes(), raw))
@@ -148,7 +148,6 @@ def documents(docs: DataFrame, with_shingles: bool = False) -> DataFrame:
                 if held > 16 << 20:
                     yield _batch(out)
                     out, held = [], 0
-            words.trim()
             if out:
                 yield _batch(out)
 
@@ -311,6 +310,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with class_id and n_links."""
+    small_batches(docs.sparkSession)
     keyed = with_key(docs, id_col)
     texts = keyed.select("_key", F.col(text_col).alias("text"))
     sigs = cut_lineage(documents(texts))

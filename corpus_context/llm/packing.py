@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpus_context.llm.bpe import byte_characters
-from corpus_context.llm.common import Memo
+from corpus_context.llm.common import Memo, small_batches
 
 TIERS = (1024, 512, 256, 128)
 #: Tokens of a step group.
@@ -48,14 +48,12 @@ class ByteBpe:
 
     def __init__(self, spec: str):
         import tiktoken
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_str(spec)
-        self.tok.no_truncation()
-        self.tok.no_padding()
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        vocab = json.loads(spec)["model"]["vocab"]
-        merged = [vocab[a + b] for a, b in json.loads(spec)["model"]["merges"]]
+
+        self.spec, self.whole = spec, None
+        j = json.loads(spec)
+        self.special = [t["content"] for t in j["added_tokens"]]
+        vocab = j["model"]["vocab"]
+        merged = [vocab[a + b] for a, b in j["model"]["merges"]]
         if merged != sorted(merged):
             raise ValueError("the ids of this vocabulary are not in merge order")
         byte = {c: b for b, c in enumerate(byte_characters())}
@@ -64,7 +62,13 @@ class ByteBpe:
         self.piece = Memo(self._piece)
 
     def _encode(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if self.whole is None:  # few texts need it
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_str(self.spec)
+            self.whole.no_truncation()
+            self.whole.no_padding()
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _piece(self, text: str) -> bytes:
         return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
@@ -169,6 +173,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
          tiers=TIERS, step_tokens: int = STEP_TOKENS) -> DataFrame:
     """Pieces of ``docs`` (:data:`SCHEMA`; ids as little-endian 32-bit bytes); ``tokenizer`` is a path on the driver."""
     spark = docs.sparkSession
+    small_batches(spark)
     with open(tokenizer, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
     schema = SCHEMA.format(id=id_col, type=dict(docs.dtypes)[id_col])
@@ -190,6 +195,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             held = 0
             for doc_id, text in zip(batch.column(0), batch.column(1)):
                 ids = bpe.ids(text.as_py() or "") + end
+                bpe.piece.trim()
                 packer.route((doc_id.as_py(), ids, len(ids) // 4))
                 held += len(ids) // 4
                 if held > _FLUSH:
@@ -197,10 +203,10 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                     held = 0
                     yield out()
             packer.pack()
-            bpe.piece.trim()
             if packer.out:
                 yield out()
         packer.close()
+        bpe.piece.clear()  # the worker may go on to other work
         if packer.out:
             yield out()
 

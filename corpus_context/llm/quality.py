@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpus_context.llm.common import Memo, cut_lineage, texts_of
+from corpus_context.llm.common import Memo, cut_lineage, small_batches, texts_of
 from corpus_context.llm.linear import Sparse, fit_logistic, sigmoid
 
 #: Documents that the scorer's fit takes at most, hashed features, ridge penalty and rounds of the fit.
@@ -73,13 +73,13 @@ def votes(text: str, flags: Memo) -> list[int]:
 
 def label(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the vote pattern of each, one character a labeller: g(ood), b(ad) or - (none)."""
+    small_batches(docs.sparkSession)
     kept = docs.select(*[f"`{c}`" for c in docs.columns if c.lower() != "pattern"])
 
     def run(batches):
         flags = Memo(_flags)
         for b in batches:
-            out = ["".join("bg-"[v] for v in votes(t, flags)) for t in texts_of(b, text_col)]
-            flags.trim()
+            out = ["".join("bg-"[v] for v in votes(t, flags)) for t in texts_of(b, text_col, flags)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, "pattern"])
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("pattern", T.StringType())]))
@@ -135,8 +135,7 @@ def _sample_features(sample: DataFrame) -> DataFrame:
     def run(batches):
         shapes = Memo(_shape)
         for b in batches:
-            found = [features(t, shapes) for t in texts_of(b)]
-            shapes.trim()
+            found = [features(t, shapes) for t in texts_of(b, memo=shapes)]
             yield pa.RecordBatch.from_arrays(
                 [b.column("pattern"), pa.array([list(f) for f in found], pa.list_(pa.int32())),
                  pa.array([list(f.values()) for f in found], pa.list_(pa.float64()))], ["pattern", "features", "shares"])
@@ -170,8 +169,7 @@ def score(labelled: DataFrame, posterior: dict[str, float], model: dict[int, flo
         shapes, bias = Memo(_shape), w.get(-1, 0.0)
         for b in batches:
             s = sigmoid(np.array([bias + sum(v * w.get(f, 0.0) for f, v in features(t, shapes).items())
-                                  for t in texts_of(b, text_col)], dtype=float))
-            shapes.trim()
+                                  for t in texts_of(b, text_col, shapes)], dtype=float))
             p = [weak[x] for x in b.column("pattern").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p), pa.array(s), pa.array(s >= 0.5)], [*b.schema.names, *_RESULTS])
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpus_context.llm.common import Memo, cut_lineage, texts_of
+from corpus_context.llm.common import Memo, cut_lineage, small_batches, texts_of
 from corpus_context.llm.linear import Sparse, fit_ordinal, sigmoid
 
 #: Labelled rows of each label that the fit takes at most (those of the smallest id hash).
@@ -56,6 +56,7 @@ def _features(piece: str) -> tuple[int, ...]:
 def sampled(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
     """(id, toxic, share, features) of at most ``bound`` labelled documents a label; ``share`` is the label's
     part of all labelled rows."""
+    small_batches(docs.sparkSession)
     lab = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).where(
         "id is not null and toxic in (0, 1)")
     first = Window.partitionBy("toxic").orderBy(F.xxhash64("id"), "id")
@@ -67,8 +68,7 @@ def sampled(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFram
     def run(batches):
         memo = Memo(_features)
         for b in batches:
-            lists = [np.unique(np.fromiter(chain.from_iterable(map(memo.__getitem__, t.split())), np.int32)) for t in texts_of(b)]
-            memo.trim()
+            lists = [np.unique(np.fromiter(chain.from_iterable(map(memo.__getitem__, t.split())), np.int32)) for t in texts_of(b, memo=memo)]
             yield pa.RecordBatch.from_arrays(
                 [b.column("toxic"), b.column("share"), pa.array(lists, pa.list_(pa.int32()))], ["toxic", "share", "features"])
 
@@ -135,8 +135,7 @@ def score(docs: DataFrame, model: dict[int, float], text_col: str = "text") -> D
         memo = Memo(lambda piece: tuple(f for f in _features(piece) if f in weights))
         for b in batches:
             eta = np.array([sum(weights[f] for f in set(chain.from_iterable(map(memo.__getitem__, set(t.split())))))
-                            for t in texts_of(b, text_col)], dtype=float)
-            memo.trim()
+                            for t in texts_of(b, text_col, memo)], dtype=float)
             above = sigmoid(eta[:, None] - cuts[None, :])
             p = above[:, 0] if len(cuts) else np.zeros(len(eta))
             yield pa.RecordBatch.from_arrays(
