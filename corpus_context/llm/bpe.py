@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpus_context.llm.common import Memo, small_batches
+from corpus_context.llm.common import Memo, releasing, small_batches
 
 _END = "\0"  # stands for the end-of-word suffix, which then is one character
 _SEPARATORS = regex.compile("[\x1c-\x1f]")  # str.split() cuts there, the pattern's \s does not
@@ -152,7 +152,7 @@ def _mapped(df: DataFrame, column: str, result: str, result_type: T.DataType, fn
     kept = df.select(*[f"`{c}`" for c in df.columns if c.lower() != result.lower() or c == column])
     if column.lower() == result.lower():
         raise ValueError("the result needs a name of its own")
-    return kept.mapInArrow(fn, T.StructType([*kept.schema.fields, T.StructField(result, result_type)]))
+    return kept.mapInArrow(releasing(fn), T.StructType([*kept.schema.fields, T.StructField(result, result_type)]))
 
 
 def encode(df: DataFrame, vocabulary: str, text_col: str = "text", result: str = "ids") -> DataFrame:

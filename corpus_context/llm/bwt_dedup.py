@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpus_context.llm.common import cut_lineage, drop_matching, keep_matching, small_batches, with_key
+from corpus_context.llm.common import cut_lineage, drop_matching, keep_matching, releasing, small_batches, with_key
 from corpus_context.llm.jaccard_join import _mix, _whole_groups
 
 LENGTH, GRAM = 200, 64
@@ -208,7 +208,7 @@ def _in_spark(around: DataFrame) -> DataFrame:
 
 def repeated_spans(texts: DataFrame, hot: int = HOT) -> DataFrame:
     """(_key, start, end): byte ranges, not yet merged, that repeated windows cover, of (_key, raw)."""
-    parsed = cut_lineage(texts.mapInArrow(_parse, "sym long, around long, _key long, pos long, lo short, hi short"))
+    parsed = cut_lineage(texts.mapInArrow(releasing(_parse), "sym long, around long, _key long, pos long, lo short, hi short"))
     # written, so that both sides of the join are plain exchanges, whose large partitions Spark can split
     first = cut_lineage(parsed.groupBy("sym").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("sym"))
     left = cut_lineage(parsed.join(first, "sym"))
@@ -222,14 +222,14 @@ def repeated_spans(texts: DataFrame, hot: int = HOT) -> DataFrame:
     lists = cut_lineage(open_.groupBy("_key").agg(
         F.collect_list(F.struct("sym", "n", "pos", "lo", "hi")).alias("found"), F.max("hot").alias("hot")))
     around = keep_matching(texts, lists.select("_key"), "_key").join(lists, "_key").select("_key", "raw", "found").mapInArrow(
-        _surroundings, _AROUND)
+        releasing(_surroundings), _AROUND)
     if lists.where("hot").isEmpty():
-        refined = around.repartition("sym").sortWithinPartitions("sym").mapInArrow(_refine, "_key long, start long, end long")
+        refined = around.repartition("sym").sortWithinPartitions("sym").mapInArrow(releasing(_refine), "_key long, start long, end long")
     else:
         around = cut_lineage(around)
         large = several.where(F.col("kinds") > hot).select("sym")
         refined = around.join(large, "sym", "left_anti").repartition("sym").sortWithinPartitions("sym").mapInArrow(
-            _refine, "_key long, start long, end long").unionByName(_in_spark(around.join(large, "sym", "left_semi")))
+            releasing(_refine), "_key long, start long, end long").unionByName(_in_spark(around.join(large, "sym", "left_semi")))
     return settled.unionByName(refined)
 
 
@@ -268,5 +268,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         {"spans": F.array().cast(_SPANS), "kept": F.col("raw")}).drop("raw", "_key")
     touched = keep_matching(rows, ids, "_key").join(lists, "_key")
     fields = [f for f in touched.schema.fields if f.name not in ("raw", "found")]
-    cut = touched.mapInArrow(_cut, T.StructType([*fields, *T.StructType.fromDDL(f"spans {_SPANS}, kept binary").fields]))
+    cut = touched.mapInArrow(releasing(_cut), T.StructType([*fields, *T.StructType.fromDDL(f"spans {_SPANS}, kept binary").fields]))
     return whole.unionByName(cut.drop("_key"))

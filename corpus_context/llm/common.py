@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -30,6 +31,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def releasing(fn: Callable) -> Callable:
+    """``fn`` for mapInArrow, giving freed memory back to the system when a task's input ends or breaks off: a
+    worker is kept for later tasks, beside those of other stages."""
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 class Memo(dict):
     """value = memo[token], computed once per token and worker; ``trim`` bounds its memory."""
 

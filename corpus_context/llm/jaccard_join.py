@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpus_context.llm.common import Memo, cut_lineage, keep_matching, small_batches, texts_of, with_key
+from corpus_context.llm.common import Memo, cut_lineage, keep_matching, releasing, small_batches, texts_of, with_key
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, BAND_VALUES = 32, 4
@@ -158,7 +158,7 @@ def documents(docs: DataFrame, with_shingles: bool = False) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     schema = "_key long, set_id binary, n long, sig binary" + ", shingles binary" * with_shingles
-    return docs.select("_key", "text").mapInArrow(run, schema)
+    return docs.select("_key", "text").mapInArrow(releasing(run), schema)
 
 
 def _whole_groups(batches, key: list[str]):
@@ -322,7 +322,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.xxhash64("band", "v").alias("group"), "rep")
     shared = bands.groupBy("group").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = bands.join(shared, "group").join(reps.select("rep", "sig"), "rep")
-    edges = _in_blocks(members, "size", BUCKET_BLOCK).mapInArrow(_candidate_forest, "a long, b long")
+    edges = _in_blocks(members, "size", BUCKET_BLOCK).mapInArrow(releasing(_candidate_forest), "a long, b long")
 
     groups = components(edges)
     sizes = groups.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
@@ -330,7 +330,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("node").alias("rep"), F.col("label").alias("group"), "size", "copies"))
     again = documents(keep_matching(texts, groups.select(F.col("rep").alias("_key")), "_key"), with_shingles=True)
     full = again.select(F.col("_key").alias("rep"), "sig", "shingles").join(groups, "rep")
-    found = cut_lineage(_in_blocks(full, "size", GROUP_BLOCK).mapInArrow(_verified, "rep long, links long, root long"))
+    found = cut_lineage(_in_blocks(full, "size", GROUP_BLOCK).mapInArrow(releasing(_verified), "rep long, links long, root long"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
 

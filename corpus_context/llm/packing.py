@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpus_context.llm.bpe import byte_characters
-from corpus_context.llm.common import Memo, small_batches
+from corpus_context.llm.common import Memo, releasing, small_batches
 
 TIERS = (1024, 512, 256, 128)
 #: Tokens of a step group.
@@ -210,7 +210,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         if packer.out:
             yield out()
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(releasing(run), schema)
 
 
 def digests(pieces: DataFrame) -> DataFrame:

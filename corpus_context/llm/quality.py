@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpus_context.llm.common import Memo, cut_lineage, small_batches, texts_of
+from corpus_context.llm.common import Memo, cut_lineage, releasing, small_batches, texts_of
 from corpus_context.llm.linear import Sparse, fit_logistic, sigmoid
 
 #: Documents that the scorer's fit takes at most, hashed features, ridge penalty and rounds of the fit.
@@ -82,7 +82,7 @@ def label(docs: DataFrame, text_col: str = "text") -> DataFrame:
             out = ["".join("bg-"[v] for v in votes(t, flags)) for t in texts_of(b, text_col, flags)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, "pattern"])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("pattern", T.StringType())]))
+    return kept.mapInArrow(releasing(run), T.StructType([*kept.schema.fields, T.StructField("pattern", T.StringType())]))
 
 
 def estimate(patterns: list[str], counts: list[int], rounds: int = EM_ROUNDS):
@@ -140,7 +140,7 @@ def _sample_features(sample: DataFrame) -> DataFrame:
                 [b.column("pattern"), pa.array([list(f) for f in found], pa.list_(pa.int32())),
                  pa.array([list(f.values()) for f in found], pa.list_(pa.float64()))], ["pattern", "features", "shares"])
 
-    return sample.select("pattern", "text").mapInArrow(run, "pattern string, features array<int>, shares array<double>")
+    return sample.select("pattern", "text").mapInArrow(releasing(run), "pattern string, features array<int>, shares array<double>")
 
 
 def _fit(posterior: dict[str, float]):
@@ -173,7 +173,7 @@ def score(labelled: DataFrame, posterior: dict[str, float], model: dict[int, flo
             p = [weak[x] for x in b.column("pattern").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p), pa.array(s), pa.array(s >= 0.5)], [*b.schema.names, *_RESULTS])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *[T.StructField(k, v) for k, v in _RESULTS.items()]]))
+    return kept.mapInArrow(releasing(run), T.StructType([*kept.schema.fields, *[T.StructField(k, v) for k, v in _RESULTS.items()]]))
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound: int = SAMPLE) -> DataFrame:

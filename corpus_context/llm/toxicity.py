@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpus_context.llm.common import Memo, cut_lineage, small_batches, texts_of
+from corpus_context.llm.common import Memo, cut_lineage, releasing, small_batches, texts_of
 from corpus_context.llm.linear import Sparse, fit_ordinal, sigmoid
 
 #: Labelled rows of each label that the fit takes at most (those of the smallest id hash).
@@ -72,7 +72,7 @@ def sampled(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFram
             yield pa.RecordBatch.from_arrays(
                 [b.column("toxic"), b.column("share"), pa.array(lists, pa.list_(pa.int32()))], ["toxic", "share", "features"])
 
-    return texts.select("toxic", "share", "text").mapInArrow(run, "toxic int, share long, features array<int>")
+    return texts.select("toxic", "share", "text").mapInArrow(releasing(run), "toxic int, share long, features array<int>")
 
 
 def _matrix(features: pa.ChunkedArray):
@@ -142,7 +142,7 @@ def score(docs: DataFrame, model: dict[int, float], text_col: str = "text") -> D
                 [*b.columns, pa.array(p), pa.array(above.sum(1)), pa.array((above >= 0.5).sum(1).astype(np.int32)), pa.array((p >= REJECT) & (eta > 0))],
                 [*b.schema.names, *_RESULTS])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *[T.StructField(k, v) for k, v in _RESULTS.items()]]))
+    return kept.mapInArrow(releasing(run), T.StructType([*kept.schema.fields, *[T.StructField(k, v) for k, v in _RESULTS.items()]]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
