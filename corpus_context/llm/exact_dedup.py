@@ -35,6 +35,8 @@ _STATE_CONF = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "100",
+    # else each partition's store takes some 4 MB of disk in advance, however little it holds
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
