@@ -35,6 +35,8 @@ from corpus_context.llm.linear import Sparse, fit_ordinal, sigmoid
 
 #: Labelled rows of each label that the fit takes at most (those of the smallest id hash).
 SAMPLE = 4_000
+#: Bits of the ranges in which labelled rows are counted first; one range has 1 / 4,096 of a label's rows.
+RANGE_BITS = 12
 #: Features: hashed to this many; those in fewer sampled texts than the least are left out.
 DIMENSIONS, LEAST_TEXTS = 1 << 22, 3
 GRADES, ROUNDS, ROUNDS_AFTER = 3, 300, 4_000
@@ -59,8 +61,15 @@ def sampled(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFram
     small_batches(docs.sparkSession)
     lab = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).where(
         "id is not null and toxic in (0, 1)")
+    # the ranges of hashes that hold a label's first ``bound`` rows, so that no task orders all rows of a label
+    lab = lab.withColumn("range", F.shiftright(F.xxhash64("id"), 64 - RANGE_BITS))
+    before = F.coalesce(F.sum("count").over(Window.partitionBy("toxic").orderBy("range").rowsBetween(
+        Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = lab.groupBy("toxic", "range").count().withColumn("before", before).where(F.col("before") < bound)
+    last = ranges.groupBy("toxic").agg(F.max("range").alias("last"))
+    some = lab.join(F.broadcast(last), "toxic").where(F.col("range") <= F.col("last")).drop("range", "last")
     first = Window.partitionBy("toxic").orderBy(F.xxhash64("id"), "id")
-    some = lab.withColumn("k", F.row_number().over(first)).where(F.col("k") <= bound).drop("k")
+    some = some.withColumn("k", F.row_number().over(first)).where(F.col("k") <= bound).drop("k")
     total = lab.groupBy("toxic").agg(F.count(F.lit(1)).alias("share"))
     some = some.join(F.broadcast(total), "toxic")
     texts = docs.select(F.col("doc_id").alias("id"), F.col("text")).join(F.broadcast(some), "id")  # 2 x bound rows at most
