@@ -134,31 +134,47 @@ def token_changes_no_moves(events: DataFrame) -> DataFrame:
 
 
 def apply_events(base: DataFrame, events: DataFrame) -> DataFrame:
-    """S3: files after the events. base(root, path, token_count).
+    """S3: files and folders after the events. base(root, path, token_count).
 
-    created / moved-in make a path present, deleted / moved-out absent; the
-    last structural event of a path decides (seq order); modified changes no
-    structure but updates the count. Parent folders are created as needed and
-    kept when empty.
+    created adds a path with the event's count and does nothing where the path is present; deleted removes the
+    path and everything below; moved is a delete of the source, then a creation of the target; modified only
+    sets the count of a present file. Parent folders come with what is created below and stay when it goes; a
+    path that is such a folder is not a file.
+
+    Without a replay: only the last removal of a path or of a folder above it matters, and a path is present
+    if it was created (or a folder's content was) after that. The first such creation gives the count.
     """
-    e = events.select("root", "seq", "action", "src_path", "dst_path", "tokens")
-    rows = (e.where(F.col("action") != "moved").select("root", "seq", "action", F.col("src_path").alias("path"), "tokens")
-            .unionByName(e.where(F.col("action") == "moved").select("root", "seq", F.lit("moved_out").alias("action"),
-                                                                   F.col("src_path").alias("path"), "tokens"))
-            .unionByName(e.where(F.col("action") == "moved").select("root", "seq", F.lit("moved_in").alias("action"),
-                                                                   F.col("dst_path").alias("path"), "tokens")))
-    structural = rows.where(F.col("action") != "modified")
-    last = structural.groupBy("root", "path").agg(F.max_by("action", "seq").alias("last_action"), F.max("seq").alias("last_seq"))
-    counts = rows.where(F.col("action").isin("created", "moved_in", "modified")).groupBy("root", "path").agg(
-        F.max_by("tokens", "seq").alias("ev_tokens"))
-    b = base.select("root", "path", "token_count").withColumn("in_base", F.lit(True))
-    j = b.join(last, ["root", "path"], "full").join(counts, ["root", "path"], "left")
-    present = F.when(F.col("last_action").isNull(), F.coalesce("in_base", F.lit(False))).otherwise(
-        F.col("last_action").isin("created", "moved_in"))
-    files = j.where(present).select("root", "path", F.lit(False).alias("is_dir"),
-                                    F.coalesce("ev_tokens", "token_count", F.lit(0)).cast("long").alias("token_count"))
-    ever = rows.where(F.col("action").isin("created", "moved_in")).select("root", "path").unionByName(b.select("root", "path"))
-    dirs = ever.select("root", F.explode(P.ancestors("path", "root")).alias("path")).where(F.col("path") != F.col("root")).distinct()
+    e = events.select("root", F.col("seq").cast("long").alias("seq"), "action", "src_path", "dst_path", "tokens")
+
+    def ord_at(seq, step):  # a move's removal comes before its creation
+        return F.struct(seq.alias("seq"), F.lit(step).alias("step")).alias("ord")
+
+    first = ord_at(F.lit(-(1 << 63)).cast("long"), 0)
+    births = (base.select("root", "path", first, F.col("token_count").cast("long").alias("tokens"))
+              .unionByName(e.where(F.col("action") == "created").select(
+                  "root", F.col("src_path").alias("path"), ord_at(F.col("seq"), 0), F.col("tokens").cast("long").alias("tokens")))
+              .unionByName(e.where(F.col("action") == "moved").select(
+                  "root", F.col("dst_path").alias("path"), ord_at(F.col("seq"), 1), F.col("tokens").cast("long").alias("tokens"))))
+    removals = e.where(F.col("action").isin("deleted", "moved")).groupBy("root", F.col("src_path").alias("up")).agg(
+        F.max(ord_at(F.col("seq"), 0)).alias("removed"))
+    above = births.select("root", F.explode(P.ancestors("path", "root")).alias("path"), "ord").where(F.col("path") != F.col("root"))
+    dirs = above.groupBy("root", "path").agg(F.max("ord").alias("ord"))
+    nodes = births.select("root", "path").unionByName(dirs.select("root", "path")).distinct()
+    chain = nodes.select("root", "path", F.explode(F.array_union(P.ancestors("path", "root"), F.array("path"))).alias("up"))
+    removed = chain.join(removals, ["root", "up"]).groupBy("root", "path").agg(F.max("removed").alias("removed"))
+
+    def present(df):
+        return df.join(removed, ["root", "path"], "left").where(F.col("removed").isNull() | (F.col("ord") > F.col("removed")))
+
+    dirs = present(dirs).select("root", "path")
+    files = present(births).groupBy("root", "path").agg(F.min("ord").alias("birth"), F.min_by("tokens", "ord").alias("tokens"))
+    files = files.join(dirs, ["root", "path"], "left_anti")
+    changes = e.where(F.col("action") == "modified").select("root", F.col("src_path").alias("path"), ord_at(F.col("seq"), 0),
+                                                            F.col("tokens").cast("long").alias("new_tokens"))
+    latest = files.select("root", "path", "birth").join(changes, ["root", "path"]).where(F.col("ord") > F.col("birth")).groupBy(
+        "root", "path").agg(F.max_by("new_tokens", "ord").alias("new_tokens"))
+    files = files.join(latest, ["root", "path"], "left").select(
+        "root", "path", F.lit(False).alias("is_dir"), F.coalesce("new_tokens", "tokens", F.lit(0)).cast("long").alias("token_count"))
     return files.unionByName(dirs.select("root", "path", F.lit(True).alias("is_dir"), F.lit(0).cast("long").alias("token_count")))
 
 

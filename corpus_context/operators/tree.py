@@ -111,6 +111,23 @@ def restore_selection(sel: DataFrame, items: DataFrame) -> DataFrame:
     return sel.join(_file_rows(items).select("root", "path"), ["root", "path"], "left_semi")
 
 
+def toggle_paths(items: DataFrame, sel: DataFrame, toggles: DataFrame) -> DataFrame:
+    """Selected files (root, path) after the paths of ``toggles(root, path)`` were toggled at once.
+
+    A file flips. A folder that is checked (G4) unchecks all files below it, any other folder checks them.
+    Every toggle sees the state before; under several toggled folders the deepest decides, and a file's own
+    toggle goes before those of its folders. Unknown paths do nothing; toggles in turn are calls in turn."""
+    files = mark_selected(_file_rows(items), sel).select("root", "path", "selected")
+    toggles = toggles.select("root", "path").distinct()
+    of_files = files.join(toggles, ["root", "path"], "left_semi").select("root", F.col("path").alias("up"), (~F.col("selected")).alias("to"))
+    of_dirs = folder_state(items, sel).join(toggles.withColumnRenamed("path", "dir"), ["root", "dir"], "left_semi").select(
+        "root", F.col("dir").alias("up"), (F.col("state") != "checked").alias("to"))
+    chain = files.select("root", "path", F.explode(F.array_union(P.ancestors("path", "root"), F.array("path"))).alias("up"))
+    decided = chain.join(of_files.unionByName(of_dirs), ["root", "up"]).groupBy("root", "path").agg(
+        F.max_by("to", F.length("up")).alias("to"))
+    return files.join(decided, ["root", "path"], "left").where(F.coalesce("to", "selected")).select("root", "path")
+
+
 def items_from_paths(paths: DataFrame) -> DataFrame:
     """Items from remembered relative paths only: root row, each path (P7), all parents; no duplicates.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpus_context.functions import paths as P
 from corpus_context.operators import events as EV
 from corpus_context.operators import selection as SEL
 from corpus_context.plans.oracle_views import VIEWS, DEPS, with_views
@@ -33,21 +34,40 @@ SELECT root, seq, path, diff FROM (
   SELECT root, seq, path, diff FROM walk WHERE diff IS NOT NULL AND diff <> 0)"""
 DEPS["tc"] = ["fs_events"]
 
-VIEWS["ev_rows"] = """
-SELECT root, seq, action, src_path AS path, tokens FROM fs_events WHERE action <> 'moved'
-UNION ALL SELECT root, seq, 'moved_out', src_path, tokens FROM fs_events WHERE action = 'moved'
-UNION ALL SELECT root, seq, 'moved_in', dst_path, tokens FROM fs_events WHERE action = 'moved'"""
-DEPS["ev_rows"] = ["fs_events"]
+# S3: every seventh delete removes the whole folder; a third of the modified files are there from the start
+VIEWS["tree_events"] = """
+SELECT root, seq, action, CASE WHEN action = 'deleted' AND seq % 7 = 0 THEN regexp_extract(src_path, '^(.*)/[^/]*$', 1)
+                               ELSE src_path END AS src_path, dst_path, tokens FROM fs_events"""
+DEPS["tree_events"] = ["fs_events"]
+
+VIEWS["tree_base"] = """
+SELECT root, src_path AS path, arg_min(tokens, seq) AS token_count FROM fs_events
+WHERE action = 'modified' AND seq % 3 = 0 GROUP BY ALL"""
+DEPS["tree_base"] = ["fs_events"]
+
+VIEWS["births"] = """
+SELECT root, path, -1 AS step, token_count AS tokens FROM tree_base
+UNION ALL SELECT root, src_path, 2 * seq, tokens FROM tree_events WHERE action = 'created'
+UNION ALL SELECT root, dst_path, 2 * seq + 1, tokens FROM tree_events WHERE action = 'moved'"""
+DEPS["births"] = ["tree_base", "tree_events"]
+
+VIEWS["removals"] = """
+SELECT root, src_path AS path, max(2 * seq) AS step FROM tree_events WHERE action IN ('deleted', 'moved') GROUP BY ALL"""
+DEPS["removals"] = ["tree_events"]
 
 VIEWS["applied"] = """
-SELECT root, path, FALSE AS is_dir, coalesce(t.tk, 0) AS token_count FROM (
-  SELECT root, path, arg_max(action, seq) AS last_action FROM ev_rows WHERE action <> 'modified' GROUP BY ALL) l
-LEFT JOIN (SELECT root AS r2, path AS p2, arg_max(tokens, seq) AS tk FROM ev_rows
-           WHERE action IN ('created', 'moved_in', 'modified') GROUP BY ALL) t ON t.r2 = l.root AND t.p2 = l.path
-WHERE last_action IN ('created', 'moved_in')
+SELECT f.root, f.path, FALSE AS is_dir,
+       coalesce((SELECT arg_max(m.tokens, m.seq) FROM tree_events m WHERE m.action = 'modified' AND m.root = f.root
+                 AND m.src_path = f.path AND 2 * m.seq > f.birth), f.tokens, 0) AS token_count
+FROM (SELECT b.root, b.path, min(b.step) AS birth, arg_min(b.tokens, b.step) AS tokens FROM births b
+      WHERE NOT EXISTS (SELECT 1 FROM removals r WHERE r.root = b.root AND r.step > b.step
+                        AND (r.path = b.path OR starts_with(b.path, r.path || '/'))) GROUP BY ALL) f
 UNION ALL
-SELECT DISTINCT root, regexp_extract(path, '^(.*)/[^/]*$', 1), TRUE, 0 FROM ev_rows WHERE action IN ('created', 'moved_in')"""
-DEPS["applied"] = ["ev_rows"]
+SELECT DISTINCT d.root, d.path, TRUE, 0
+FROM (SELECT root, regexp_extract(path, '^(.*)/[^/]*$', 1) AS path, max(step) AS step FROM births GROUP BY ALL) d
+WHERE NOT EXISTS (SELECT 1 FROM removals r WHERE r.root = d.root AND r.step > d.step
+                  AND (r.path = d.path OR starts_with(d.path, r.path || '/')))"""
+DEPS["applied"] = ["births", "removals", "tree_events"]
 
 VIEWS["entries"] = """
 SELECT root, seq, path, CASE WHEN diff > 0 THEN '+' ELSE '' END || CAST(diff AS VARCHAR) || ' tokens' AS change FROM tc
@@ -69,6 +89,15 @@ def _events(spark, sf):
     return TD.fs_events(spark, sf)
 
 
+def _tree(spark, sf):
+    """Base files and events for S3 (views tree_base, tree_events)."""
+    ev = _events(spark, sf)
+    base = ev.where("action = 'modified' and seq % 3 = 0").groupBy("root", F.col("src_path").alias("path")).agg(
+        F.min_by("tokens", "seq").alias("token_count"))
+    whole = (F.col("action") == "deleted") & (F.col("seq") % 7 == 0)
+    return base, ev.withColumn("src_path", F.when(whole, P.dirname("src_path")).otherwise(F.col("src_path")))
+
+
 @query("snapshot_diff", "A9 K3", with_views("""
 WITH o AS (SELECT root, path, strlen(text) AS sz, sha256(text) AS h FROM old_files),
 n AS (SELECT root, path, strlen(text) AS sz, sha256(text) AS h FROM new_files),
@@ -114,8 +143,7 @@ def q_token_changes(spark, sf):
 
 @query("apply_events", "S3", with_views("SELECT root, path, is_dir, token_count FROM applied", "applied"))
 def q_apply_events(spark, sf):
-    base = spark.createDataFrame([], "root string, path string, token_count long")
-    return EV.apply_events(base, _events(spark, sf))
+    return EV.apply_events(*_tree(spark, sf))
 
 
 @query("drop_empty_parents", "S5", with_views("""
@@ -124,8 +152,7 @@ UNION ALL
 SELECT a.root, a.path, a.is_dir, a.token_count FROM applied a WHERE a.is_dir AND EXISTS (
   SELECT 1 FROM applied f WHERE NOT f.is_dir AND f.root = a.root AND starts_with(f.path, a.path || '/'))""", "applied"))
 def q_drop_empty_parents(spark, sf):
-    base = spark.createDataFrame([], "root string, path string, token_count long")
-    return EV.drop_empty_parents(EV.apply_events(base, _events(spark, sf)))
+    return EV.drop_empty_parents(EV.apply_events(*_tree(spark, sf)))
 
 
 @query("debounce", "S6", with_views("""

@@ -161,6 +161,22 @@ def q_restore_selection(spark, sf):
     return TR.restore_selection(selected_abs(spark, sf).distinct(), corpus_items(spark, sf))
 
 
+@query("toggle_paths", "J2", with_views(f"""
+WITH s AS ({_SEL_SQL}),
+f AS (SELECT i.root, i.path, s.path IS NOT NULL AS checked FROM items i LEFT JOIN s ON s.root = i.root AND s.path = i.path
+      WHERE NOT i.is_dir),
+t AS (SELECT root, path FROM items WHERE CASE WHEN is_dir THEN regexp_matches(path, '/(src|app)$') ELSE ends_with(path, '.py') END),
+d AS (SELECT t.root, t.path, NOT bool_and(f.checked) AS target FROM t
+      JOIN f ON f.root = t.root AND (f.path = t.path OR starts_with(f.path, t.path || '/')) GROUP BY ALL),
+r AS (SELECT f.root, f.path, f.checked, arg_max(d.target, length(d.path)) AS target FROM f
+      LEFT JOIN d ON d.root = f.root AND (f.path = d.path OR starts_with(f.path, d.path || '/')) GROUP BY ALL)
+SELECT root, path FROM r WHERE coalesce(target, checked)""", "items", "selections"))
+def q_toggle_paths(spark, sf):
+    items = corpus_items(spark, sf)
+    hit = F.when(F.col("is_dir"), F.col("path").rlike("/(src|app)$")).otherwise(F.col("path").endswith(".py"))
+    return TR.toggle_paths(items, selected_abs(spark, sf), items.where(hit))
+
+
 @query("file_rules", "B3 B4 B5 B6 B7 B9 B11 B14 X1 X6 P5 P7", with_views(f"""
 SELECT root, path,
        {SKIP_REASON_SQL} AS skip_reason,

@@ -53,3 +53,32 @@ def test_saving_an_empty_group(spark):
     roots = spark.createDataFrame([("w", "/r")], "workspace string, root string")
     g, s = SEL.upsert_group(groups, sel, upd, roots)
     assert [(r.description, r.last_updated) for r in g.collect()] == [("d", 2.0)] and s.count() == 0
+
+
+def test_events_on_folders_and_present_paths(spark):
+    base = spark.createDataFrame([("/r", "/r/a/x.py", 10), ("/r", "/r/a/y.py", 20), ("/r", "/r/b.py", 7), ("/r", "/r/ab.py", 1)],
+                                 "root string, path string, token_count long")
+    ev = spark.createDataFrame([("/r", 1, "deleted", "/r/a", None, None), ("/r", 2, "created", "/r/b.py", None, 99),
+                                ("/r", 3, "created", "/r/c/d/e.py", None, 4), ("/r", 4, "moved", "/r/c/d", "/r/f/g.py", 6),
+                                ("/r", 5, "modified", "/r/f/g.py", None, 8), ("/r", 6, "created", "/r/c", None, 3)],
+                               "root string, seq long, action string, src_path string, dst_path string, tokens long")
+    got = {(r.path, r.is_dir, r.token_count) for r in EV.apply_events(base, ev).collect()}
+    assert got == {("/r/b.py", False, 7), ("/r/ab.py", False, 1), ("/r/f/g.py", False, 8), ("/r/f", True, 0), ("/r/c", True, 0)}
+
+
+def test_toggle_files_and_folders(spark):
+    from corpus_context.operators.tree import toggle_paths
+
+    paths = ["/r/a/x", "/r/a/y", "/r/b/u", "/r/b/k/v", "/r/w"]
+    items = spark.createDataFrame([("/r", p, False) for p in paths] + [("/r", p, True) for p in ("/r/a", "/r/b", "/r/b/k")],
+                                  "root string, path string, is_dir boolean")
+    sel = spark.createDataFrame([("/r", "/r/a/x"), ("/r", "/r/b/u"), ("/r", "/r/b/k/v")], "root string, path string")
+
+    def toggled(*at):
+        t = spark.createDataFrame([("/r", p) for p in at], "root string, path string")
+        return sorted(r.path for r in toggle_paths(items, sel, t).collect())
+
+    assert toggled("/r/a") == ["/r/a/x", "/r/a/y", "/r/b/k/v", "/r/b/u"]  # partial: all below are checked
+    assert toggled("/r/b") == ["/r/a/x"]  # checked: all below are unchecked
+    assert toggled("/r/w", "/r/a/x", "/r/gone") == ["/r/b/k/v", "/r/b/u", "/r/w"]
+    assert toggled("/r/a", "/r/a/x") == ["/r/a/y", "/r/b/k/v", "/r/b/u"]  # the file's own toggle decides
