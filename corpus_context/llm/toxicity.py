@@ -4,6 +4,8 @@ Texts become sparse presence features (hashed lower-case words). One weight vect
 ordered thresholds: P(grade > j) = sigmoid(x.w - cut_j). The fit (an L1 penalty selects words, which are
 then fitted again with almost none) is made in one task
 on a sample of labelled rows that is bounded by :data:`SAMPLE` rows a label; every document is scored.
+Both labels weigh the same in the fit, so that words are selected alike however rare toxic labels are; the cuts are
+then moved by the log odds of the labels' share among all labelled rows.
 Results: ``p_toxic`` = P(grade > 0), ``expected_severity`` = the sum of P(grade > j) over the cuts, ``grade`` =
 the number of cuts passed with probability one half or more, ``rejected`` = p_toxic >= :data:`REJECT` for a
 text with some feature that speaks for toxicity.
@@ -40,8 +42,9 @@ RANGE_BITS = 12
 #: Features: hashed to this many; those in fewer sampled texts than the least are left out.
 DIMENSIONS, LEAST_TEXTS = 1 << 22, 3
 GRADES, ROUNDS, ROUNDS_AFTER = 3, 300, 4_000
-#: L1 penalty that selects the words, and the weak one of the second fit on the selected words.
-L1, L1_AFTER = 1e-3, 1e-4
+#: L1 penalty that selects the words, and the weak one of the second fit on the selected words. With few sampled
+#: rows (under 2 x L1_ROWS a label) both grow like the standard error of a word's shares in the two labels.
+L1, L1_AFTER, L1_ROWS = 2.5e-3, 1.5e-4, 1_000
 #: Probability from which a text is rejected: a missed toxic text costs more than a second look.
 REJECT = 0.2
 #: A marker word is in at least so many sampled toxic texts, and this share of its texts is toxic.
@@ -109,18 +112,20 @@ def _fit(t: pa.Table) -> pa.Table:
     toxic, share = t.column("toxic").to_numpy(), t.column("share").to_numpy().astype(float)
     rows, cols, numbers = _matrix(t.column("features"))
     n, d = len(toxic), len(numbers)
-    here = np.bincount(toxic, minlength=2)[toxic]
-    weight = share / here  # the sample stands for all labelled rows
-    weight /= weight.sum()
-    w, cuts = np.zeros(d), np.full(GRADES - 1, -np.log(1 / min(max(weight[toxic == 1].sum(), 1e-9), 0.49) - 1))
+    here = np.bincount(toxic, minlength=2)
+    natural = share / here[toxic]  # the sample stands for all labelled rows
+    natural = (natural / natural.sum())[toxic == 1].sum()
+    w, cuts = np.zeros(d), np.full(GRADES - 1, -np.log(1 / min(max(natural, 1e-9), 0.49) - 1))
     if 0 < toxic.sum() < n and d:
-        grade = graded(toxic, rows, cols, d)
-        w, cuts = fit_ordinal(Sparse(rows, cols, np.ones(len(rows)), n, d), grade, weight, GRADES, L1, ROUNDS)
+        grade, weight = graded(toxic, rows, cols, d), 0.5 / here[toxic]
+        noise = max(1, np.sqrt((L1_ROWS / here).sum()))
+        w, cuts = fit_ordinal(Sparse(rows, cols, np.ones(len(rows)), n, d), grade, weight, GRADES, L1 * noise, ROUNDS)
         chosen = np.nonzero(w)[0]
         held = w[cols] != 0
         again = Sparse(rows[held], (np.cumsum(w != 0) - 1)[cols[held]], np.ones(held.sum()), n, len(chosen))
         w = np.zeros(d)
-        w[chosen], cuts = fit_ordinal(again, grade, weight, GRADES, L1_AFTER, ROUNDS_AFTER)
+        w[chosen], cuts = fit_ordinal(again, grade, weight, GRADES, L1_AFTER * noise, ROUNDS_AFTER)
+        cuts = cuts - np.log(natural / (1 - natural))
     used = w != 0
     return pa.table({"feature": np.concatenate([-1 - np.arange(len(cuts)), numbers[used]]).astype(np.int64),
                      "weight": np.concatenate([cuts, w[used]])})

@@ -86,6 +86,23 @@ def test_toxicity_learns_and_handles_odd_rows(spark, none):
     assert toxicity.score(none, model).count() == 0
 
 
+def test_toxicity_with_rare_toxic_labels(spark):
+    r = random.Random(5)
+    bad = [f"slur{k}" for k in range(8)]
+
+    def text(toxic):
+        words = ["".join(r.choice("abcdefgh") for _ in range(3)) for _ in range(30)] + toxic * r.sample(bad, 4)
+        return " ".join(r.sample(words, len(words)))
+
+    rows = [(i, text(i % 1001 == 0)) for i in range(12 * 1001)]  # 0.1 % toxic; the sample takes 4,000 clean ones
+    new = [(100_000 + i, text(i < 200)) for i in range(1000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int(i % 1001 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    out = toxicity.score(spark.createDataFrame(new, d.schema), toxicity.fit(d, lab)).collect()
+    assert sum(x.rejected for x in out if x.doc_id < 100_200) >= 180
+    assert sum(x.rejected for x in out if x.doc_id >= 100_200) <= 4
+
+
 def test_ordinal_cuts_are_ordered_and_shared():
     from corpus_context.llm.linear import Sparse, fit_ordinal
 
