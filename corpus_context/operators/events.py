@@ -58,51 +58,77 @@ def batch_events(events: DataFrame, every: str = "150 milliseconds") -> DataFram
                     F.array_join(F.transform("evs", lambda x: F.concat(x["action"], F.lit(":"), x["src_path"])), ";").alias("events"))
 
 
-_TC_SCHEMA = T.StructType([
-    T.StructField("root", T.StringType()), T.StructField("seq", T.LongType()),
-    T.StructField("path", T.StringType()), T.StructField("diff", T.LongType()),
-])
-
-
-def _replay_token_changes(pdf: pd.DataFrame) -> pd.DataFrame:
-    # the per-root replay of the watcher's cache; small per-row helper inside one Arrow batch
-    pdf = pdf.sort_values("seq")
-    cache: dict = {}
-    out = []
-    for root, seq, action, src, dst, tokens in zip(pdf["root"], pdf["seq"], pdf["action"], pdf["src_path"],
-                                                   pdf["dst_path"], pdf["tokens"]):
-        if action == "modified":
-            old = cache.get(src, tokens)
-            cache[src] = tokens
-            if tokens - old != 0:
-                out.append((root, int(seq), src, int(tokens - old)))
-        elif action == "deleted":
-            cache.pop(src, None)
-        elif action == "moved" and src in cache:
-            cache[dst] = cache.pop(src)
-    return pd.DataFrame(out, columns=["root", "seq", "path", "diff"])
-
-
-def move_components(events: DataFrame) -> DataFrame:
-    """Connected components of paths linked by moves: (root, path, comp), comp = the smallest path.
-
-    Min-label propagation over the move edges, one join + groupBy per round, each round written
-    to the checkpoint folder; stops when no label changes (rounds = component diameter)."""
-    from corpus_context.session import cut_lineage
-
-    mv = events.where(F.col("action") == "moved").select("root", F.col("src_path").alias("a"), F.col("dst_path").alias("b"))
-    edges = mv.unionByName(mv.select("root", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    edges = cut_lineage(edges)
-    labels = cut_lineage(edges.select("root", F.col("a").alias("path")).distinct().withColumn("comp", F.col("path")))
-    while True:
-        prop = edges.join(labels.withColumnRenamed("path", "b"), ["root", "b"]).select("root", F.col("a").alias("path"), "comp")
-        new = labels.unionByName(prop).groupBy("root", "path").agg(F.min("comp").alias("comp"))
-        new = cut_lineage(new)
-        changed = new.join(labels.withColumnRenamed("comp", "old"), ["root", "path"]).where(F.col("comp") != F.col("old"))
-        labels = new
-        if changed.isEmpty():
-            break
-    return labels
+def token_flow(events: DataFrame, cache: DataFrame | None = None, scratch: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """S2 without a replay: (root, seq, path, diff) and the cache after the events, (root, path, tokens).
+
+    ``cache`` is the one before. A path's events in seq order are its touches: a count seen (M), forgotten (D),
+    moved out (O) or moved in (I). What a path holds follows from its last touch, and only I asks further: it holds
+    what the source held or, if that was nothing, what the target held. Each touch is asked by the next one alone,
+    so the moved-in touches form trees; pointer doubling first finds those with a count anywhere below, which
+    settles the side each takes, then the counts. Steps: log2 of the longest chain of moves, each written to
+    ``scratch``."""
+    import os
+    import uuid
+
+    from corpus_context.session import scratch_path
+
+    spark = events.sparkSession if cache is None else cache.sparkSession
+    scratch = scratch or scratch_path(spark, f"tokens-{uuid.uuid4().hex}")
+
+    def cut(df):
+        path = os.path.join(scratch, uuid.uuid4().hex)
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    act = F.col("action")
+    e = events.select("root", F.col("seq").cast("long").alias("seq"), "action", "src_path", "dst_path", F.col("tokens").cast("long").alias("tokens"))
+    e = e.where((act == "modified") | (act == "deleted") | ((act == "moved") & ~F.col("src_path").eqNullSafe(F.col("dst_path"))))
+    if cache is not None:
+        none = F.lit(None).cast("string")
+        e = e.unionByName(cache.select("root", F.lit(None).cast("long").alias("seq"), F.lit("modified").alias("action"),
+                                       F.col("path").alias("src_path"), none.alias("dst_path"), "tokens"))
+    e = cut(e.withColumn("eid", F.monotonically_increasing_id()))
+    side = lambda path, kind: F.struct(F.col(path).alias("path"), F.lit(kind).alias("kind"))
+    t = e.select("root", "seq", "eid", F.when(act == "modified", F.col("tokens")).alias("tokens"), F.explode(
+        F.when(act == "moved", F.array(side("src_path", "O"), side("dst_path", "I")))
+        .when(act == "deleted", F.array(side("src_path", "D"))).otherwise(F.array(side("src_path", "M")))).alias("t"))
+    t = t.select("root", "seq", "eid", "tokens", "t.path", "t.kind")
+    w = Window.partitionBy("root", "path").orderBy(F.col("seq").asc_nulls_first(), "eid")
+    moved_in = F.lag("kind").over(w) == "I"
+    t = cut(t.withColumns({"held": F.lag("tokens").over(w), "asks": F.when(moved_in, F.lag("eid").over(w)),
+                           "last": F.lead("eid").over(w).isNull()}))
+
+    def of(kind, col):
+        return F.max(F.when(F.col("kind") == kind, F.col(col)))
+
+    moves = cut(t.where("kind in ('O', 'I')").groupBy("eid").agg(
+        of("O", "held").alias("src"), of("O", "asks").alias("src_asks"), of("I", "held").alias("dst"), of("I", "asks").alias("dst_asks")))
+    # whether a moved-in touch has a count anywhere below it
+    up = moves.select("eid", F.explode(F.array("src_asks", "dst_asks")).alias("below")).where("below is not null").select(
+        F.col("below").alias("eid"), F.col("eid").alias("up"))
+    some = cut(moves.select("eid", F.coalesce("src", "dst").isNotNull().alias("some")).join(up, "eid", "left"))
+    while not (below := some.where("up is not null")).isEmpty():
+        got = below.groupBy(F.col("up").alias("eid")).agg(F.max("some").alias("got"))
+        jump = below.join(some.select(F.col("eid").alias("up"), F.col("up").alias("next")), "up").select("eid", "some", F.col("next").alias("up"))
+        rest = some.where("up is null").unionByName(jump)
+        some = cut(rest.join(got, "eid", "left").select("eid", (F.col("some") | F.coalesce("got", F.lit(False))).alias("some"), "up"))
+    full = moves.where("src_asks is not null").select("eid", F.col("src_asks").alias("below")).join(
+        some.where("some").select(F.col("eid").alias("below")), "below", "left_semi").select("eid", F.lit(True).alias("full"))
+    from_src = F.col("src").isNotNull() | F.col("full").isNotNull()
+    taken = cut(moves.join(full, "eid", "left").select(
+        "eid", F.when(from_src, F.col("src")).otherwise(F.col("dst")).alias("count"),
+        F.when(from_src, F.col("src_asks")).otherwise(F.col("dst_asks")).alias("asks")))
+    while not (open_ := taken.where("asks is not null")).isEmpty():
+        ahead = taken.select(F.col("eid").alias("asks"), F.col("count").alias("count2"), F.col("asks").alias("asks2"))
+        jump = open_.join(ahead, "asks").select("eid", F.col("count2").alias("count"), F.col("asks2").alias("asks"))
+        taken = cut(taken.where("asks is null").unionByName(jump))
+    m = t.where("kind = 'M'")
+    counts = taken.select(F.col("eid").alias("asks"), "count")
+    seen = m.where("asks is null").select("root", "seq", "path", (F.col("tokens") - F.col("held")).alias("diff")).unionByName(
+        m.where("asks is not null").join(counts, "asks").select("root", "seq", "path", (F.col("tokens") - F.col("count")).alias("diff")))
+    after = t.where("last and kind = 'M'").select("root", "path", "tokens").unionByName(
+        t.where("last and kind = 'I'").join(taken, "eid").select("root", "path", F.col("count").alias("tokens")))
+    return seen.where("diff <> 0"), after.where("tokens is not null")
 
 
 def token_changes(events: DataFrame) -> DataFrame:
@@ -110,15 +136,9 @@ def token_changes(events: DataFrame) -> DataFrame:
 
     The first observation gives no output, zero diffs are dropped, 'deleted'
     forgets the path, 'moved' hands the remembered count to the destination,
-    'created' does not seed. State only flows between paths linked by moves,
-    so the replay is keyed by (root, move component): a path never moved is
-    its own group, and a component holds only the paths its moves connect.
+    'created' does not seed.
     """
-    e = events.select("root", "seq", "action", "src_path", "dst_path", F.col("tokens").cast("long"))
-    comp = move_components(e)
-    e = e.join(comp.withColumnRenamed("path", "src_path"), ["root", "src_path"], "left").withColumn(
-        "comp", F.coalesce("comp", F.col("src_path")))
-    return e.groupBy("root", "comp").applyInPandas(_replay_token_changes, _TC_SCHEMA)
+    return token_flow(events)[0]
 
 
 def token_changes_no_moves(events: DataFrame) -> DataFrame:

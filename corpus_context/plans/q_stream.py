@@ -43,7 +43,7 @@ def q_stream_token_changes(spark, sf):
     base, src = _event_files(spark, sf)
     ev = fs_event_source(spark, src, max_files_per_trigger=1)
     L.run_append(L.token_changes_stream(ev), os.path.join(base, "out"), os.path.join(base, "ckpt"))
-    return spark.read.parquet(os.path.join(base, "out"))
+    return spark.read.parquet(os.path.join(base, "out")).select("root", "seq", "path", "diff")
 
 
 @query("stream_batch_events", "A8 S1 (stream)", QUERIES["batch_events"].sql)
@@ -89,7 +89,7 @@ def q_stream_change_log(spark, sf):
     ev = fs_event_source(spark, src, max_files_per_trigger=1)
     diffs_dir = os.path.join(base, "diffs")
     L.run_append(L.token_changes_stream(ev), diffs_dir, os.path.join(base, "ckpt"))
-    diffs = spark.readStream.schema("root string, seq long, path string, diff long").option("maxFilesPerTrigger", 1).parquet(diffs_dir)
+    diffs = spark.readStream.schema("root string, seq long, path string, diff long").option("maxFilesPerTrigger", 256).parquet(diffs_dir)
     structural = fs_event_source(spark, src, max_files_per_trigger=1).where(F.col("action") != "modified")
     empty_ev = structural.where(F.lit(False))
     entries = change_entries(structural, diffs.where(F.lit(False))).unionByName(change_entries(empty_ev, diffs))

@@ -4,23 +4,19 @@ Event time is ``ts`` with a caller-set watermark; later rows are dropped
 (Spark default). Windowed results are written per micro-batch in update
 mode by ``foreachBatch`` into batch-id folders, so a replayed batch rewrites
 the same folder; the final table keeps the newest version of each key.
-The token-change state (S2) is keyed by root because moves hand state
-from one path to another (``applyInPandasWithState``).
+The token-change state (S2) is a table keyed by (root, path), written anew
+by each micro-batch.
 """
 
 from __future__ import annotations
 
-import json
 import os
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from corpus_context.operators import events as EV
-from corpus_context.session import path_exists
+from corpus_context.session import path_exists, remove_path
 
 TS_FMT = EV.TS_FMT
 
@@ -61,42 +57,38 @@ def latest_versions(spark: SparkSession, out_dir: str, key: list[str]) -> DataFr
 
 # -- S2: stateful token changes ---------------------------------------------------------------
 
-_S2_OUT = "root string, seq long, path string, diff long"
-_S2_STATE = "cache string"
-
-
-def _token_state(key, pdfs, state):
-    cache = json.loads(state.get[0]) if state.exists else {}
-    out = []
-    frames = [p for p in pdfs]
-    if frames:
-        pdf = pd.concat(frames).sort_values("seq")
-        for seq, action, src, dst, tokens in zip(pdf["seq"], pdf["action"], pdf["src_path"], pdf["dst_path"], pdf["tokens"]):
-            if action == "modified":
-                old = cache.get(src, int(tokens))
-                cache[src] = int(tokens)
-                if int(tokens) - old != 0:
-                    out.append((key[0], int(seq), src, int(tokens) - old))
-            elif action == "deleted":
-                cache.pop(src, None)
-            elif action == "moved" and src in cache:
-                cache[dst] = cache.pop(src)
-    state.update((json.dumps(cache),))
-    yield pd.DataFrame(out, columns=["root", "seq", "path", "diff"])
+CACHE_SCHEMA = "root string, path string, tokens long"
 
 
 def token_changes_stream(events: DataFrame) -> DataFrame:
-    """S2 as a stream: per root, the watcher's cache kept in state across micro-batches.
+    """S2 as a stream: the events that :func:`run_append` turns into token changes.
 
-    Micro-batches must arrive in seq order (each is sorted internally)."""
-    e = events.select("root", "seq", "action", "src_path", "dst_path", F.col("tokens").cast("long"))
-    return e.groupBy("root").applyInPandasWithState(
-        _token_state, _S2_OUT, _S2_STATE, "append", GroupStateTimeout.NoTimeout)
+    Micro-batches must arrive in seq order (each is ordered internally)."""
+    return events.select("root", "seq", "action", "src_path", "dst_path", F.col("tokens").cast("long"))
+
+
+def token_changes_step(events: DataFrame, spark: SparkSession, out_dir: str, state_dir: str, batch_id: int) -> None:
+    """S2 step: the token changes of one micro-batch, and the watcher's cache after it as a table keyed by (root, path).
+
+    Both go to batch=<id> folders made from the cache of the batch before, so a replayed batch rewrites its own.
+    The cache before that and the scratch tables go."""
+    scratch = os.path.join(state_dir, f"scratch-{batch_id}")
+    remove_path(spark, scratch)
+    events.write.parquet(os.path.join(scratch, "events"))  # read again in the caller's session: a stream's own is not adaptive
+    cache = (spark.read.schema(CACHE_SCHEMA).parquet(os.path.join(state_dir, f"batch={batch_id - 1}")) if batch_id > 0
+             else spark.createDataFrame([], CACHE_SCHEMA))
+    diffs, after = EV.token_flow(spark.read.parquet(os.path.join(scratch, "events")), cache, os.path.join(scratch, "steps"))
+    diffs.write.mode("overwrite").parquet(os.path.join(out_dir, f"batch={batch_id}"))
+    after.write.mode("overwrite").parquet(os.path.join(state_dir, f"batch={batch_id}"))
+    remove_path(spark, scratch)
+    remove_path(spark, os.path.join(state_dir, f"batch={batch_id - 2}"))
 
 
 def run_append(df: DataFrame, out_dir: str, ckpt: str):
-    q = (df.writeStream.outputMode("append").format("parquet").option("path", out_dir)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    """Run :func:`token_changes_stream` to completion; each batch's changes land in out_dir/batch=<id>."""
+    spark, state_dir = df.sparkSession, os.path.join(ckpt, "token_cache")
+    q = (df.writeStream.option("checkpointLocation", ckpt)
+         .foreachBatch(lambda bdf, bid: token_changes_step(bdf, spark, out_dir, state_dir, bid)).trigger(availableNow=True).start())
     q.awaitTermination()
     return q
 

@@ -27,6 +27,48 @@ def test_token_change_over_a_long_move_chain(spark):
     assert [(r.path, r["diff"]) for r in EV.token_changes(e).select("path", "diff").collect()] == [(f"/r/p{n}", 4)]
 
 
+def _replay_tokens(rows):
+    cache, out = {}, []
+    for root, seq, action, src, dst, tokens in rows:
+        if action == "modified":
+            old = cache.get(src, tokens)
+            cache[src] = tokens
+            if tokens != old:
+                out.append((root, seq, src, tokens - old))
+        elif action == "deleted":
+            cache.pop(src, None)
+        elif action == "moved" and src in cache:
+            cache[dst] = cache.pop(src)
+    return sorted(out)
+
+
+def test_token_changes_equal_a_replay_without_python_groups(spark, tmp_path):
+    """One root whose moves link all paths: same rows as the replay, by no task that holds a root or component."""
+    import contextlib
+    import io
+    import random
+
+    from corpus_context.streaming import live as L
+
+    r, schema = random.Random(7), "root string, seq long, action string, src_path string, dst_path string, tokens long"
+    rows = []
+    for k in range(1500):
+        action = r.choice(["modified", "modified", "moved", "moved", "moved", "deleted", "created"])
+        rows.append(("/r", k, action, f"/r/{r.randrange(7)}", f"/r/{r.randrange(7)}" if action == "moved" else None, r.randrange(9)))
+    e = spark.createDataFrame(r.sample(rows, len(rows)), schema)
+    got = EV.token_changes(e)
+    assert sorted(map(tuple, got.collect())) == _replay_tokens(rows)
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        got.explain()
+    assert "InPandas" not in text.getvalue()
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    for b in (0, 1, 1, 2):  # batch 1 is replayed
+        L.token_changes_step(e.where(f"seq div 500 = {b}"), spark, out, state, b)
+    assert sorted(map(tuple, spark.read.parquet(out).select("root", "seq", "path", "diff").collect())) == _replay_tokens(rows)
+    assert {tuple(x) for x in spark.read.parquet(state + "/batch=2").select("root").distinct().collect()} == {("/r",)}
+
+
 def test_unknown_active_group_falls_back(spark):
     ws = spark.createDataFrame([("w", "/r", "Gone"), ("v", "/r", "Mine")], "workspace string, folder_path string, active_selection_group string")
     sel = spark.createDataFrame([("w", "Default", "a.py"), ("v", "Default", "a.py"), ("v", "Mine", "b.py")],
