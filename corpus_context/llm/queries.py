@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpus_context.llm import bpe, bwt_dedup, chat, exact_dedup, jaccard_join, packing, quality, topk, toxicity, url_filter
+from corpus_context.llm import (alignment, bpe, bwt_dedup, chat, exact_dedup, jaccard_join, merkle, packing, quality, simhash, topk,
+                                toxicity, url_filter)
 from corpus_context.llm.common import table
 
 QUERIES: dict = {}
@@ -199,3 +200,75 @@ def op6_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# 11 -----------------------------------------------------------------------------------------
+@query
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+# 12 -----------------------------------------------------------------------------------------
+@query
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                           public_tokenizers.path("piece_bpe_32k.model"))
+
+
+# 13 -----------------------------------------------------------------------------------------
+@query
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(table(spark, sf_dir, "documents"))
+
+
+def _sql_field(c: str) -> str:
+    return f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}, '-')"
+
+
+def _sql_leaf(text: str) -> str:
+    return "sha256(" + " || ".join(map(_sql_field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+
+_CRC_BIT = "xor(c.x // 2, CASE c.x % 2 WHEN 1 THEN 3988292384 ELSE 0 END)"  # the reversed polynomial (fixed value)
+
+SQL["op13_merkle"] = f"""
+WITH RECURSIVE crc(doc_id, rest, bit, x) AS (
+  SELECT DISTINCT doc_id, doc_id::VARCHAR, 8, 4294967295::BIGINT FROM documents WHERE doc_id IS NOT NULL
+  UNION ALL SELECT doc_id, CASE bit WHEN 8 THEN rest[2:] ELSE rest END, CASE bit WHEN 8 THEN 1 ELSE bit + 1 END,
+         CASE bit WHEN 8 THEN xor(xor(c.x, ascii(rest[1])) // 2, CASE xor(c.x, ascii(rest[1])) % 2 WHEN 1 THEN 3988292384 ELSE 0 END)
+                  ELSE {_CRC_BIT} END
+  FROM crc c WHERE bit < 8 OR rest <> ''),
+odd AS (SELECT doc_id FROM crc WHERE rest = '' AND bit = 8 AND x % 2 = 1),
+d AS (SELECT *, {_sql_leaf('text')} AS leaf, doc_id IN (SELECT doc_id FROM odd) AS tampered FROM documents),
+e AS (SELECT doc_id, source, leaf, CASE WHEN tampered THEN {_sql_leaf("replace(text, chr(10), '')")} ELSE leaf END AS changed,
+        row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank,
+        count(*) OVER (PARTITION BY source) AS n FROM d),
+nodes(h, source, i, digest, n) AS (
+  SELECT 0, source, rank, leaf, n FROM e
+  UNION ALL SELECT h + 1, source, i // 3, sha256(string_agg(digest, '' ORDER BY i)), (n + 2) // 3
+  FROM nodes WHERE n > 1 GROUP BY h, source, i // 3, n),
+subroots AS (SELECT source, h AS height, digest, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS rank, count(*) OVER () AS n
+  FROM nodes WHERE n = 1),
+above(h, i, digest, n) AS (
+  SELECT 0, rank, digest, n FROM subroots
+  UNION ALL SELECT h + 1, i // 3, sha256(string_agg(digest, '' ORDER BY i)), (n + 2) // 3 FROM above WHERE n > 1 GROUP BY h, i // 3, n),
+steps AS (
+  SELECT a.h, a.source, a.i, coalesce(string_agg(b.digest, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l,
+         coalesce(string_agg(b.digest, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+  FROM nodes a JOIN nodes b ON a.h = b.h AND a.source IS NOT DISTINCT FROM b.source AND a.i // 3 = b.i // 3 WHERE a.n > 1 GROUP BY ALL),
+steps_above AS (
+  SELECT a.h, a.i, coalesce(string_agg(b.digest, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l,
+         coalesce(string_agg(b.digest, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+  FROM above a JOIN above b ON a.h = b.h AND a.i // 3 = b.i // 3 WHERE a.n > 1 GROUP BY ALL),
+fold(source, rank, h, node, proof) AS (
+  SELECT source, rank, 0, changed, '' FROM e
+  UNION ALL SELECT f.source, f.rank, f.h + 1, sha256(s.l || node || s.r), proof || s.l || s.r
+  FROM fold f JOIN steps s ON s.h = f.h AND s.source IS NOT DISTINCT FROM f.source AND s.i = f.rank // (3 ** f.h)::BIGINT),
+up(source, rank, place, h, node, proof, subroot) AS (
+  SELECT f.source, f.rank, s.rank, 0, node, proof, s.digest FROM fold f JOIN subroots s ON s.source IS NOT DISTINCT FROM f.source AND s.height = f.h
+  UNION ALL SELECT u.source, u.rank, place, u.h + 1, sha256(s.l || node || s.r), proof || s.l || s.r, subroot
+  FROM up u JOIN steps_above s ON s.h = u.h AND s.i = place // (3 ** u.h)::BIGINT),
+root AS (SELECT h, digest FROM above WHERE n = 1)
+SELECT e.doc_id, e.leaf, u.subroot, root.digest AS root, sha256(u.proof) AS proof_sha256, u.node AS folded_root, u.node = root.digest AS verified
+FROM e JOIN up u ON u.source IS NOT DISTINCT FROM e.source AND u.rank = e.rank JOIN root ON root.h = u.h
+"""
