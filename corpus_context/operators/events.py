@@ -7,13 +7,12 @@ Event order is always ``seq``, never arrival.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corpus_context.functions import paths as P
 from corpus_context.functions import rules as R
+from corpus_context.operators.moves import apply_events_keep_selection  # noqa: F401  (S4)
 
 TS_FMT = "yyyy-MM-dd HH:mm:ss.SSS"
 
@@ -64,21 +63,12 @@ def token_flow(events: DataFrame, cache: DataFrame | None = None, scratch: str |
     ``cache`` is the one before. A path's events in seq order are its touches: a count seen (M), forgotten (D),
     moved out (O) or moved in (I). What a path holds follows from its last touch, and only I asks further: it holds
     what the source held or, if that was nothing, what the target held. Each touch is asked by the next one alone,
-    so the moved-in touches form trees; pointer doubling first finds those with a count anywhere below, which
-    settles the side each takes, then the counts. Steps: log2 of the longest chain of moves, each written to
-    ``scratch``."""
-    import os
-    import uuid
-
-    from corpus_context.session import scratch_path
+    so the moved-in touches form trees, which moves.settle answers by pointer doubling. Its steps, log2 of the longest
+    chain of moves, are written to ``scratch``."""
+    from corpus_context.operators.moves import settle, writer
 
     spark = events.sparkSession if cache is None else cache.sparkSession
-    scratch = scratch or scratch_path(spark, f"tokens-{uuid.uuid4().hex}")
-
-    def cut(df):
-        path = os.path.join(scratch, uuid.uuid4().hex)
-        df.write.parquet(path)
-        return spark.read.parquet(path)
+    cut = writer(spark, scratch)
 
     act = F.col("action")
     e = events.select("root", F.col("seq").cast("long").alias("seq"), "action", "src_path", "dst_path", F.col("tokens").cast("long").alias("tokens"))
@@ -103,25 +93,7 @@ def token_flow(events: DataFrame, cache: DataFrame | None = None, scratch: str |
 
     moves = cut(t.where("kind in ('O', 'I')").groupBy("eid").agg(
         of("O", "held").alias("src"), of("O", "asks").alias("src_asks"), of("I", "held").alias("dst"), of("I", "asks").alias("dst_asks")))
-    # whether a moved-in touch has a count anywhere below it
-    up = moves.select("eid", F.explode(F.array("src_asks", "dst_asks")).alias("below")).where("below is not null").select(
-        F.col("below").alias("eid"), F.col("eid").alias("up"))
-    some = cut(moves.select("eid", F.coalesce("src", "dst").isNotNull().alias("some")).join(up, "eid", "left"))
-    while not (below := some.where("up is not null")).isEmpty():
-        got = below.groupBy(F.col("up").alias("eid")).agg(F.max("some").alias("got"))
-        jump = below.join(some.select(F.col("eid").alias("up"), F.col("up").alias("next")), "up").select("eid", "some", F.col("next").alias("up"))
-        rest = some.where("up is null").unionByName(jump)
-        some = cut(rest.join(got, "eid", "left").select("eid", (F.col("some") | F.coalesce("got", F.lit(False))).alias("some"), "up"))
-    full = moves.where("src_asks is not null").select("eid", F.col("src_asks").alias("below")).join(
-        some.where("some").select(F.col("eid").alias("below")), "below", "left_semi").select("eid", F.lit(True).alias("full"))
-    from_src = F.col("src").isNotNull() | F.col("full").isNotNull()
-    taken = cut(moves.join(full, "eid", "left").select(
-        "eid", F.when(from_src, F.col("src")).otherwise(F.col("dst")).alias("count"),
-        F.when(from_src, F.col("src_asks")).otherwise(F.col("dst_asks")).alias("asks")))
-    while not (open_ := taken.where("asks is not null")).isEmpty():
-        ahead = taken.select(F.col("eid").alias("asks"), F.col("count").alias("count2"), F.col("asks").alias("asks2"))
-        jump = open_.join(ahead, "asks").select("eid", F.col("count2").alias("count"), F.col("asks2").alias("asks"))
-        taken = cut(taken.where("asks is null").unionByName(jump))
+    taken = settle(moves, cut).withColumnRenamed("value", "count")
     m = t.where("kind = 'M'")
     counts = taken.select(F.col("eid").alias("asks"), "count")
     seen = m.where("asks is null").select("root", "seq", "path", (F.col("tokens") - F.col("held")).alias("diff")).unionByName(
@@ -280,45 +252,6 @@ def event_summary(events: DataFrame, every: str = "1 day") -> DataFrame:
                              F.lit(" removed, "), F.col("n_modified").cast("string"), F.lit(" modified")).alias("message"))
 
 
-_SEL_SCHEMA = T.StructType([T.StructField("root", T.StringType()), T.StructField("path", T.StringType()),
-                            T.StructField("selected", T.BooleanType())])
-
-
-def _replay_selection(pdf: pd.DataFrame) -> pd.DataFrame:
-    # rows: kind 0 = initial item (path, selected), kind 1 = event; replayed in seq order per root
-    items = pdf[pdf["kind"] == 0]
-    state = dict(zip(items["path"], items["selected"].astype(bool)))
-    root = pdf["root"].iloc[0]
-    ev = pdf[pdf["kind"] == 1].sort_values("seq")
-    for action, src, dst in zip(ev["action"], ev["src_path"], ev["dst_path"]):
-        if action == "created":
-            state.setdefault(src, False)
-        elif action == "deleted":
-            for p in [p for p in state if p == src or p.startswith(src + "/")]:
-                del state[p]
-        elif action == "moved":
-            # a folder is present when something lies below it
-            below = [p for p in state if p == src or p.startswith(src + "/")]
-            for p in below:
-                state[dst + p[len(src):]] = state.pop(p)
-    return pd.DataFrame({"root": root, "path": list(state), "selected": list(state.values())})
-
-
-def apply_events_keep_selection(items: DataFrame, sel: DataFrame, events: DataFrame) -> DataFrame:
-    """Items and their selected state after the events: a move keeps the selected state (a
-    folder move rewrites the prefix of everything below); a new file is unselected; a delete removes
-    the path and everything below. Moves chain through paths of one root, so the replay is per root
-    (grouped Arrow batches). -> (root, path, selected)."""
-    s = sel.select("root", "path").distinct().withColumn("_s", F.lit(True))
-    it = items.select("root", "path").join(s, ["root", "path"], "left").select(
-        "root", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast("string").alias("action"),
-        F.col("path").alias("src_path"), F.lit(None).cast("string").alias("dst_path"), "path",
-        F.coalesce("_s", F.lit(False)).alias("selected"))
-    ev = events.select("root", F.lit(1).alias("kind"), "seq", "action", "src_path", "dst_path",
-                       F.lit(None).cast("string").alias("path"), F.lit(None).cast("boolean").alias("selected"))
-    return it.unionByName(ev).groupBy("root").applyInPandas(_replay_selection, _SEL_SCHEMA)
-
-
 def keep_selection_snapshot(items: DataFrame, sel: DataFrame, events: DataFrame) -> DataFrame:
     """S4 / E5 for a snapshot diff (each path in at most one event, as A9 produces): pure joins.
 

@@ -197,7 +197,7 @@ def q_event_summary(spark, sf):
     return EV.event_summary(_events(spark, sf), "1 day")
 
 
-@query("apply_events_keep_selection", "S4 A9 E5", with_views("""
+@query("keep_selection_snapshot", "S4 A9 E5", with_views("""
 WITH s AS (SELECT DISTINCT workspace AS root, workspace || '/' || path AS path FROM selections WHERE group_name = 'Default'),
 o AS (SELECT root, path, sha256(text) AS h, strlen(text) AS sz FROM old_files),
 n AS (SELECT root, path, sha256(text) AS h FROM new_files),
@@ -211,9 +211,60 @@ kept AS (SELECT o.root, o.path, o.path IN (SELECT path FROM s) AS selected FROM
 SELECT root, path, selected FROM kept
 UNION ALL SELECT mv.root, mv.dst, mv.src IN (SELECT path FROM s) FROM mv
 UNION ALL SELECT root, path, FALSE FROM cr WHERE path NOT IN (SELECT dst FROM mv)""", "old_files", "new_files", "selections"))
-def q_apply_events_keep_selection(spark, sf):
+def q_keep_selection_snapshot(spark, sf):
     old = TD.old_files(spark, sf)
     ev = EV.snapshot_diff(old, TD.new_files(spark, sf))
     sel = TD.selections(spark, sf).where(F.col("group_name") == "Default").select(
         F.col("workspace").alias("root"), F.concat("workspace", F.lit("/"), "path").alias("path"))
     return EV.keep_selection_snapshot(old.select("root", "path"), sel, ev)
+
+
+# Of the moves, two in five take a whole user folder along (to the next user's, into old/), one in five all of old/ (to back/)
+VIEWS["folder_events"] = """
+SELECT root, seq, action,
+       CASE WHEN action = 'moved' AND seq % 5 = 2 THEN root || '/old'
+            WHEN action = 'moved' AND seq % 5 < 2 OR action = 'deleted' AND seq % 7 = 0 THEN regexp_extract(src_path, '^(.*)/[^/]*$', 1)
+            ELSE src_path END AS src_path,
+       CASE WHEN action <> 'moved' THEN NULL WHEN seq % 5 = 2 THEN root || '/back'
+            WHEN seq % 5 = 1 THEN root || '/old/' || regexp_extract(src_path, '([^/]+)/[^/]*$', 1)
+            WHEN seq % 5 = 0 THEN root || '/u' || lpad(CAST((CAST(regexp_extract(src_path, 'u(\\d+)/[^/]*$', 1) AS INTEGER) + 1) % 40 AS VARCHAR), 3, '0')
+            ELSE dst_path END AS dst_path FROM fs_events"""
+DEPS["folder_events"] = ["fs_events"]
+
+
+def _folder_events(spark, sf):
+    """Events for S4 (view folder_events)."""
+    ev = _events(spark, sf).select("root", "seq", "action", "src_path", "dst_path")
+    moved, k, folder = F.col("action") == "moved", F.col("seq") % 5, P.dirname("src_path")
+    user = P.basename(folder)
+    following = F.lpad(((F.substring(user, 2, 3).cast("int") + 1) % 40).cast("string"), 3, "0")
+    src = (F.when(moved & (k == 2), F.concat("root", F.lit("/old")))
+           .when(moved & (k < 2) | (F.col("action") == "deleted") & (F.col("seq") % 7 == 0), folder).otherwise(F.col("src_path")))
+    dst = (F.when(~moved, None).when(k == 2, F.concat("root", F.lit("/back"))).when(k == 1, F.concat("root", F.lit("/old/"), user))
+           .when(k == 0, F.concat("root", F.lit("/u"), following)).otherwise(F.col("dst_path")))
+    return ev.select("root", "seq", "action", src.alias("src_path"), dst.alias("dst_path"))
+
+
+# S4 oracle: the sequential rule itself, one recursive step per event, a map of the present files as the state
+@query("apply_events_keep_selection", "S4", with_views("""
+SELECT root, path, selected FROM (
+  WITH RECURSIVE ev AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY seq) AS rn FROM folder_events WHERE action <> 'modified'),
+  walk(root, rn, state) AS (
+    SELECT r.root, 0::BIGINT, (SELECT map_from_entries(list({'k': path, 'v': token_count % 2 = 0})) FROM tree_base b WHERE b.root = r.root)
+    FROM (SELECT DISTINCT root FROM tree_base) r
+    UNION ALL
+    SELECT w.root, w.rn + 1,
+      CASE e.action
+        WHEN 'created' THEN CASE WHEN w.state[e.src_path] IS NULL THEN map_concat(w.state, MAP {e.src_path: FALSE}) ELSE w.state END
+        WHEN 'deleted' THEN map_from_entries(list_filter(map_entries(w.state), lambda x: x.key <> e.src_path AND NOT starts_with(x.key, e.src_path || '/')))
+        ELSE map_concat(
+          map_from_entries(list_filter(map_entries(w.state), lambda x: x.key <> e.src_path AND NOT starts_with(x.key, e.src_path || '/'))),
+          map_from_entries(list_transform(list_filter(map_entries(w.state), lambda x: x.key = e.src_path OR starts_with(x.key, e.src_path || '/')),
+                                          lambda x: {'k': e.dst_path || substr(x.key, length(e.src_path) + 1), 'v': x.value}))) END
+    FROM walk w JOIN ev e ON e.root = w.root AND e.rn = w.rn + 1),
+  final AS (SELECT w.root, unnest(map_entries(state)) AS x FROM walk w JOIN (SELECT root, max(rn) AS rn FROM walk GROUP BY root) m USING (root, rn))
+  SELECT root, x.key AS path, x.value AS selected FROM final)""", "folder_events", "tree_base"))
+def q_apply_events_keep_selection(spark, sf):
+    """S4 over the event table, folder moves and deletes included; the base files' selected ones have an even count."""
+    base, _ = _tree(spark, sf)
+    return EV.apply_events_keep_selection(base.select("root", "path"), base.where("token_count % 2 = 0").select("root", "path"), _folder_events(spark, sf))
