@@ -178,16 +178,15 @@ def drop_empty_parents(items: DataFrame) -> DataFrame:
     return files.unionByName(dirs)
 
 
-def debounce(events: DataFrame, key: str = "root", gap: str = "500 milliseconds", fold_max: int | None = None) -> DataFrame:
+def debounce(events: DataFrame, key: str = "root", gap: str = "500 milliseconds") -> DataFrame:
     """A burst (events closer than ``gap``) collapses into its last event.
 
-    Sessions without a per-key window: events are ranked in (ts, seq) order per key (size-checked
-    rank), each meets its predecessor by an equi-join on rank - 1, a gap of at least ``gap`` opens a
+    Sessions without a per-key window: events are ranked in (ts, seq) order per key, each meets its predecessor by an equi-join on rank - 1, a gap of at least ``gap`` opens a
     session, and the session number is a blocked running count of those openings."""
     from corpus_context.operators.pack import blocked_running_sum, ranked
 
     e = events.select(key, "seq", "ts", "action", "src_path")
-    r = ranked(e.withColumnRenamed(key, "context_id"), ["ts", "seq"], fold_max).withColumnRenamed("context_id", key)
+    r = ranked(e.withColumnRenamed(key, "context_id"), ["ts", "seq"]).withColumnRenamed("context_id", key)
     prev = r.select(key, (F.col("rank") + 1).alias("rank"), F.col("ts").alias("prev_ts"))
     j = r.join(prev, [key, "rank"], "left")
     opens = F.when(F.col("prev_ts").isNull() | (F.col("ts") - F.col("prev_ts") >= F.expr(f"INTERVAL {gap}")), 1).otherwise(0)

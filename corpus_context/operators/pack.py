@@ -1,14 +1,11 @@
 """Packing: file tree text (R6/R7), next-fit chunking (W4/W5), context assembly (R8-R10),
 chunk checks (G6-G8) and the running totals of W2.
 
-Next-fit is sequential inside one context and parallel across contexts. The
-plan keeps text out of the sequential part:
-
-1. ``parts(context_id, rank, t)`` -- no text, ~20 bytes per file;
-2. per context, a fold over the sorted (rank, t) pairs that records only the
-   ranks where a new chunk starts (pure Catalyst ``aggregate``, no Python);
-3. every chunk becomes a (lo, hi) rank range, exploded back to one row per
-   file and equi-joined with the parts -- no range join, no second window;
+Next-fit is sequential inside one context; the plan keeps text out of it:
+
+1. ``parts(context_id, rank, t)`` -- no text, ~20 bytes per file, ranked by one range-partitioned sort;
+2. next-fit by blocks of ranks (operators/nextfit.py) gives every chunk's (lo, hi) rank range, for contexts of any size;
+3. the range is exploded back to one row per file and equi-joined with the parts -- no range join, no second window;
 4. text is joined in last and concatenated per (context, chunk): each group
    is bounded by the chunk limit (a single oversize file excepted).
 """
@@ -22,6 +19,7 @@ from corpus_context.functions import paths as P
 from corpus_context.functions import rules as R
 from corpus_context.functions import text as X
 from corpus_context.functions import tokens as TK
+from corpus_context.operators.nextfit import BLOCK, block_offsets, chunk_ranges
 from corpus_context.session import cut_lineage
 
 PACKER_LIMIT = 600_000
@@ -101,105 +99,35 @@ def render_tree_flat(sel: DataFrame, contexts: DataFrame) -> DataFrame:
 # next-fit (W4, W5)
 # ---------------------------------------------------------------------------
 
-def chunk_starts(parts: DataFrame, limit: int, header: Column | int = 0, guard: bool = True,
-                 order: str = "rank") -> DataFrame:
-    """Per context the ranks where a new chunk starts (next-fit, files never split).
-
-    parts(context_id, rank, t[, h]): rank 0..n-1 in packing order. The first
-    chunk opens with the header (h tokens) before any file; a new chunk opens
-    at file r when ``(cur > 0 or not guard) and cur + t > limit`` and then
-    holds the header and file r. Returns (context_id, n, starts array<int>).
-    """
-    h = header if isinstance(header, Column) else F.lit(int(header)).cast("long")
-    g = parts.groupBy("context_id").agg(
-        F.array_sort(F.collect_list(F.struct(F.col(order).cast("int").alias("r"), F.col("t").cast("long").alias("t")))).alias("ps"),
-        F.count(F.lit(1)).cast("int").alias("n"),
-        F.first(h).cast("long").alias("h"))
-    init = F.struct(F.col("h").alias("cur"), F.array().cast("array<int>").alias("starts"))
-
-    def step(acc, x):
-        over = (acc["cur"] + x["t"]) > limit
-        if guard:
-            over = (acc["cur"] > 0) & over
-        return F.when(over, F.struct((F.col("h") + x["t"]).alias("cur"), F.concat(acc["starts"], F.array(x["r"])).alias("starts"))) \
-            .otherwise(F.struct((acc["cur"] + x["t"]).alias("cur"), acc["starts"].alias("starts")))
-
-    return g.select("context_id", "n", "h", F.aggregate("ps", init, step)["starts"].alias("starts"))
-
-
-def chunk_ranges(starts: DataFrame) -> DataFrame:
-    """(context_id, chunk_no, lo, hi): chunk k holds ranks lo..hi (hi < lo: no file)."""
-    bounds = F.concat(F.array(F.lit(0)), F.col("starts"), F.array(F.col("n")))
-    rows = starts.select("context_id", "h", F.posexplode(F.slice(bounds, 1, F.size(bounds) - 1)).alias("k", "lo"), bounds.alias("b"))
-    return rows.select("context_id", "h", (F.col("k") + 1).cast("int").alias("chunk_no"), "lo",
-                       (F.element_at("b", F.col("k") + 2) - 1).alias("hi"))
-
-
-# contexts with more parts than this go through the distributed path (operators/nextfit.py)
-FOLD_MAX_PARTS = 1_000_000
-
-
-def chunk_ranges_auto(parts: DataFrame, limit: int, header: Column | int = 0, guard: bool = True,
-                      fold_max: int = FOLD_MAX_PARTS) -> DataFrame:
-    """Chunk ranges per context: the in-task fold for contexts up to ``fold_max`` parts (checked
-    at run time on the per-context counts), the exact distributed path for larger ones."""
-    from corpus_context.operators.nextfit import chunk_ranges_distributed
-
-    counts = parts.groupBy("context_id").agg(F.count(F.lit(1)).alias("_n"))
-    big = counts.where(F.col("_n") > fold_max).select("context_id")
-    small = parts.join(big, "context_id", "left_anti")
-    out = chunk_ranges(chunk_starts(small, limit, header, guard))
-    if not big.isEmpty():
-        h = header if isinstance(header, Column) else F.lit(int(header)).cast("long")
-        out = out.unionByName(chunk_ranges_distributed(parts.join(big, "context_id", "left_semi"), limit, h, guard))
-    return out
-
-
 def assign_chunks(parts: DataFrame, limit: int, header: Column | int = 0, guard: bool = True,
-                  fold_max: int = FOLD_MAX_PARTS) -> tuple[DataFrame, DataFrame]:
+                  block: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(parts with chunk_no, chunk table (context_id, chunk_no, h, lo, hi)).
 
-    The parts (no text: a few small columns per file) are read by the size check, the fold and
-    the final join, so they are computed once into the checkpoint folder."""
+    The parts (no text: a few small columns per file) are read by the chunking and by the final join, so they are
+    computed once into the checkpoint folder."""
     parts = cut_lineage(parts)
-    ranges = chunk_ranges_auto(parts, limit, header, guard, fold_max)
-    idx = ranges.where(F.col("hi") >= F.col("lo")).select(
-        "context_id", "chunk_no", F.explode(F.sequence("lo", "hi")).alias("rank"))
-    return parts.join(idx, ["context_id", "rank"]), ranges
+    ranges = chunk_ranges(parts, limit, header, guard, block)
+    return parts.join(files_of(ranges), ["context_id", "rank"]), ranges
 
 
-def ranked(parts: DataFrame, order_cols, fold_max: int | None = None, keys=("context_id",)) -> DataFrame:
-    """0-based rank per context in ``order_cols`` order.
+def files_of(ranges: DataFrame) -> DataFrame:
+    """(context_id, chunk_no, rank) of the files in the chunks' ranges."""
+    return ranges.where("hi >= lo").select("context_id", "chunk_no", F.explode(F.sequence("lo", "hi")).alias("rank"))
 
-    Contexts up to ``fold_max`` rows use a window per context; larger ones are ranked without
-    one task per context (``distributed_rank``). The size check runs on per-context counts.
-    """
-    fold_max = FOLD_MAX_PARTS if fold_max is None else fold_max
-    keys = list(keys)
-    w = Window.partitionBy(*keys).orderBy(*order_cols)
-    counts = parts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    big = counts.where(F.col("_n") > fold_max).select(*keys)
-    if big.isEmpty():
-        return parts.withColumn("rank", (F.row_number().over(w) - 1).cast("int"))
-    small = parts.join(big, keys, "left_anti").withColumn("rank", (F.row_number().over(w) - 1).cast("int"))
-    return small.unionByName(distributed_rank(parts.join(big, keys, "left_semi"), order_cols, keys=keys))
-
-
-def distributed_rank(parts: DataFrame, order_cols, n_tasks: int | None = None, keys=("context_id",)) -> DataFrame:
-    """Rank within context without a per-context window: range-partition on (context, order),
-    count rows per (task, context), turn the counts into offsets over that small table, and add
-    a row number inside each (task, context) slice. Every window is bounded by a task's rows."""
-    spark = parts.sparkSession
-    n = n_tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+def ranked(parts: DataFrame, order_cols, keys=("context_id",)) -> DataFrame:
+    """``parts`` with their 0-based rank per key in ``order_cols`` order.
+
+    One range-partitioned sort on (key, order); a row's rank is its place in its task, less that of its key's first row
+    there, plus the key's rows in the tasks before (a table of a row per key and task). No window spans a key."""
     keys = list(keys)
-    x = parts.repartitionByRange(n, *keys, *order_cols).withColumn("_pid", F.spark_partition_id())
-    x = cut_lineage(x)  # fixes the task ids the offsets refer to
-    cnt = x.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_c"))
-    wo = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    off = cnt.select("_pid", *keys, F.coalesce(F.sum("_c").over(wo), F.lit(0)).alias("_off"))
-    wl = Window.partitionBy("_pid", *keys).orderBy(*order_cols)
-    y = x.join(off, ["_pid", *keys]).withColumn("rank", (F.col("_off") + F.row_number().over(wl) - 1).cast("int"))
-    return y.drop("_pid", "_off")
+    x = cut_lineage(parts).repartitionByRange(*keys, *order_cols).sortWithinPartitions(*keys, *order_cols)
+    x = cut_lineage(x.select("*", F.spark_partition_id().alias("_task"), F.monotonically_increasing_id().alias("_at")))
+    runs = x.groupBy(*keys, "_task").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return x.join(runs, [*keys, "_task"]).withColumn("rank", F.col("_at") - F.col("_first") + F.col("_before")).drop(
+        "_task", "_at", "_first", "_n", "_before")
 
 
 # ---------------------------------------------------------------------------
@@ -212,48 +140,43 @@ def packable(parts: DataFrame) -> DataFrame:
 
 
 def build_context(sel_files: DataFrame, contexts: DataFrame, estimator="chars4", limit: int = PACKER_LIMIT,
-                  with_text: bool = True, materialize: bool = True, fold_max: int = FOLD_MAX_PARTS) -> DataFrame:
+                  with_text: bool = True) -> DataFrame:
     """The flagship. Selected files -> token-bounded chunks with header, tree and fenced files.
 
     sel_files(context_id, rel, path, text): the selected files that exist, text
     decoded in text mode. contexts(context_id, root, prompt): one row per context;
     a context without selected files yields one row 'No files selected'.
     Output: chunks(context_id, chunk_no, tokens, chars, n_files[, text]).
+
+    The texts are read twice, for their tokens and, in the end, for the chunks; only (context, rel, tokens) is ranked,
+    packed and written in between.
     """
     est = TK.estimator(estimator)
-    if materialize:
-        # the selection is read twice (tree; parts with text) and the header three times:
-        # each is computed once, into the shared checkpoint folder
-        sel_files = cut_lineage(sel_files.select("context_id", "rel", "path", "text"))
-    tree = render_tree(sel_files.select("context_id", "rel"), contexts)
+    ok = ~R.binary_suffix("path", "packer") & ~R.too_many_nuls("text") & R.non_empty("text")
+    size = est("text") + est(F.concat(X.part_header("rel"), F.lit(X.PART_FOOTER)))
+    listed = cut_lineage(sel_files.select("context_id", "rel", F.when(ok, size).cast("long").alias("t")))
+    tree = cut_lineage(render_tree(listed.select("context_id", "rel"), contexts))
     hdr = contexts.join(tree, "context_id").where(F.col("has_sel")).select(
         "context_id", X.render_header("prompt", "tree").alias("header"))
-    hdr = hdr.withColumn("h", est("header"))
-
-    ok = packable(sel_files)
-    parts = ok.select("context_id", "rel", "text",
-                      (est("text") + est(F.concat(X.part_header("rel"), F.lit(X.PART_FOOTER)))).alias("t"))
-    parts = ranked(parts, ["rel"], fold_max)
-    if materialize:
-        hdr = cut_lineage(hdr)
-    # the header enters the fold as a per-context column
-    ph = parts.select("context_id", "rank", "t").join(hdr.select("context_id", "h"), "context_id")
-    ranges = chunk_ranges_auto(cut_lineage(ph), limit, F.col("h"), guard=True, fold_max=fold_max)
+    hdr = cut_lineage(hdr.withColumn("h", est("header").cast("long")))
+
+    parts = cut_lineage(ranked(listed.where("t is not null"), ["rel"]).join(hdr.select("context_id", "h"), "context_id"))
+    ranges = chunk_ranges(parts, limit, F.col("h"), guard=True)
     # contexts with a selection but no packable file still give their header chunk
     empty_ctx = hdr.join(ranges.select("context_id").distinct(), "context_id", "left_anti")
-    ranges = ranges.unionByName(empty_ctx.select("context_id", "h", F.lit(1).alias("chunk_no"),
-                                                 F.lit(0).alias("lo"), F.lit(-1).alias("hi")))
+    ranges = cut_lineage(ranges.unionByName(empty_ctx.select(
+        "context_id", "h", F.lit(1).cast("long").alias("chunk_no"), F.lit(0).cast("long").alias("lo"), F.lit(-1).cast("long").alias("hi"))))
     last = ranges.groupBy("context_id").agg(F.max("chunk_no").alias("last_no"))
 
-    idx = ranges.where(F.col("hi") >= F.col("lo")).select(
-        "context_id", "chunk_no", F.explode(F.sequence("lo", "hi")).alias("rank"))
-    files_in = parts.join(idx, ["context_id", "rank"])
+    files_in = parts.select("context_id", "rel", "rank", "t").join(files_of(ranges), ["context_id", "rank"])
+    if with_text:
+        files_in = sel_files.select("context_id", "rel", "text").join(files_in, ["context_id", "rel"])
     per_chunk = files_in.groupBy("context_id", "chunk_no").agg(
         F.count(F.lit(1)).alias("n_files"),
         F.sum("t").alias("ft"),
         *([F.array_sort(F.collect_list(F.struct("rank", X.render_part("rel", "text").alias("p")))).alias("ps")] if with_text else []))
     ch = ranges.select("context_id", "chunk_no", "h").join(per_chunk, ["context_id", "chunk_no"], "left").join(last, "context_id")
-    ch = ch.select("context_id", "chunk_no", (F.col("h") + F.coalesce("ft", F.lit(0))).cast("long").alias("tokens"),
+    ch = ch.select("context_id", F.col("chunk_no").cast("int").alias("chunk_no"), (F.col("h") + F.coalesce("ft", F.lit(0))).cast("long").alias("tokens"),
                    F.coalesce("ft", F.lit(0)).cast("long").alias("file_tokens"),
                    F.coalesce("n_files", F.lit(0)).cast("long").alias("n_files"),
                    *(["ps"] if with_text else []), (F.col("chunk_no") == F.col("last_no")).alias("is_last"))
@@ -273,22 +196,21 @@ def build_context(sel_files: DataFrame, contexts: DataFrame, estimator="chars4",
 def build_context_xml(paths: DataFrame, mode: str = "xml", limit: int = XML_LIMIT) -> DataFrame:
     """B9 (xml) -> R1 -> R3 (xml or markdown) -> T2 -> W5 (characters, order as given).
 
-    paths(context_id, ord, path, text). file_count counts every input, skipped ones too.
+    paths(context_id, ord, path, text), ord unique in its context. file_count counts every input, skipped ones too.
     Output per chunk: (context_id, chunk_no, chars, n_files, text); per context totals via G6.
     """
     total = paths.groupBy("context_id").agg(F.count(F.lit(1)).alias("file_count"))
-    ok = paths.where(~R.binary_suffix("path", "xml"))
-    ok = ok.withColumn("part", X.render_part("path", X.strip_nuls("text"), style=mode, path="path"))
-    ok = ok.withColumn("t", F.char_length("part").cast("long"))
-    ok = ranked(ok, ["ord"])
-    assigned, ranges = assign_chunks(ok.select("context_id", "rank", "t"), limit, 0, guard=False)
-    files_in = assigned.join(ok.select("context_id", "rank", "part"), ["context_id", "rank"])
+    ok = paths.where(~R.binary_suffix("path", "xml")).select(
+        "context_id", "ord", X.render_part("path", X.strip_nuls("text"), style=mode, path="path").alias("part"))
+    sizes = ok.select("context_id", "ord", F.char_length("part").cast("long").alias("t"))
+    assigned, ranges = assign_chunks(ranked(sizes, ["ord"]), limit, 0, guard=False)
+    files_in = ok.join(assigned, ["context_id", "ord"])  # the texts come back last
     per_chunk = files_in.groupBy("context_id", "chunk_no").agg(
         F.count(F.lit(1)).alias("n_files"), F.sum("t").alias("chars"),
         F.sum(F.floor(F.col("t") / 4)).cast("long").alias("tokens"),
         F.array_sort(F.collect_list(F.struct("rank", "part"))).alias("ps"))
     ch = ranges.select("context_id", "chunk_no").join(per_chunk, ["context_id", "chunk_no"], "left").select(
-        "context_id", "chunk_no", F.coalesce("n_files", F.lit(0)).cast("long").alias("n_files"),
+        "context_id", F.col("chunk_no").cast("int").alias("chunk_no"), F.coalesce("n_files", F.lit(0)).cast("long").alias("n_files"),
         F.coalesce("chars", F.lit(0)).cast("long").alias("chars"), F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"),
         F.coalesce(F.array_join(F.transform("ps", lambda x: x["part"]), ""), F.lit("")).alias("text"))
     return ch.join(total, "context_id")
@@ -350,44 +272,33 @@ def conservation_check(chunks: DataFrame, parts: DataFrame, overhead: DataFrame
                     (F.coalesce("chars_out", F.lit(0)) == F.coalesce("chars_in", F.lit(0)) + F.coalesce("overhead", F.lit(0))).alias("ok"))
 
 
-def running_tokens(parts: DataFrame, fold_max: int | None = None) -> DataFrame:
+def running_tokens(parts: DataFrame) -> DataFrame:
     """Running total of tokens and the percent done, in path order.
 
     parts(context_id, path, size, t, counted). Percent = processed bytes / total bytes
     when <= 300 files and total > 0, else i / n (i = files before this one), truncated.
-    Skipped files add to the byte total, never to the processed bytes. Ranks come from the
-    size-checked rank; the two running sums are blocked prefix sums (every window is bounded
-    by a block of ranks)."""
-    from corpus_context.operators.nextfit import BLOCK
-
-    r = ranked(parts, ["path"], fold_max)
-    r = r.withColumn("ct", F.when(F.col("counted"), F.col("t")).otherwise(F.lit(0)).cast("long")).withColumn(
-        "cb", F.when(F.col("counted"), F.col("size")).otherwise(F.lit(0)).cast("long")).withColumn(
-        "blk", (F.col("rank") / F.lit(BLOCK)).cast("long"))
-    bs = r.groupBy("context_id", "blk").agg(F.sum("ct").alias("bt"), F.sum("cb").alias("bb"))
-    wb = Window.partitionBy("context_id").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
-    bs = bs.select("context_id", "blk", F.coalesce(F.sum("bt").over(wb), F.lit(0)).alias("ot"),
-                   F.coalesce(F.sum("bb").over(wb), F.lit(0)).alias("ob"))
-    tot = parts.groupBy("context_id").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total_bytes"))
+    Skipped files add to the byte total, never to the processed bytes. The two running sums are blocked prefix sums (every
+    window is bounded by a block of ranks)."""
+    r = ranked(parts, ["path"])
+    r = cut_lineage(r.withColumn("ct", F.when(F.col("counted"), F.col("t")).otherwise(F.lit(0)).cast("long")).withColumn(
+        "cb", F.when(F.col("counted"), F.col("size")).otherwise(F.lit(0)).cast("long")).withColumn("blk", F.floor(F.col("rank") / BLOCK)))
+    bs = block_offsets(r, ["context_id"], {"t": "ct", "b": "cb"}).drop("t_sum", "b_sum")
+    tot = r.groupBy("context_id").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total_bytes"))
     wl = Window.partitionBy("context_id", "blk").orderBy("rank")
     x = r.join(bs, ["context_id", "blk"]).join(tot, "context_id").select(
         "context_id", "path", "n", "total_bytes", F.col("rank").alias("i"),
-        (F.col("ot") + F.sum("ct").over(wl.rowsBetween(Window.unboundedPreceding, 0))).cast("long").alias("running_tokens"),
-        (F.col("ob") + F.coalesce(F.sum("cb").over(wl.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("processed_bytes"))
+        (F.col("t_off") + F.sum("ct").over(wl.rowsBetween(Window.unboundedPreceding, 0))).cast("long").alias("running_tokens"),
+        (F.col("b_off") + F.coalesce(F.sum("cb").over(wl.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("processed_bytes"))
     pct = F.when((F.col("n") <= 300) & (F.col("total_bytes") > 0),
                  F.floor(F.col("processed_bytes") * 100 / F.col("total_bytes"))).otherwise(F.floor(F.col("i") * 100 / F.col("n")))
     return x.select("context_id", "path", "running_tokens", pct.cast("int").alias("percent"))
 
 
-def blocked_running_sum(df: DataFrame, keys, value: str, out: str, rank_col: str = "rank") -> DataFrame:
-    """Inclusive running sum of ``value`` per key in ``rank_col`` order (dense 0-based ranks), by
+def blocked_running_sum(df: DataFrame, keys, value: str, out: str) -> DataFrame:
+    """Inclusive running sum of ``value`` per key in rank order (dense 0-based ranks), by
     blocks: block sums, per-key offsets over the small block table, a window inside each block."""
-    from corpus_context.operators.nextfit import BLOCK
-
     keys = list(keys)
-    d = df.withColumn("_blk", (F.col(rank_col) / F.lit(BLOCK)).cast("long"))
-    bs = d.groupBy(*keys, "_blk").agg(F.sum(value).alias("_bs"))
-    wb = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    bs = bs.select(*keys, "_blk", F.coalesce(F.sum("_bs").over(wb), F.lit(0)).alias("_off"))
-    wl = Window.partitionBy(*keys, "_blk").orderBy(rank_col).rowsBetween(Window.unboundedPreceding, 0)
-    return d.join(bs, [*keys, "_blk"]).withColumn(out, F.col("_off") + F.sum(value).over(wl)).drop("_blk", "_off")
+    d = df.withColumn("blk", F.floor(F.col("rank") / BLOCK))
+    bs = block_offsets(d, keys, {"_v": value}).drop("_v_sum")
+    wl = Window.partitionBy(*keys, "blk").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    return d.join(bs, [*keys, "blk"]).withColumn(out, F.col("_v_off") + F.sum(value).over(wl)).drop("blk", "_v_off")

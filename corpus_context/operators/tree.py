@@ -98,11 +98,10 @@ def rank_position(items: DataFrame) -> DataFrame:
 
     x = items.where(F.col("path") != F.col("root")).select(
         "root", "path", P.dirname("path").alias("parent"), "is_dir", P.basename("path").alias("name"))
-    # size-checked rank per folder: a hot folder is ranked across tasks, not in one window
     r = ranked(x, ["is_dir", "name"], keys=("root", "parent"))
-    n = x.groupBy("root", "parent").agg(F.count(F.lit(1)).alias("_n"))
+    n = r.groupBy("root", "parent").agg(F.count(F.lit(1)).alias("_n"))
     return r.join(n, ["root", "parent"]).select(
-        "root", "path", "parent", "is_dir", "name", (F.col("rank") + 1).alias("position"),
+        "root", "path", "parent", "is_dir", "name", (F.col("rank") + 1).cast("int").alias("position"),
         (F.col("rank") + 1 == F.col("_n")).alias("is_last"))
 
 

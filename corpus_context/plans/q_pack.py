@@ -13,7 +13,6 @@ from corpus_context.operators import scan as S
 from corpus_context.operators import selection as SEL
 from corpus_context.plans.oracle_views import IGNORE_SQL, VIEWS, DEPS, with_views
 from corpus_context.plans.registry import QUERIES, query
-from corpus_context.session import cut_lineage
 from corpus_context.sources import testdata as TD
 
 TOKEN_LIMIT = 2000
@@ -151,13 +150,12 @@ SELECT p.context_id, w.chunk_no, count(*) AS n_files, CAST(sum(p.t) AS BIGINT) A
        min(p.rel) AS first_rel, max(p.rel) AS last_rel
 FROM pp p JOIN walk w ON w.context_id = p.context_id AND w.rn = p.rn
 GROUP BY p.context_id, w.chunk_no""", "all_parts"))
-def q_pack_tokens(spark, sf, fold_max=PK.FOLD_MAX_PARTS):
+def q_pack_tokens(spark, sf, block=None):
     parts = PK.packable(all_files(spark, sf))
     parts = parts.select("context_id", "rel",
                          (TK.tokens_chars4("text") + TK.tokens_chars4(F.concat(X.part_header("rel"), F.lit(X.PART_FOOTER)))).alias("t"))
-    parts = PK.ranked(cut_lineage(parts), ["rel"], fold_max)
-    a, _ = PK.assign_chunks(parts.select("context_id", "rank", "t", "rel"), TOKEN_LIMIT, 0, guard=True, fold_max=fold_max)
-    return a.groupBy("context_id", "chunk_no").agg(
+    a, _ = PK.assign_chunks(PK.ranked(parts, ["rel"]), TOKEN_LIMIT, 0, guard=True, block=block)
+    return a.groupBy("context_id", F.col("chunk_no").cast("int").alias("chunk_no")).agg(
         F.count(F.lit(1)).alias("n_files"), F.sum("t").cast("long").alias("tokens"),
         F.min("rel").alias("first_rel"), F.max("rel").alias("last_rel"))
 
@@ -309,8 +307,8 @@ def q_chunks_roundtrip(spark, sf):
     return read_chunks(spark, out)
 
 
-@query("pack_tokens_distributed", "W4 (distributed next-fit: prefix sums, merge, pointer doubling)",
+@query("pack_tokens_distributed", "W4 (next-fit with every context spread over many blocks)",
        QUERIES["pack_tokens"].sql)
 def q_pack_tokens_distributed(spark, sf):
-    """W4 with every context sent through the exact distributed path (as a hot context would be)."""
-    return q_pack_tokens(spark, sf, fold_max=0)
+    """W4 with blocks of eight ranks, so that every context takes the steps that a hot one would."""
+    return q_pack_tokens(spark, sf, block=8)

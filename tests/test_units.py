@@ -3,6 +3,8 @@
 import os
 import posixpath
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from corpus_context.functions import paths as P
@@ -138,45 +140,56 @@ def test_change_log_format(spark):
     assert got == {"/r/file1": "file1  (+150 tokens)", "/r/file2": "file2  (-75 tokens)"}
 
 
-def test_next_fit_distributed_matches_loop(spark):
-    import random
-
-    from corpus_context.operators.nextfit import chunk_ranges_distributed
+def next_fit_loop(sizes, h, limit, guard):
+    """Chunk numbers of the parts, and the number of chunks, by the sequential rule."""
+    cur, k, out = h, 1, []
+    for t in sizes:
+        if (cur > 0 or not guard) and cur + t > limit:
+            k, cur = k + 1, h
+        cur += t
+        out.append(k)
+    return out, k
 
-    rnd = random.Random(11)
-    rows, expect = [], {}
-    for c in range(8):
-        ts = [rnd.choice([1, 3, 30, 90, 150, 260, 700]) for _ in range(rnd.randint(1, 40))]
-        limit, h = 200, rnd.choice([0, 10, 250])
-        cur, k, chunks = h, 1, []
-        for i, t in enumerate(ts):
-            if cur > 0 and cur + t > limit:
-                k += 1
-                cur = h
-            cur += t
-            chunks.append(k)
-            rows.append((f"c{c}", i, t, h))
-        expect[f"c{c}"] = chunks
-    parts = spark.createDataFrame(rows, "context_id string, rank int, t long, h long")
-    ranges = chunk_ranges_distributed(parts, 200, F.col("h"), guard=True)
-    fold = PK.chunk_ranges(PK.chunk_starts(parts, 200, F.col("h"), guard=True))
-    key = lambda r: (r["context_id"], r["chunk_no"], r["lo"], r["hi"])
-    assert sorted(map(key, ranges.collect())) == sorted(map(key, fold.collect()))
-    got = {}
-    a, _ = PK.assign_chunks(parts, 200, F.col("h"), guard=True, fold_max=0)
-    for r in a.orderBy("context_id", "rank").collect():
-        got.setdefault(r["context_id"], []).append(r["chunk_no"])
-    assert got == expect
 
+@pytest.mark.parametrize("guard", [True, False])
+@pytest.mark.parametrize("block, level", [(None, None), (8, 4), (1, 2)])
+def test_next_fit_equals_the_sequential_rule(spark, guard, block, level):
+    """Parts of no tokens, oversize parts, headers over the limit, one part, contexts spread over many blocks."""
+    import random
 
-def test_distributed_rank_matches_window(spark):
+    from corpus_context.operators.nextfit import chunk_ranges
+
+    rnd, rows, expect = random.Random(11), [], {}
+    given = [[0, 12, 0, 0, 5, 6, 0], [0], [0, 0, 0], [11], [11, 0], [11, 0, 0, 0], [0, 0, 11, 11, 0, 3], [5, 5, 1], [10, 0, 10, 0]]
+    given += [[rnd.choice([0, 0, 1, 2, 3, 9, 10, 11, 40]) for _ in range(rnd.randint(1, 90))] for _ in range(24)]
+    given += [[0] * 40 + [11] + [0] * 40 + [5] * 9, [rnd.choice([0, 1]) for _ in range(300)], [30] * 50]
+    for c, sizes in enumerate(given):
+        for h in (0, 4, 15):
+            name = f"c{c}-{h}"
+            rows += [(name, i, t, h) for i, t in enumerate(sizes)]
+            expect[name] = next_fit_loop(sizes, h, 10, guard)
+    parts = spark.createDataFrame(rows, "context_id string, rank int, t long, h long").repartition(5)
+    got = {}
+    for r in chunk_ranges(parts, 10, F.col("h"), guard, block, level).collect():
+        got.setdefault(r["context_id"], []).append((r["chunk_no"], r["lo"], r["hi"]))
+    assert got.keys() == expect.keys()
+    for name, chunks in got.items():
+        of, n = expect[name]
+        chunks.sort()
+        assert [c[0] for c in chunks] == list(range(1, n + 1)), name
+        assert [k for k, lo, hi in chunks for _ in range(lo, hi + 1)] == of, name
+        assert chunks[0][1] == 0 and all(a[2] + 1 == b[1] for a, b in zip(chunks, chunks[1:])), name
+    assert chunk_ranges(parts.limit(0), 10, F.col("h"), guard).count() == 0
+
+
+def test_rank_matches_window(spark):
     from pyspark.sql import Window
 
     rows = [(f"c{i % 3}", f"p{(i * 7919) % 1000:04d}") for i in range(600)]
     df = spark.createDataFrame(rows, "context_id string, rel string")
-    got = PK.distributed_rank(df, ["rel"], n_tasks=5)
+    got = PK.ranked(df, ["rel"])
     w = Window.partitionBy("context_id").orderBy("rel")
-    exp = df.withColumn("rank", (F.row_number().over(w) - 1).cast("int"))
+    exp = df.withColumn("rank", F.row_number().over(w) - 1)
     assert sorted(map(tuple, got.select("context_id", "rel", "rank").collect())) == \
         sorted(map(tuple, exp.select("context_id", "rel", "rank").collect()))
 
@@ -292,12 +305,10 @@ def test_gitignore_filter(spark):
     assert kept == ["/r/keep.log", "/r/main.py", "/r/src/secret.txt", "/r/y.tmp"]
 
 
-def test_running_tokens_distributed_equals_window(spark):
+def test_running_tokens_are_prefix_sums(spark):
     rows = [(f"c{i % 2}", f"f{i:03d}", 100 + i, i % 7, i % 5 != 0) for i in range(90)]
     parts = spark.createDataFrame(rows, "context_id string, path string, size long, t long, counted boolean")
     a = sorted(map(tuple, PK.running_tokens(parts).collect()))
-    b = sorted(map(tuple, PK.running_tokens(parts, fold_max=0).collect()))
-    assert a == b
     # the running total is a prefix sum of counted tokens in path order
     c0 = [r for r in a if r[0] == "c0"]
     exp, acc = [], 0
@@ -323,6 +334,5 @@ def test_debounce_forms_agree(spark):
 
     ev = TD.fs_events(spark, "/root/testdata/sf0.001")
     a = sorted(map(tuple, EV.debounce(ev, "root", "10 minutes").collect()))
-    b = sorted(map(tuple, EV.debounce(ev, "root", "10 minutes", fold_max=0).collect()))
-    c = sorted(map(tuple, EV.debounce_session_window(ev, "root", "10 minutes").collect()))
-    assert a == b == c and len(a) > 0
+    b = sorted(map(tuple, EV.debounce_session_window(ev, "root", "10 minutes").collect()))
+    assert a == b and len(a) > 0
