@@ -126,7 +126,7 @@ def token_changes_no_moves(events: DataFrame) -> DataFrame:
 
 
 def apply_events(base: DataFrame, events: DataFrame) -> DataFrame:
-    """S3: files and folders after the events. base(root, path, token_count).
+    """S3: files and folders after the events. base(root, path, token_count[, is_dir]); folders in it count as there.
 
     created adds a path with the event's count and does nothing where the path is present; deleted removes the
     path and everything below; moved is a delete of the source, then a creation of the target; modified only
@@ -142,6 +142,8 @@ def apply_events(base: DataFrame, events: DataFrame) -> DataFrame:
         return F.struct(seq.alias("seq"), F.lit(step).alias("step")).alias("ord")
 
     first = ord_at(F.lit(-(1 << 63)).cast("long"), 0)
+    folders = base.where("is_dir").select("root", "path", first) if "is_dir" in base.columns else None
+    base = base.where("not is_dir") if "is_dir" in base.columns else base
     births = (base.select("root", "path", first, F.col("token_count").cast("long").alias("tokens"))
               .unionByName(e.where(F.col("action") == "created").select(
                   "root", F.col("src_path").alias("path"), ord_at(F.col("seq"), 0), F.col("tokens").cast("long").alias("tokens")))
@@ -150,6 +152,7 @@ def apply_events(base: DataFrame, events: DataFrame) -> DataFrame:
     removals = e.where(F.col("action").isin("deleted", "moved")).groupBy("root", F.col("src_path").alias("up")).agg(
         F.max(ord_at(F.col("seq"), 0)).alias("removed"))
     above = births.select("root", F.explode(P.ancestors("path", "root")).alias("path"), "ord").where(F.col("path") != F.col("root"))
+    above = above if folders is None else above.unionByName(folders)
     dirs = above.groupBy("root", "path").agg(F.max("ord").alias("ord"))
     nodes = births.select("root", "path").unionByName(dirs.select("root", "path")).distinct()
     chain = nodes.select("root", "path", F.explode(F.array_union(P.ancestors("path", "root"), F.array("path"))).alias("up"))

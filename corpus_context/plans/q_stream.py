@@ -13,7 +13,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from corpus_context.plans.q_events import VIEWS  # noqa: F401  (registers the event views)
+from corpus_context.plans import q_events  # (registers the event views)
 from corpus_context.plans.oracle_views import with_views
 from corpus_context.plans.registry import QUERIES, query
 from corpus_context.session import checkpoint_dir
@@ -24,10 +24,10 @@ from corpus_context.streaming import live as L
 N_FILES = 4
 
 
-def _event_files(spark, sf):
-    """Write fs_events as N_FILES parquet files, one seq range each, in order; return the folder."""
+def _event_files(spark, sf, ev=None):
+    """Write the events (fs_events) as N_FILES parquet files, one seq range each, in order; return the folder."""
     base = os.path.join(checkpoint_dir(spark), f"stream-{uuid.uuid4().hex[:12]}")
-    ev = TD.fs_events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    ev = (TD.fs_events(spark, sf) if ev is None else ev).withColumn("ts", F.col("ts").cast("timestamp"))
     b = ev.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).first()
     lo, hi = int(b["lo"]), int(b["hi"])
     step = (hi - lo) // N_FILES + 1
@@ -93,6 +93,48 @@ def q_stream_change_log(spark, sf):
     structural = fs_event_source(spark, src, max_files_per_trigger=1).where(F.col("action") != "modified")
     empty_ev = structural.where(F.lit(False))
     entries = change_entries(structural, diffs.where(F.lit(False))).unionByName(change_entries(empty_ev, diffs))
-    log_dir = os.path.join(base, "log")
-    L.run_change_log(entries, log_dir, os.path.join(base, "ckpt2"))
-    return L.change_log_lines(spark, log_dir)
+    ckpt = os.path.join(base, "ckpt2")
+    log = L.run_change_log(entries, os.path.join(base, "log"), ckpt)
+    return L.change_log_lines(log, L.batches_done(ckpt, spark))
+
+
+@query("stream_apply_events", "S3 A8 (stream)", QUERIES["apply_events"].sql)
+def q_stream_apply_events(spark, sf):
+    """S3 over micro-batches, from the base files on; with a new base table after every second batch."""
+    files, events = q_events._tree(spark, sf)
+    base, src = _event_files(spark, sf, events)
+    ckpt = os.path.join(base, "ckpt")
+    items = L.run_apply_events(fs_event_source(spark, src, max_files_per_trigger=1), os.path.join(base, "items"), ckpt, files, every=2)
+    return items.before(L.batches_done(ckpt, spark)).select("root", "path", "is_dir", "token_count")
+
+
+@query("stream_debounce", "S6 A8 (stream)", QUERIES["debounce"].sql)
+def q_stream_debounce(spark, sf):
+    """S6 with session windows and a watermark, in append mode. One last event of a root of its own, a day after the others,
+    moves the watermark past their bursts (its own burst stays open and is not sent)."""
+    base, src = _event_files(spark, sf)
+    ev = spark.read.parquet(src)
+    last = ev.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"), (F.max("seq") + 1).alias("seq"))
+    end = last.select(F.lit("/corpus/end").alias("root"), "seq", "ts", F.lit("modified").alias("action"), F.lit("/corpus/end/x").alias("src_path"))
+    ev.limit(0).unionByName(end, allowMissingColumns=True).coalesce(1).write.mode("append").parquet(src)
+    stream = L.with_event_time(fs_event_source(spark, src, max_files_per_trigger=1), "1 hour")
+    out = os.path.join(base, "out")
+    L.run_debounce(stream, out, os.path.join(base, "ckpt"), "10 minutes")
+    return spark.read.parquet(out)
+
+
+@query("stream_live_events", "J6 A8 (stream)", with_views("""
+SELECT root, seq, action, src_path FROM (
+  SELECT regexp_extract(src_path, '^(.*)/[^/]*$', 1) AS root, seq, action, src_path FROM fs_events)
+WHERE CAST(right(root, 3) AS INTEGER) % 3 <> 0""", "fs_events"))
+def q_stream_live_events(spark, sf):
+    """J6 per user folder: every third one's watcher is off, every third one has no flag (which counts as on)."""
+    ev = TD.fs_events(spark, sf).withColumn("root", F.regexp_extract("src_path", "^(.*)/[^/]*$", 1))
+    base, src = _event_files(spark, sf, ev)
+    k = F.substring("root", -3, 3).cast("int") % 3
+    flag = F.struct(F.when(k == 0, False).when(k == 1, True).alias("live_watcher"))
+    table = os.path.join(base, "workspaces")
+    ev.select("root").distinct().select(F.col("root").alias("folder_path"), flag.alias("scan_settings")).write.parquet(table)
+    out = os.path.join(base, "out")
+    L.run_live_events(fs_event_source(spark, src, max_files_per_trigger=1), lambda: spark.read.parquet(table), out, os.path.join(base, "ckpt"))
+    return spark.read.parquet(out).select("root", "seq", "action", "src_path")

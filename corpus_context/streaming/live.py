@@ -4,8 +4,9 @@ Event time is ``ts`` with a caller-set watermark; later rows are dropped
 (Spark default). Windowed results are written per micro-batch in update
 mode by ``foreachBatch`` into batch-id folders, so a replayed batch rewrites
 the same folder; the final table keeps the newest version of each key.
-The token-change state (S2) is a table keyed by (root, path), written anew
-by each micro-batch.
+What S2, S3 and S7 remember is a table keyed by (root, path), of which a
+micro-batch reads the paths it touches and writes those that changed
+(streaming/state.py).
 """
 
 from __future__ import annotations
@@ -15,8 +16,13 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpus_context.functions import paths as P
 from corpus_context.operators import events as EV
+from corpus_context.operators import selection as SEL
+from corpus_context.operators.moves import prefixes
+from corpus_context.operators.topk import top_k_per_key
 from corpus_context.session import path_exists, remove_path
+from corpus_context.streaming.state import PathState
 
 TS_FMT = EV.TS_FMT
 
@@ -57,9 +63,6 @@ def latest_versions(spark: SparkSession, out_dir: str, key: list[str]) -> DataFr
 
 # -- S2: stateful token changes ---------------------------------------------------------------
 
-CACHE_SCHEMA = "root string, path string, tokens long"
-
-
 def token_changes_stream(events: DataFrame) -> DataFrame:
     """S2 as a stream: the events that :func:`run_append` turns into token changes.
 
@@ -67,32 +70,71 @@ def token_changes_stream(events: DataFrame) -> DataFrame:
     return events.select("root", "seq", "action", "src_path", "dst_path", F.col("tokens").cast("long"))
 
 
-def token_changes_step(events: DataFrame, spark: SparkSession, out_dir: str, state_dir: str, batch_id: int) -> None:
-    """S2 step: the token changes of one micro-batch, and the watcher's cache after it as a table keyed by (root, path).
-
-    Both go to batch=<id> folders made from the cache of the batch before, so a replayed batch rewrites its own.
-    The cache before that and the scratch tables go."""
-    scratch = os.path.join(state_dir, f"scratch-{batch_id}")
+def _stepped(events: DataFrame, spark: SparkSession, folder: str, batch_id: int, step) -> None:
+    """``step(events, scratch)`` over one micro-batch, read again in the caller's session (a stream's own is not adaptive)."""
+    scratch = os.path.join(folder, f"scratch-{batch_id}")
     remove_path(spark, scratch)
-    events.write.parquet(os.path.join(scratch, "events"))  # read again in the caller's session: a stream's own is not adaptive
-    cache = (spark.read.schema(CACHE_SCHEMA).parquet(os.path.join(state_dir, f"batch={batch_id - 1}")) if batch_id > 0
-             else spark.createDataFrame([], CACHE_SCHEMA))
-    diffs, after = EV.token_flow(spark.read.parquet(os.path.join(scratch, "events")), cache, os.path.join(scratch, "steps"))
-    diffs.write.mode("overwrite").parquet(os.path.join(out_dir, f"batch={batch_id}"))
-    after.write.mode("overwrite").parquet(os.path.join(state_dir, f"batch={batch_id}"))
+    events.write.parquet(os.path.join(scratch, "events"))
+    step(spark.read.schema(events.schema).parquet(os.path.join(scratch, "events")), os.path.join(scratch, "steps"))
     remove_path(spark, scratch)
-    remove_path(spark, os.path.join(state_dir, f"batch={batch_id - 2}"))
 
 
-def run_append(df: DataFrame, out_dir: str, ckpt: str):
-    """Run :func:`token_changes_stream` to completion; each batch's changes land in out_dir/batch=<id>."""
-    spark, state_dir = df.sparkSession, os.path.join(ckpt, "token_cache")
+def _run(df: DataFrame, ckpt: str, step):
+    """Runs the stream to completion; ``step(events, scratch, batch id)`` for each micro-batch."""
+    spark = df.sparkSession
     q = (df.writeStream.option("checkpointLocation", ckpt)
-         .foreachBatch(lambda bdf, bid: token_changes_step(bdf, spark, out_dir, state_dir, bid)).trigger(availableNow=True).start())
+         .foreachBatch(lambda bdf, bid: _stepped(bdf, spark, os.path.join(ckpt, "steps"), bid, lambda e, s: step(e, s, bid)))
+         .trigger(availableNow=True).start())
     q.awaitTermination()
     return q
 
 
+def touched_paths(events: DataFrame) -> DataFrame:
+    """(root, path) of the events' sources and targets."""
+    return events.select("root", F.explode(F.array("src_path", "dst_path")).alias("path")).where("path is not null").distinct()
+
+
+def run_append(df: DataFrame, out_dir: str, ckpt: str):
+    """Run :func:`token_changes_stream` to completion; each batch's changes land in out_dir/batch=<id>, made from the counts
+    before it of the paths it touches."""
+    cache = PathState(df.sparkSession, os.path.join(ckpt, "token_cache"), "tokens long")
+    return _run(df, ckpt, lambda events, scratch, batch_id: token_changes_step(events, cache, out_dir, batch_id, scratch))
+
+
+def token_changes_step(events: DataFrame, cache: PathState, out_dir: str, batch_id: int, scratch: str | None = None) -> None:
+    """S2 step: the token changes of one micro-batch, and the watcher's counts of the paths it touches."""
+    touched = touched_paths(events.where("action <> 'created'"))
+    diffs, after = EV.token_flow(events, cache.before(batch_id, touched), scratch)
+    diffs.write.mode("overwrite").parquet(os.path.join(out_dir, f"batch={batch_id}"))
+    cache.commit(batch_id, after, touched)
+
+
+# -- S3: files and folders as events arrive -----------------------------------------------------
+
+def run_apply_events(df: DataFrame, state_dir: str, ckpt: str, base: DataFrame | None = None, every: int = 10) -> PathState:
+    """S3 as a stream: the table of files and folders after each micro-batch, from ``base`` on (as in EV.apply_events).
+
+    A micro-batch applies its events to the rows of the paths they create or change, and of the folders above them; what it
+    removes becomes one tombstone per path, which stands for everything below. Micro-batches must arrive in seq order.
+    The state is written anew from ``base`` by the first run only."""
+    items = PathState(df.sparkSession, state_dir, "is_dir boolean, token_count long", below=True, seeded=base is not None, every=every)
+    if base is not None and not path_exists(df.sparkSession, os.path.join(ckpt, "offsets")):
+        whole = EV.apply_events(base, df.sparkSession.createDataFrame([], "root string, seq long, action string, src_path string, dst_path string, tokens long"))
+        items.seed(whole)
+
+    _run(df, ckpt, lambda events, scratch, batch_id: apply_events_step(events, items, batch_id))
+    return items
+
+
+def apply_events_step(events: DataFrame, items: PathState, batch_id: int) -> None:
+    """S3 step: one micro-batch of events against the files and folders before it."""
+    made = events.select("root", F.when(F.col("action") == "moved", F.col("dst_path")).when(F.col("action") != "deleted", F.col("src_path")).alias("path"))
+    touched = made.where("path is not null").select("root", F.explode(prefixes("path")).alias("path")).distinct()
+    after = EV.apply_events(items.before(batch_id, touched), events).join(touched, ["root", "path"], "left_semi")
+    gone = events.where("action in ('deleted', 'moved')").select("root", F.col("src_path").alias("path"))
+    items.commit(batch_id, after, gone)
+
+
 # -- S8: selected-file tokens as changes arrive ----------------------------------------------
 
 def selection_tokens_stream(diffs: DataFrame, selection: DataFrame) -> DataFrame:
@@ -103,46 +145,61 @@ def selection_tokens_stream(diffs: DataFrame, selection: DataFrame) -> DataFrame
 
 # -- S7: live change log, merged per micro-batch -----------------------------------------------
 
-LOG_SCHEMA = "root string, path string, seq long, change string, first_seq long"
+def run_change_log(entries: DataFrame, log_dir: str, ckpt: str, n: int = 5) -> PathState:
+    """Per path its last ``n`` changes and the seq it was first seen at, kept as a table: a micro-batch of change entries is
+    merged with the rows of the paths it holds."""
+    log = PathState(entries.sparkSession, log_dir, "first_seq long, changes array<struct<seq:long,change:string>>")
+
+    def step(batch, scratch, batch_id):
+        keys = batch.select("root", "path").distinct()
+        held = log.before(batch_id, keys)
+        new = top_k_per_key(batch, ["root", "path"], [F.col("seq").desc()], n, ["seq"]).select("root", "path", "seq", "change")
+        new = new.groupBy("root", "path").agg(F.collect_list(F.struct(F.col("seq").cast("long").alias("seq"), "change")).alias("new"))
+        first = batch.groupBy("root", "path").agg(F.min("seq").cast("long").alias("first"))
+        both = F.sort_array(F.concat(F.coalesce("changes", F.array().cast("array<struct<seq:long,change:string>>")), "new"), asc=False)
+        merged = new.join(first, ["root", "path"]).join(held, ["root", "path"], "left").select(
+            "root", "path", F.least("first", "first_seq").alias("first_seq"), F.slice(both, 1, n).alias("changes"))
+        log.commit(batch_id, merged, keys.limit(0))
+
+    _run(entries, ckpt, step)
+    return log
+
+
+def change_log_lines(log: PathState, batches: int) -> DataFrame:
+    """The log after ``batches`` micro-batches as display lines (same form as the batch W3/R11)."""
+    g = log.before(batches).withColumn("changes", F.array_join(F.transform("changes", lambda x: x["change"]), ", "))
+    return g.select("root", "path", "first_seq", "changes",
+                    F.concat(P.display_path("path", "root"), F.lit("  ("), F.col("changes"), F.lit(")")).alias("line"))
+
 
+# -- J6: events of live workspaces --------------------------------------------------------------
 
-def change_log_merge(entries_batch: DataFrame, log_dir: str, batch_id: int, n: int = 5) -> None:
-    """S7 step: merge one micro-batch of change entries into the stored log.
+def run_live_events(events: DataFrame, workspaces, out_dir: str, ckpt: str):
+    """J6 as a stream: each micro-batch meets the workspace table as it then is (``workspaces()`` reads it), so a workspace
+    whose watcher is switched off falls silent from the next batch on. Batches land in out_dir/batch=<id>."""
+    return _run(events, ckpt, lambda batch, scratch, batch_id: SEL.live_events(batch, workspaces()).write.mode("overwrite").parquet(
+        os.path.join(out_dir, f"batch={batch_id}")))
 
-    The stored log keeps, per path, its last n entries and the seq it was first seen at. Each
-    batch writes a new version (batch=<id>) from the previous one, so a replayed batch rewrites
-    its own version and never counts twice."""
-    from pyspark.sql import Window
 
-    spark = entries_batch.sparkSession
-    cur = entries_batch.select("root", "path", "seq", "change", F.col("seq").alias("first_seq"))
-    prev_dir = os.path.join(log_dir, f"batch={batch_id - 1}")
-    if batch_id > 0 and path_exists(spark, prev_dir):
-        cur = spark.read.schema(LOG_SCHEMA).parquet(prev_dir).unionByName(cur)
-    wf = Window.partitionBy("root", "path")
-    w = Window.partitionBy("root", "path").orderBy(F.col("seq").desc())
-    keep = cur.withColumn("first_seq", F.min("first_seq").over(wf)).withColumn("k", F.row_number().over(w))
-    keep = keep.where(F.col("k") <= n).drop("k")
-    keep.write.mode("overwrite").parquet(os.path.join(log_dir, f"batch={batch_id}"))
+def batches_done(ckpt: str, spark: SparkSession) -> int:
+    """The number of micro-batches that a stream's checkpoint has committed."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(os.path.join(ckpt, "commits"))
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(p)]
+    return max(int(x) for x in names if x.isdigit()) + 1
 
 
-def run_change_log(entries: DataFrame, log_dir: str, ckpt: str, n: int = 5):
-    q = (entries.writeStream.option("checkpointLocation", ckpt)
-         .foreachBatch(lambda df, bid: change_log_merge(df, log_dir, bid, n)).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return q
+# -- S6: bursts as a stream ---------------------------------------------------------------------
 
+def debounce_stream(events: DataFrame, gap: str = "500 milliseconds", key: str = "root") -> DataFrame:
+    """S6 as a stream, for append mode: a burst is sent once the watermark has passed its end; a row whose time lies before the
+    watermark is dropped. ``events`` carry a watermark (:func:`with_event_time`)."""
+    return EV.debounce_session_window(events, key, gap)
 
-def change_log_lines(spark: SparkSession, log_dir: str) -> DataFrame:
-    """The newest log version as display lines (same form as the batch W3/R11)."""
-    from corpus_context.functions import paths as P
 
-    allv = spark.read.parquet(log_dir)  # batch=<id> folders become a column
-    last = allv.agg(F.max("batch").alias("batch"))
-    log = allv.join(last, "batch").drop("batch")
-    g = log.groupBy("root", "path").agg(
-        F.min("first_seq").alias("first_seq"),
-        F.sort_array(F.collect_list(F.struct((-F.col("seq")).alias("k"), "change"))).alias("cs"))
-    g = g.withColumn("changes", F.array_join(F.transform("cs", lambda x: x["change"]), ", "))
-    return g.select("root", "path", "first_seq", "changes",
-                    F.concat(P.display_path("path", "root"), F.lit("  ("), F.col("changes"), F.lit(")")).alias("line"))
+def run_debounce(events: DataFrame, out_dir: str, ckpt: str, gap: str = "500 milliseconds"):
+    q = (debounce_stream(events, gap).writeStream.outputMode("append").option("checkpointLocation", ckpt).format("parquet")
+         .option("path", out_dir).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return q

@@ -49,6 +49,7 @@ def test_token_changes_equal_a_replay_without_python_groups(spark, tmp_path):
     import random
 
     from corpus_context.streaming import live as L
+    from corpus_context.streaming.state import PathState
 
     r, schema = random.Random(7), "root string, seq long, action string, src_path string, dst_path string, tokens long"
     rows = []
@@ -62,11 +63,11 @@ def test_token_changes_equal_a_replay_without_python_groups(spark, tmp_path):
     with contextlib.redirect_stdout(text):
         got.explain()
     assert "InPandas" not in text.getvalue()
-    out, state = str(tmp_path / "out"), str(tmp_path / "state")
-    for b in (0, 1, 1, 2):  # batch 1 is replayed
-        L.token_changes_step(e.where(f"seq div 500 = {b}"), spark, out, state, b)
+    out, cache = str(tmp_path / "out"), PathState(spark, str(tmp_path / "state"), "tokens long", every=2)
+    for b in (0, 1, 1, 2):  # batch 1 is replayed, and followed by a new base
+        L.token_changes_step(e.where(f"seq div 500 = {b}"), cache, out, b)
     assert sorted(map(tuple, spark.read.parquet(out).select("root", "seq", "path", "diff").collect())) == _replay_tokens(rows)
-    assert {tuple(x) for x in spark.read.parquet(state + "/batch=2").select("root").distinct().collect()} == {("/r",)}
+    assert {x.root for x in cache.before(3).collect()} == {"/r"}
 
 
 def test_unknown_active_group_falls_back(spark):
