@@ -140,49 +140,41 @@ def _corpus_tokens_one_pass(files: DataFrame, estimator, ignore, max_bytes: int)
 
 
 def gitignore_rules(files: DataFrame) -> DataFrame:
-    """Rules from the corpus's own ``.gitignore`` rows -> (root, gdir, ord, negate, regex).
+    """Rules from the corpus's own ``.gitignore`` rows -> (root, gdir, ord, negate, dir_only, regex).
 
-    The regex is matched against the path relative to the ``.gitignore``'s folder. A pattern with
-    no inner '/' matches at any depth; a trailing '/' matches folders only; a match on a folder
-    covers everything below it. Patterns are turned into regexes by Catalyst string functions, so
-    the rules stay data (no driver-side parsing)."""
+    The regex is for the whole path of a file or folder relative to the ``.gitignore``'s folder. A pattern with
+    no inner '/' matches at any depth; a trailing '/' matches folders only; blanks at the end go unless escaped. Patterns
+    are turned into regexes by Catalyst functions, so the rules stay data (no driver-side parsing)."""
+    from corpus_context.functions.globs import path_pattern_regex
     from corpus_context.functions.text import read_text
 
     g = files.where(P.basename("path") == ".gitignore")
     g = g.select("root", P.dirname("path").alias("gdir"),
                  F.posexplode(F.split(read_text(g, newline="universal"), "\n")).alias("ord", "line"))
-    line = F.regexp_replace("line", r"\s+$", "")
-    g = g.select("root", "gdir", "ord", line.alias("line")).where((F.col("line") != "") & ~F.col("line").startswith("#"))
-    neg = F.col("line").startswith("!")
-    pat = F.when(neg, F.substring("line", 2, 1 << 20)).otherwise(F.col("line"))
-    g = g.select("root", "gdir", "ord", neg.alias("negate"), pat.alias("p"))
-    g = g.withColumn("dir_only", F.col("p").endswith("/")).withColumn("p", F.regexp_replace("p", "/+$", ""))
-    g = g.withColumn("anchored", F.col("p").contains("/")).withColumn("p", F.regexp_replace("p", "^/", ""))
-    rx = F.regexp_replace("p", r"([.+^$(){}|\\])", r"\\$1")
-    rx = F.replace(rx, F.lit("**/"), F.lit("\u0001"))
-    rx = F.replace(rx, F.lit("/**"), F.lit("\u0002"))
-    rx = F.replace(rx, F.lit("**"), F.lit("\u0003"))
-    rx = F.replace(rx, F.lit("*"), F.lit("[^/]*"))
-    rx = F.replace(rx, F.lit("?"), F.lit("[^/]"))
-    rx = F.replace(rx, F.lit("\u0001"), F.lit("(?:.*/)?"))
-    rx = F.replace(rx, F.lit("\u0002"), F.lit("/.*"))
-    rx = F.replace(rx, F.lit("\u0003"), F.lit(".*"))
-    head = F.when(F.col("anchored"), F.lit("^")).otherwise(F.lit("^(?:.*/)?"))
-    tail = F.when(F.col("dir_only"), F.lit("/.*$")).otherwise(F.lit("(?:/.*)?$"))
-    return g.select("root", "gdir", "ord", "negate", F.concat(head, rx, tail).alias("regex"))
+    g = g.withColumn("line", F.regexp_replace("line", r"(?<!\\)\s+$", "")).where((F.col("line") != "") & ~F.col("line").startswith("#"))
+    g = g.withColumn("negate", F.col("line").startswith("!")).withColumn("p", F.regexp_replace("line", "^!", ""))
+    g = g.withColumn("dir_only", F.col("p").endswith("/")).withColumn("p", F.regexp_replace("p", "/+$", "")).where("p <> ''")
+    head = F.when(F.col("p").contains("/"), F.lit("^")).otherwise(F.lit("^(?:.*/)?"))
+    regex = F.concat(F.lit("(?s)"), head, path_pattern_regex(F.regexp_replace("p", "^/", "")), F.lit(r"\z"))
+    return g.select("root", "gdir", "ord", "negate", "dir_only", regex.alias("regex"))
 
 
 def gitignore_filter(files: DataFrame) -> DataFrame:
-    """Files not ignored by the ``.gitignore`` rules of their folders (the last matching rule
-    wins, deeper files' rules after shallower ones; '!' re-includes). Each file meets only the rules
-    of its own ancestor folders (an equi-join on the folder)."""
+    """Files not ignored by the ``.gitignore`` rules of their folders.
+
+    Every folder, and then the file, is decided by the last rule that matches it (deeper files' rules after shallower ones;
+    '!' re-includes). An ignored folder ends the search: nothing below it can be re-included. Folders are decided once,
+    however many files they hold, and each node meets only the rules of the folders above it (an equi-join on the folder)."""
     rules = gitignore_rules(files)
-    f = files.select("root", "path").where(P.basename("path") != ".gitignore")
-    anc = f.select("root", "path", F.explode(P.ancestors("path", "root")).alias("gdir"))
-    m = anc.join(rules, ["root", "gdir"])
-    rel = F.substring(F.col("path"), F.length("gdir") + 2, 1 << 20)
-    m = m.where(F.call_function("regexp_like", rel, F.col("regex")))
-    last = m.groupBy("root", "path").agg(
-        F.max_by("negate", F.struct(F.length("gdir"), F.col("ord"))).alias("negate"))
-    ignored = last.where(~F.col("negate")).select("root", "path")
-    return files.join(ignored, ["root", "path"], "left_anti")
+    f = files.select("root", "path").where(P.basename("path") != ".gitignore").distinct()
+    folders = f.select("root", F.explode(P.ancestors("path", "root")).alias("path")).where(F.col("path") != F.col("root")).distinct()
+    nodes = f.withColumn("is_dir", F.lit(False)).unionByName(folders.withColumn("is_dir", F.lit(True)))
+    m = nodes.select("*", F.explode(P.ancestors("path", "root")).alias("gdir")).join(rules, ["root", "gdir"])
+    rel = F.substr("path", F.length("gdir") + 2)
+    m = m.where((F.col("is_dir") | ~F.col("dir_only")) & F.call_function("regexp_like", rel, F.col("regex")))
+    last = m.groupBy("root", "path", "is_dir").agg(F.max_by("negate", F.struct(F.length("gdir"), "ord")).alias("negate"))
+    ignored = last.where("not negate").select("root", F.col("path").alias("up"), "is_dir")
+    chain = f.select("root", "path", F.explode(F.array_append(P.ancestors("path", "root"), F.col("path"))).alias("up"), )
+    chain = chain.withColumn("is_dir", F.col("up") != F.col("path"))
+    gone = chain.join(ignored, ["root", "up", "is_dir"], "left_semi").select("root", "path").distinct()
+    return files.join(gone, ["root", "path"], "left_anti")

@@ -241,3 +241,45 @@ def q_token_estimators(spark, sf):
     f = TD.files(spark, sf)
     t = X.read_text(f)
     return f.select("root", "path", TK.tokens_chars4(t).alias("chars4"), TK.tokens_words_chars4(t).alias("words_chars4"))
+
+
+#: Ignore files of the corpus: one per root, one in each root's first language folder.
+ROOT_RULES = """# logs, builds
+*.log
+build/
+!src/build/doc_000*
+*.min.js
+!doc_00[0-4]*.min.js
+doc_*[!02468].txt
+**/node_modules/**
+un[closed
+"""
+LANGUAGE_RULES = """!*.log
+*.sql
+/src
+"""
+
+
+def _with_ignore_files(spark, sf):
+    f = TD.files(spark, sf).select("root", "path", "text")
+    first = TD.table(spark, sf, "documents").groupBy("source").agg(F.min("lang").alias("lang"))
+    root = F.concat(F.lit("/corpus/"), F.col("source"))
+    of_root = first.select(root.alias("root"), F.concat(root, F.lit("/.gitignore")).alias("path"), F.lit(ROOT_RULES).alias("text"))
+    of_lang = first.select(root.alias("root"), F.concat(root, F.lit("/"), "lang", F.lit("/.gitignore")).alias("path"), F.lit(LANGUAGE_RULES).alias("text"))
+    return f.unionByName(of_root).unionByName(of_lang)
+
+
+@query("gitignore_filter", "X2", with_views("""
+WITH first AS (SELECT '/corpus/' || source AS root, min(lang) AS lang FROM documents GROUP BY source),
+n AS (SELECT f.root, f.path, regexp_extract(f.path, '([^/]*)$', 1) AS name, substr(f.path, length(f.root) + 2) AS rel,
+             starts_with(substr(f.path, length(f.root) + 2), first.lang || '/') AS own, first.lang
+      FROM files f JOIN first ON first.root = f.root)
+SELECT root, path FROM n
+WHERE NOT (contains(rel, '/build/') OR contains(rel, '/node_modules/')
+           OR (ends_with(name, '.log') AND NOT own)
+           OR (ends_with(name, '.min.js') AND NOT regexp_matches(name, '^doc_00[0-4]'))
+           OR regexp_matches(name, '^doc_.*[^02468]\\.txt$')
+           OR (own AND (ends_with(name, '.sql') OR starts_with(rel, lang || '/src/'))))""", "files"))
+def q_gitignore_filter(spark, sf):
+    """X2 over the corpus with ignore files; build/ stays out although a file in it is re-included."""
+    return S.gitignore_filter(_with_ignore_files(spark, sf)).where(P.basename("path") != ".gitignore").select("root", "path")

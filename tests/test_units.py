@@ -305,6 +305,37 @@ def test_gitignore_filter(spark):
     assert kept == ["/r/keep.log", "/r/main.py", "/r/src/secret.txt", "/r/y.tmp"]
 
 
+def test_gitignore_parents_sets_and_escapes(spark):
+    from corpus_context.operators import scan as S
+
+    rules = ["build/", "!build/keep.txt", "a[b", "x[0-9].c", "y[!a-c].c", "z[z-a].c", "w[]x].c", "docs/**/tmp", "**/cache", "out/**",
+             r"\#hash", r"\!bang", r"sp\ ", "trail   ", "q?.c", "/only.c", "deep/er/f", "!x7.c", "m[^k].c", "p[&&a].c"]
+    ignored = ["build/keep.txt", "s/build/keep.txt", "x1.c", "s/x0.c", "yd.c", "w].c", "wx.c", "docs/tmp", "docs/a/b/tmp", "cache/f", "s/cache",
+               "out/a", "out/b/c", "#hash", "!bang", "sp ", "trail", "qa.c", "only.c", "deep/er/f", "ml.c", "p&.c", "pa.c"]
+    kept = ["a[b", "ab", "xa.c", "ya.c", "y/.c", "zz.c", "wy.c", "docs/tmpx", "out", "q/.c", "s/only.c", "s/deep/er/f", "x7.c", "mk.c", "p[.c", "s/out/a"]
+    rows = [("/r", "/r/.gitignore", "\n".join(rules))] + [("/r", "/r/" + p, "") for p in ignored + kept]
+    rows += [("/r", "/r/s/.gitignore", "!x0.c\n"), ("/r", "/r/s/t/x0.c", ""), ("/q", "/q/build/a", "")]
+    got = {r.path for r in S.gitignore_filter(spark.createDataFrame(rows, "root string, path string, text string")).collect()}
+    back = {"/r/s/x0.c", "/r/s/t/x0.c", "/q/build/a", "/r/.gitignore", "/r/s/.gitignore"}
+    assert got == {"/r/" + p for p in kept} | back
+
+
+def test_globs_equal_fnmatch(spark):
+    import fnmatch
+    import random
+
+    from corpus_context.functions.globs import glob_to_regex
+
+    r = random.Random(4)
+    names = ["".join(r.choice("ab-]!^[*?&.\\/\n") for _ in range(r.randint(0, 6))) for _ in range(300)]
+    given = ["".join(r.choice("ab-]!^[[]*?&.\\/") for _ in range(r.randint(0, 7))) for _ in range(120)] + ["[a&&b]", "[[a]", "[b-a]", "[!b-a]", "[]a]", "[!]a]", "[a-", "*"]
+    df = spark.createDataFrame([(n,) for n in names], "n string").coalesce(1)
+    got = df.select(*[F.col("n").rlike(glob_to_regex(g)).alias(str(i)) for i, g in enumerate(given)]).collect()
+    for n, row in zip(names, got):
+        for g, match in zip(given, row):
+            assert match == fnmatch.fnmatchcase(n, g), (n, g)
+
+
 def test_running_tokens_are_prefix_sums(spark):
     rows = [(f"c{i % 2}", f"f{i:03d}", 100 + i, i % 7, i % 5 != 0) for i in range(90)]
     parts = spark.createDataFrame(rows, "context_id string, path string, size long, t long, counted boolean")
