@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 from functools import lru_cache
 
 import numpy as np
@@ -33,11 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpus_context.llm.bpe import byte_characters
-from corpus_context.llm.common import cut_lineage, releasing, small_batches, unstable_characters
+from corpus_context.llm.common import UnstableCharacters, cut_lineage, releasing, small_batches, unstable_characters
 
 #: Text bytes of a block; a document is never split, so a longer one is a block by itself.
 BLOCK_BYTES = 4 << 20
-_SHIFT = 16  # both vocabularies have fewer than 2^16 ids
+_SHIFT = 16  # both vocabularies have fewer than 2^16 ids, so a pair has fewer than 2^32
+_END_BITS = 36  # an Arrow string has fewer bytes, and a block fewer than 2^27 documents
 #: The split pattern of byte-level vocabularies (fixed value).
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -60,10 +60,10 @@ class ByteLevel:
         of = {i: bytes(map(byte.__getitem__, t)) for t, i in vocab.items() if t not in special}
         self.bytes = [of.get(i, b"") for i in range(max(vocab.values()) + 1)]
         self.fast = tiktoken.Encoding("byte_level", pat_str=_PATTERN, mergeable_ranks={t: i for i, t in of.items()}, special_tokens={})
-        self.unstable = re.compile(unstable)
+        self.unstable = UnstableCharacters(unstable)
 
     def ids(self, text: str) -> np.ndarray:
-        if text.isascii() or not self.unstable.search(text):
+        if not self.unstable(text):
             return np.asarray(self.fast.encode_ordinary(text), np.int32)
         if self.whole is None:
             from tokenizers import Tokenizer
@@ -103,12 +103,13 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 
 def _tokens(ids: pa.ListArray, sizes: pa.Array) -> pa.Table:
-    """(doc, id, end, row) of every token; ``end`` is its last byte's offset + 1 in its document."""
+    """(doc, id, end, row) of every token; ``end`` holds its document and, in the low bits, its last byte's offset + 1 there."""
     flat = pc.list_flatten(ids)
     doc = pc.cast(pc.list_parent_indices(ids), pa.int64())
     total = pc.cumulative_sum(pc.take(sizes, flat))
     before = pc.take(pa.concat_arrays([pa.array([0], pa.int64()), total]), ids.offsets)
-    return pa.table({"doc": doc, "id": flat, "end": pc.subtract(total, pc.take(before, doc)), "row": pa.array(np.arange(len(flat)))})
+    end = pc.add(pc.shift_left(doc, _END_BITS), pc.subtract(total, pc.take(before, doc)))
+    return pa.table({"doc": doc, "id": flat, "end": end, "row": pa.array(np.arange(len(flat)))})
 
 
 def _joined(ids: np.ndarray, strings: list[bytes]) -> bytes:
@@ -140,26 +141,32 @@ def align_block(a_ids: pa.ListArray, b_ids: pa.ListArray, a_sizes: pa.Array, b_s
     have the same number of bytes."""
     n = len(a_ids)
     a, b = _tokens(a_ids, a_sizes), _tokens(b_ids, b_sizes)
-    cuts = a.select(["doc", "end", "row"]).join(
-        b.select(["doc", "end", "row"]), ["doc", "end"], join_type="inner", right_suffix="_b", use_threads=False)
+    cuts = a.select(["end", "row"]).join(b.select(["end", "row"]), "end", join_type="inner", right_suffix="_b", use_threads=False)
     of_a, of_b = (np.sort(cuts.column(c).to_numpy()) for c in ("row", "row_b"))
     group_a, group_b = _grouped(a, of_a), _grouped(b, of_b)
     doc_of = a.column("doc").to_numpy()[of_a]
-    groups = pc.binary_join_element_wise(_shown(a, group_a, len(of_a)), _shown(b, group_b, len(of_a)), "|")
+    groups = pc.binary_join_element_wise(_shown(a, group_a, len(of_a)), _shown(b, group_b, len(of_b)), "|")
     bounds = np.searchsorted(doc_of, np.arange(n + 1)).astype(np.int32)
     shown = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds), groups), ";")
 
-    def counted(t, group):
-        return pa.table({"group": pa.array(group), "id": t.column("id")}).group_by(["group", "id"], use_threads=False).aggregate([([], "count_all")])
-
-    pairs = counted(a, group_a).join(counted(b, group_b), "group", join_type="inner", right_suffix="_b", use_threads=False)
-    key = pc.add(pc.shift_left(pc.cast(pairs.column("id"), pa.int64()), _SHIFT), pc.cast(pairs.column("id_b"), pa.int64()))
-    links = pc.multiply(pairs.column("count_all"), pairs.column("count_all_b"))
-    held = pa.table({"doc": pa.array(doc_of[pairs.column("group").to_numpy()]), "pair": key, "links": links}).group_by(
-        ["doc", "pair"], use_threads=False).aggregate([("links", "sum")]).sort_by("doc")
-    holders = held.group_by("pair", use_threads=False).aggregate([([], "count_all")])
-    place = pc.index_in(held.column("pair").combine_chunks(), value_set=holders.column("pair").combine_chunks())
-    of = held.column("doc").to_numpy()
+    id_a, id_b = a.column("id").to_numpy().astype(np.int64), b.column("id").to_numpy().astype(np.int64)
+    lone = (np.bincount(group_a, minlength=len(of_a)) == 1) & (np.bincount(group_b, minlength=len(of_b)) == 1)
+
+    def counted(group, ids):  # of the groups with several tokens; the others are a pair as they stand
+        rest = ~lone[group]
+        return pa.table({"group": group[rest], "id": ids[rest]}).group_by(["group", "id"], use_threads=False).aggregate([([], "count_all")])
+
+    pairs = counted(group_a, id_a).join(counted(group_b, id_b), "group", join_type="inner", right_suffix="_b", use_threads=False)
+    key = pc.add(pc.shift_left(pairs.column("id"), _SHIFT), pairs.column("id_b")).to_numpy()
+    links = pc.multiply(pairs.column("count_all"), pairs.column("count_all_b")).to_numpy()
+    key = np.concatenate([doc_of[pairs.column("group").to_numpy()] << 32 | key,
+                          doc_of[lone] << 32 | id_a[lone[group_a]] << _SHIFT | id_b[lone[group_b]]])
+    held = pa.table({"key": key, "links": np.concatenate([links, np.ones(int(lone.sum()), np.int64)])}).group_by(
+        "key", use_threads=False).aggregate([("links", "sum")]).sort_by("key")
+    key = held.column("key").to_numpy()
+    pair, of = pa.array(key & 0xFFFFFFFF), key >> 32
+    holders = pa.table({"pair": pair}).group_by("pair", use_threads=False).aggregate([([], "count_all")])
+    place = pc.index_in(pair, value_set=holders.column("pair").combine_chunks())
     at = pa.array(np.searchsorted(of, np.arange(n + 1)).astype(np.int32))
     number = held.column("links_sum").combine_chunks()
     per_doc = {"n_a": pc.list_value_length(a_ids), "n_b": pc.list_value_length(b_ids), "n_groups": pa.array(np.diff(bounds)),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -66,6 +67,33 @@ class Memo(dict):
             self.clear()
 
 
+class AgingMemo(dict):
+    """As :class:`Memo`, but a value is kept from the second time that its token is asked for (about), and ``trim`` lets
+    the older half go: values asked for since the last time stay."""
+
+    _SEEN = 1 << 20
+
+    def __init__(self, fn: Callable, limit: int = 150_000):
+        super().__init__()
+        self.fn, self.limit = fn, limit
+        self.old, self.seen = {}, bytearray(self._SEEN)
+
+    def __missing__(self, token):
+        v = self.old.pop(token, None)
+        if v is None:
+            v, at = self.fn(token), hash(token) & self._SEEN - 1
+            if not self.seen[at]:
+                self.seen[at] = 1
+                return v
+        self[token] = v
+        return v
+
+    def trim(self):
+        if 2 * len(self) > self.limit:
+            self.old, self.seen = dict(self), bytearray(self._SEEN)
+            self.clear()
+
+
 @lru_cache(1)
 def unstable_characters() -> str:
     """A pattern for the characters that libraries with other Unicode tables may class otherwise (letter, number or
@@ -81,6 +109,22 @@ def unstable_characters() -> str:
     return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans) + "]"
 
 
+class UnstableCharacters:
+    """Whether a text holds characters of ``pattern`` (:func:`unstable_characters`). Each character is looked up once."""
+
+    def __init__(self, pattern: str | None = None):
+        self.pattern, self.stable = re.compile(pattern or unstable_characters()), set()
+
+    def __call__(self, text: str) -> bool:
+        if text.isascii():
+            return False
+        for c in set(text) - self.stable:
+            if self.pattern.match(c):
+                return True
+            self.stable.add(c)
+        return False
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text", memo: Memo | None = None) -> Iterator[str]:
     """The text column of an Arrow batch, null as empty, one Python string at a time; ``memo`` is trimmed in between."""
     for v in batch.column(name):
