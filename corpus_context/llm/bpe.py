@@ -10,16 +10,19 @@ its length and the number of tokens that match there.
 
 Words are cut as the vocabulary file says (NFC, white space collapsed, lower case by character, its
 split pattern); special tokens in a text are taken as such. Words repeat, so each worker remembers
-the last few hundred thousand white-space-separated pieces.
+up to 200,000 words that came up more than once.
 
 Defined cases: null text is empty and has no ids; every row is encoded by itself, repeated rows
 included; an empty table gives no rows; decoding null ids gives the empty text; extra columns are
-carried, columns named like a result are replaced.
+carried, columns named like a result are replaced. Text with characters that Unicode tables may class differently is
+normalised and cut into words by the library of the vocabulary file, so that its classes hold.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
 import unicodedata
 from itertools import chain
 
@@ -30,10 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpus_context.llm.common import Memo, releasing, small_batches
+from corpus_context.llm.common import AgingMemo, UnstableCharacters, releasing, small_batches, texts_of, unstable_characters
 
 _END = "\0"  # stands for the end-of-word suffix, which then is one character
-_SEPARATORS = regex.compile("[\x1c-\x1f]")  # str.split() cuts there, the pattern's \s does not
 _FLUSH = 4 << 20  # ids of a batch handed back at a time
 
 
@@ -46,21 +48,28 @@ def byte_characters() -> list[str]:
 
 
 class PrefixBpe:
-    """Encoder and decoder of one vocabulary file (its JSON text)."""
+    """Encoder and decoder of one vocabulary file (its JSON text); ``unstable`` is a pattern for the characters whose
+    class is asked from the library."""
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, unstable: str | None = None):
         import ahocorasick
 
+        self.spec, self.library = spec, None
+        self.unstable = UnstableCharacters(unstable)
+        self.shown = token_strings(spec)
         j = json.loads(spec)
         model, self.special = j["model"], {t["content"]: t["id"] for t in j["added_tokens"]}
         suffix = model["end_of_word_suffix"]
         kinds = [n["type"] for n in j["normalizer"]["normalizers"]], j["pre_tokenizer"]["pretokenizers"][0]["type"]
         if kinds != (["NFC", "Replace", "Lowercase"], "Split") or not suffix or j["decoder"] is not None:
             raise ValueError("this vocabulary's normaliser, splitter or decoder is not supported")
-        self.pattern = regex.compile(j["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        pattern = j["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.pattern = regex.compile(pattern)
+        self.ascii_pattern = re.compile(pattern.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"), re.ASCII)  # of lower case
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         vocab = model["vocab"]
         self.chars = byte_characters()
+        self.bytes = {c: b for b, c in enumerate(self.chars)}
         mark = lambda t: t[: -len(suffix)] + _END if t.endswith(suffix) else t
         self.merge: dict[tuple[int, int], int] = {}  # pair -> rank
         self.parts: dict[int, tuple[int, int, int]] = {}  # token -> (rank, left, right)
@@ -75,9 +84,8 @@ class PrefixBpe:
             if made is None or self._stays(made[1], made[2], made[0]):  # others never end an encoding
                 self.matches.add_word(mark(t), (i, len(mark(t))))
         self.matches.make_automaton()
-        self.pair = Memo(lambda ab: self._stays(*ab), 400_000)
-        self.word = Memo(self.encode_word, 150_000)
-        self.piece = Memo(self._encode_piece, 150_000)
+        self.pair = AgingMemo(lambda ab: self._stays(ab >> 32, ab & 0xFFFFFFFF), 400_000)
+        self.word = AgingMemo(lambda w: self._with_strings(self.encode_word(w)), 200_000)
 
     def _stays(self, a: int, b: int, limit: float = float("inf")) -> bool:
         """Whether no merge across the border of tokens ``a`` and ``b`` comes before merge ``limit``, nor
@@ -102,29 +110,51 @@ class PrefixBpe:
         size = [0] * (n + 1)
         for end, (token, length) in self.matches.iter(text):
             end += 1
-            left = end - length
-            if last[end] < 0 and (left == 0 or last[left] >= 0 and pair[last[left], token]):
-                last[end], size[end] = token, length
+            if last[end] < 0:
+                left = end - length
+                if left == 0 or last[left] >= 0 and pair[last[left] << 32 | token]:
+                    last[end], size[end] = token, length
         ids, at = [], n
         while at:
             ids.append(last[at])
             at -= size[at]
         return ids[::-1]
 
-    def _encode_piece(self, piece: str) -> tuple[int, ...]:
-        text = "".join(c.lower() for c in unicodedata.normalize("NFC", piece))
-        return tuple(chain.from_iterable(map(self.word.__getitem__, self.pattern.findall(text))))
-
-    def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
+    def _with_strings(self, ids: list[int]) -> tuple[tuple[int, ...], str, str]:
+        return tuple(ids), " ".join(map(str, ids)), self.decode(ids)
+
+    def words(self, text: str) -> list[str]:
+        """The normalised words of a text without special tokens."""
+        if text.isascii():
+            return self.ascii_pattern.findall(text.lower())
+        if not self.unstable(text):  # lower case by character: a final sigma is like any other
+            return self.pattern.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_str(self.spec)
+        cut = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return [bytes(map(self.bytes.__getitem__, w)).decode("utf-8", "surrogatepass") for w, _ in cut]
+
+    def pieces(self, text: str) -> list[tuple[tuple[int, ...], str, str]]:
+        """Of each word of the text, and each special token: its ids, these as decimals and their decoded text."""
+        out = []
         for part in self.special_split.split(text) if "<|" in text else [text]:
             if part in self.special:
-                ids.append(self.special[part])
-            elif _SEPARATORS.search(part):
-                ids.extend(self._encode_piece(part))
+                out.append(self._with_strings([self.special[part]]))
             else:
-                ids.extend(chain.from_iterable(map(self.piece.__getitem__, part.split())))
-        return ids
+                out.extend(map(self.word.__getitem__, self.words(part)))
+        return out
+
+    def encode(self, text: str) -> list[int]:
+        return list(chain.from_iterable(p[0] for p in self.pieces(text)))
+
+    def decode(self, ids) -> str:
+        return " ".join(map(self.shown.__getitem__, ids))
+
+    def trim(self) -> None:
+        for memo in (self.word, self.pair):
+            memo.trim()
 
 
 def token_strings(spec: str) -> dict[int, str]:
@@ -136,10 +166,10 @@ def token_strings(spec: str) -> dict[int, str]:
 _LOADED: dict[str, PrefixBpe] = {}
 
 
-def load(spec: str) -> PrefixBpe:
+def load(spec: str, unstable: str | None = None) -> PrefixBpe:
     if spec not in _LOADED:
         _LOADED.clear()
-        _LOADED[spec] = PrefixBpe(spec)
+        _LOADED[spec] = PrefixBpe(spec, unstable)
     return _LOADED[spec]
 
 
@@ -160,17 +190,17 @@ def encode(df: DataFrame, vocabulary: str, text_col: str = "text", result: str =
     small_batches(df.sparkSession)
     with open(vocabulary, encoding="utf-8") as f:
         spec = df.sparkSession.sparkContext.broadcast(f.read())
+    unstable = unstable_characters()
 
     def run(batches):
-        bpe = load(spec.value)
+        bpe = load(spec.value, unstable)
         for batch in batches:
             lists, start, held = [], 0, 0
             for i, v in enumerate(batch.column(text_col)):
                 ids = np.fromiter(bpe.encode(v.as_py() or ""), np.int32)
                 lists.append(ids)
                 held += len(ids)
-                for memo in (bpe.piece, bpe.word, bpe.pair):
-                    memo.trim()
+                bpe.trim()
                 if held > _FLUSH or i == batch.num_rows - 1:
                     offsets = np.cumsum([0, *map(len, lists)], dtype=np.int32)
                     values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists)))
@@ -200,9 +230,30 @@ def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", result: str = "
     return _mapped(df, ids_col, result, T.StringType(), run)
 
 
-def digests(df: DataFrame) -> DataFrame:
-    """n_tokens, ids_sha256 and decoded_sha256 of rows with ids and decoded."""
-    return df.withColumns({
-        "n_tokens": F.size("ids").cast("long"),
-        "ids_sha256": F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256),
-        "decoded_sha256": F.sha2("decoded", 256)}).drop("ids", "decoded")
+def digests(df: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
+    """``df``, without its text, with n_tokens, ids_sha256 (of the decimal ids) and decoded_sha256 of each text encoded and
+    decoded again. One pass: neither the ids nor the decoded texts leave the worker."""
+    small_batches(df.sparkSession)
+    with open(vocabulary, encoding="utf-8") as f:
+        spec = df.sparkSession.sparkContext.broadcast(f.read())
+    unstable, results = unstable_characters(), ("n_tokens", "ids_sha256", "decoded_sha256")
+    kept = [c for c in df.columns if c.lower() not in (*results, text_col.lower())]
+
+    def sha(parts):
+        return hashlib.sha256(" ".join(parts).encode("utf-8", "surrogatepass")).hexdigest()
+
+    def run(batches):
+        bpe = load(spec.value, unstable)
+        for batch in batches:
+            rows = []
+            for text in texts_of(batch, "_text"):
+                found = bpe.pieces(text)
+                rows.append((sum(len(p[0]) for p in found), sha([p[1] for p in found]), sha([p[2] for p in found])))
+                bpe.trim()
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.string(), pa.string()))] if rows else [
+                pa.nulls(0, k) for k in (pa.int64(), pa.string(), pa.string())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], [*kept, *results])
+
+    texts = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias("_text"))
+    schema = T.StructType([*texts.schema.fields[:-1], *(T.StructField(c, t) for c, t in zip(results, (T.LongType(), T.StringType(), T.StringType())))])
+    return texts.mapInArrow(releasing(run), schema)
