@@ -16,7 +16,6 @@ table gives no rows; extra columns are dropped. Sequence ids are unique, not con
 from __future__ import annotations
 
 import json
-import re
 from collections import deque
 
 import numpy as np
@@ -26,14 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpus_context.llm.bpe import byte_characters
-from corpus_context.llm.common import Memo, releasing, small_batches
+from corpus_context.llm.common import UnstableCharacters, releasing, small_batches, unstable_characters
 
 TIERS = (1024, 512, 256, 128)
 #: Tokens of a step group.
 STEP_TOKENS = 64 * 1024
 _FLUSH = 4 << 20  # tokens of pieces handed back at a time
-#: White space where cutting at single spaces could change how a run of it is split.
-_RUNS = re.compile(r"  |\s \s")
 #: The split pattern of byte-level vocabularies (fixed value).
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -42,14 +39,15 @@ SCHEMA = ("{id} {type}, start long, length long, ids binary, doc_tokens long, se
 
 
 class ByteBpe:
-    """Ids, as little-endian 32-bit bytes, of whole texts. Its pattern never joins a letter, digit or sign to
-    a space after it, so the pieces that start at single spaces are encoded by themselves and remembered.
-    Pieces are short; tiktoken encodes them by the same vocabulary, whose ids are in merge order."""
+    """Ids, as little-endian 32-bit bytes, of whole texts. tiktoken encodes them by the same vocabulary, whose ids are in
+    merge order; texts that hold a special token, or a character that Unicode tables may class differently, go to the
+    library of the vocabulary file."""
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, unstable: str | None = None):
         import tiktoken
 
         self.spec, self.whole = spec, None
+        self.unstable = UnstableCharacters(unstable)
         j = json.loads(spec)
         self.special = [t["content"] for t in j["added_tokens"]]
         vocab = j["model"]["vocab"]
@@ -59,34 +57,29 @@ class ByteBpe:
         byte = {c: b for b, c in enumerate(byte_characters())}
         ranks = {bytes(map(byte.__getitem__, t)): i for t, i in vocab.items()}
         self.fast = tiktoken.Encoding("pieces", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.piece = Memo(self._piece)
 
-    def _encode(self, text: str) -> bytes:
+    def _by_library(self, text: str) -> list[int]:
         if self.whole is None:  # few texts need it
             from tokenizers import Tokenizer
 
             self.whole = Tokenizer.from_str(self.spec)
             self.whole.no_truncation()
             self.whole.no_padding()
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _piece(self, text: str) -> bytes:
-        return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
+        return self.whole.encode(text, add_special_tokens=False).ids
 
     def ids(self, text: str) -> bytes:
-        if _RUNS.search(text) or any(s in text for s in self.special):
-            return self._encode(text)
-        first, *rest = text.split(" ")
-        return self.piece[first] + b"".join([self.piece[" " + p] for p in rest])
+        if any(s in text for s in self.special) or self.unstable(text):
+            return np.array(self._by_library(text), "<u4").tobytes()
+        return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
 
 
 _LOADED: dict[str, ByteBpe] = {}
 
 
-def _load(spec: str) -> ByteBpe:
+def _load(spec: str, unstable: str) -> ByteBpe:
     if spec not in _LOADED:
         _LOADED.clear()
-        _LOADED[spec] = ByteBpe(spec)
+        _LOADED[spec] = ByteBpe(spec, unstable)
     return _LOADED[spec]
 
 
@@ -181,10 +174,10 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     from pyspark.sql.types import StructType
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
-    end = np.array([end_id], "<u4").tobytes()
+    end, unstable = np.array([end_id], "<u4").tobytes(), unstable_characters()
 
     def run(batches):
-        bpe = _load(spec.value)
+        bpe = _load(spec.value, unstable)
         packer = Packer(tiers, step_tokens, TaskContext.get().partitionId())
 
         def out():
@@ -195,7 +188,6 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             held = 0
             for doc_id, text in zip(batch.column(0), batch.column(1)):
                 ids = bpe.ids(text.as_py() or "") + end
-                bpe.piece.trim()
                 packer.route((doc_id.as_py(), ids, len(ids) // 4))
                 held += len(ids) // 4
                 if held > _FLUSH:
@@ -206,7 +198,6 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             if packer.out:
                 yield out()
         packer.close()
-        bpe.piece.clear()  # the worker may go on to other work
         if packer.out:
             yield out()
 
