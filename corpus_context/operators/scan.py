@@ -51,6 +51,10 @@ def directories(files: DataFrame, ignore=None) -> DataFrame:
     return d.select("root", "path").distinct()
 
 
+#: Reason of a file that is listed but whose content is missing (fixed value: the prefix).
+READ_ERROR = "Error: the file cannot be read"
+
+
 def list_items(files: DataFrame, ignore=None) -> DataFrame:
     """A2: one row per non-root directory plus one per kept file (no token counts yet)."""
     dirs = directories(files, ignore).select(
@@ -75,6 +79,8 @@ def corpus_tokens(files: DataFrame, estimator="chars4", ignore=None, max_bytes:
     (root, path, size) only and the counting branch filters ``size <= 50 KiB``
     before it touches ``content``; the filter is pushed into the listing, so
     large files are never read at all.
+
+    A file to be counted whose content is null (it could not be read) keeps its row: invalid, READ_ERROR, 0 tokens.
     """
     if not two_pass:
         return _corpus_tokens_one_pass(files, estimator, ignore, max_bytes)
@@ -86,9 +92,10 @@ def corpus_tokens(files: DataFrame, estimator="chars4", ignore=None, max_bytes:
         R.skip_reason("path", "size").alias("reason"), F.lit(0).cast("long").alias("token_count"),
         F.lit("skip").alias("strategy"))
     counted = kept.where(F.col("size") <= R.SKIP_LIMIT).where(R.skip_pattern_reason("path").isNull())
+    unread = F.col("text" if "text" in counted.columns else "content").isNull()
     counted = counted.select(
-        "root", "path", F.lit(False).alias("is_dir"), F.lit(True).alias("is_valid"), F.lit("").alias("reason"),
-        est(read_text(counted, max_bytes=max_bytes)).alias("token_count"), strategy.alias("strategy"))
+        "root", "path", F.lit(False).alias("is_dir"), (~unread).alias("is_valid"), F.when(unread, F.lit(READ_ERROR)).otherwise(F.lit("")).alias("reason"),
+        F.coalesce(est(read_text(counted, max_bytes=max_bytes)), F.lit(0)).cast("long").alias("token_count"), strategy.alias("strategy"))
     dirs = directories(files, ignore).select(
         "root", "path", F.lit(True).alias("is_dir"), F.lit(True).alias("is_valid"), F.lit("").alias("reason"),
         F.lit(0).cast("long").alias("token_count"), F.lit(None).cast("string").alias("strategy"))
@@ -115,6 +122,24 @@ def skipped_by_reason(items: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_files"))
 
 
+def scan_corpus(spark, roots: list[str], estimator="chars4", ignore=None, max_bytes: int = R.READ_LIMIT) -> DataFrame:
+    """T4 over file trees, listing and reading as two tables: what is listed keeps its row when it can't be read (invalid,
+    with the reason and no tokens). Only files within the size limit are read, and only their counts are joined."""
+    from corpus_context.sources.files import scan_files
+
+    listed = scan_files(spark, roots).drop("content")
+    items = list_items(listed, ignore).join(listed.select("root", "path", "size"), ["root", "path"], "left")
+    read = scan_files(spark, roots, max_size=R.SKIP_LIMIT, skip_unreadable=True).where(R.skip_pattern_reason("path").isNull())
+    counts = read.select("root", "path", TK.estimator(estimator)(read_text(read, max_bytes=max_bytes)).cast("long").alias("tokens"))
+    reason = R.skip_reason("path", "size")
+    to_read = ~F.col("is_dir") & reason.isNull()
+    unread = to_read & F.col("tokens").isNull()
+    return items.join(counts, ["root", "path"], "left").select(
+        "root", "path", "is_dir", (~unread).alias("is_valid"),
+        F.when(unread, F.lit(READ_ERROR)).when(F.col("is_dir"), F.lit("")).otherwise(F.coalesce(reason, F.lit(""))).alias("reason"),
+        F.when(to_read, F.coalesce("tokens", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("token_count"), "strategy")
+
+
 def _corpus_tokens_one_pass(files: DataFrame, estimator, ignore, max_bytes: int) -> DataFrame:
     est = TK.estimator(estimator)
     ig = _ignore(files, ignore)
@@ -126,17 +151,19 @@ def _corpus_tokens_one_pass(files: DataFrame, estimator, ignore, max_bytes: int)
                      *(["ignore"] if "ignore" in files.columns else []), kept.alias("_kept"), reason.alias("_reason"))
     strategy = (F.when(F.col("_reason").isNotNull(), F.lit("skip"))
                 .when(F.col("size") <= R.IMMEDIATE_LIMIT, F.lit("immediate")).otherwise(F.lit("defer")))
-    tokens = F.when(F.col("_reason").isNull(), est(read_text(x, max_bytes=max_bytes))).otherwise(F.lit(0)).cast("long")
+    unread = F.col("_reason").isNull() & F.col("text" if "text" in files.columns else "content").isNull()
+    tokens = F.when(F.col("_reason").isNull() & ~unread, est(read_text(x, max_bytes=max_bytes))).otherwise(F.lit(0)).cast("long")
+    reason = F.when(unread, F.lit(READ_ERROR)).otherwise(F.coalesce(F.col("_reason"), F.lit("")))
     file_row = F.when(F.col("_kept"), F.struct(
-        F.col("path").alias("path"), F.lit(False).alias("is_dir"), F.coalesce(F.col("_reason"), F.lit("")).alias("reason"),
+        F.col("path").alias("path"), F.lit(False).alias("is_dir"), (~unread).alias("is_valid"), reason.alias("reason"),
         tokens.alias("token_count"), strategy.alias("strategy")))
     dirs = F.transform(
         F.filter(F.slice(P.ancestors("path", "root"), 2, 1 << 20), lambda d: R.dir_pruned(d, F.col("root"), ig)),
-        lambda d: F.struct(d.alias("path"), F.lit(True).alias("is_dir"), F.lit("").alias("reason"),
+        lambda d: F.struct(d.alias("path"), F.lit(True).alias("is_dir"), F.lit(True).alias("is_valid"), F.lit("").alias("reason"),
                            F.lit(0).cast("long").alias("token_count"), F.lit(None).cast("string").alias("strategy")))
     rows = x.select("root", F.explode(F.filter(F.concat(F.array(file_row), dirs), lambda r: r.isNotNull())).alias("r"))
     out = rows.select("root", "r.*").dropDuplicates(["root", "path"])
-    return out.select("root", "path", "is_dir", F.lit(True).alias("is_valid"), "reason", "token_count", "strategy")
+    return out.select("root", "path", "is_dir", "is_valid", "reason", "token_count", "strategy")
 
 
 def gitignore_rules(files: DataFrame) -> DataFrame:

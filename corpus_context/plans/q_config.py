@@ -114,3 +114,43 @@ def q_write_if_changed(spark, sf):
     o = TD.old_files(spark, sf).select(F.col("path").alias("k"), "text")
     n = TD.new_files(spark, sf).select(F.col("path").alias("k"), "text")
     return CF.write_if_changed(n, o, ["k"], ["text"])
+
+
+@query("resolve_templates_local", "J4 A6", with_views("""
+WITH wanted AS (SELECT DISTINCT root AS workspace, 'bench_' || CAST(doc_id AS VARCHAR) AS name, regexp_extract(root, '(\\d+)$', 1)::INTEGER % 2 = 1 AS own FROM files),
+loc AS (SELECT root AS workspace, 'bench_' || CAST(doc_id AS VARCHAR) AS name, 'local ' || path AS text FROM files WHERE doc_id % 3 = 0),
+glo AS (SELECT 'bench_' || CAST(item_id AS VARCHAR) AS name, text FROM benchmark)
+SELECT w.workspace, w.name, CASE WHEN w.own THEN 'local' ELSE 'global' END AS scope,
+       coalesce(CASE WHEN w.own THEN loc.text ELSE glo.text END, '') AS text
+FROM wanted w LEFT JOIN loc ON loc.workspace = w.workspace AND loc.name = w.name LEFT JOIN glo ON glo.name = w.name""", "files"))
+def q_resolve_templates_local(spark, sf):
+    """J4 for a name per file of every workspace: odd workspaces see a local set (a third of the names), even ones the benchmark's."""
+    f = TD.files(spark, sf).select(F.col("root").alias("workspace"), F.concat(F.lit("bench_"), F.col("doc_id").cast("string")).alias("name"),
+                                   "doc_id", "path")
+    odd = F.regexp_extract("workspace", r"(\d+)$", 1).cast("int") % 2 == 1
+    ws = f.select("workspace").distinct().withColumn("use_local_templates", odd)
+    docs = f.where("doc_id % 3 = 0").select("workspace", F.to_json(F.create_map("name", F.concat(F.lit("local "), "path"))).alias("json"))
+    templates = _templates(spark, sf).unionByName(CF.read_templates(docs, "local"))
+    return CF.resolve_templates(ws, templates, f.select("workspace", "name").distinct())
+
+
+@query("read_workspace_files", "A4 A5 A6", with_views("""
+SELECT workspace AS doc_id, TRUE AS is_valid, 1 AS n_workspaces, workspace AS last_active_workspace FROM ws
+UNION ALL SELECT '/corpus/live', TRUE, 1, '/corpus/live'
+UNION ALL SELECT workspace || '#cut', FALSE, 0, 'Default' FROM ws""", "ws"))
+def q_read_workspace_files(spark, sf):
+    """Workspace documents written as one JSON file each, v0 and v1, and a cut copy of most; read, checked and migrated."""
+    import os
+    import uuid
+
+    from corpus_context.session import checkpoint_dir
+    from corpus_context.sources.files import read_documents
+
+    docs = workspace_docs(spark, sf)
+    cut = docs.where("doc_id <> '/corpus/live'").select(F.concat("doc_id", F.lit("#cut")).alias("doc_id"), F.expr("left(json, length(json) - 5)").alias("json"))
+    out = os.path.join(checkpoint_dir(spark), f"workspaces-{uuid.uuid4().hex[:12]}")
+    docs.unionByName(cut).select(F.hex("doc_id").alias("name"), "json").repartition("name").write.partitionBy("name").text(out)
+    read = read_documents(spark, out, id_col="name").withColumn("doc_id", F.unhex("doc_id").cast("string"))
+    m = CF.migrate_documents(read.where("is_valid")).select("doc_id", F.size("workspaces").alias("n"), "last_active_workspace")
+    return read.join(m, "doc_id", "left").select("doc_id", "is_valid", F.coalesce("n", F.lit(0)).alias("n_workspaces"),
+                                                 F.coalesce("last_active_workspace", F.lit("Default")).alias("last_active_workspace"))

@@ -312,3 +312,18 @@ def q_chunks_roundtrip(spark, sf):
 def q_pack_tokens_distributed(spark, sf):
     """W4 with blocks of eight ranks, so that every context takes the steps that a hot one would."""
     return q_pack_tokens(spark, sf, block=8)
+
+
+@query("conservation_check", "G8 W5 R9", with_views("""
+SELECT context_id, CAST(sum(length(path) + length(replace(text, chr(0), '')) + length('<file path=""></file>') + 4) AS BIGINT) AS chars_out,
+       CAST(sum(length(path) + length(replace(text, chr(0), '')) + length('<file path=""></file>') + 4) AS BIGINT) AS chars_in, TRUE AS ok
+FROM all_parts
+WHERE NOT (regexp_extract(path, '([^/]*)$', 1) IN ({0})
+           OR regexp_extract(regexp_extract(path, '([^/]*)$', 1), '^\\.*[^.].*(\\.[^.]*)$', 1) IN ({0}))
+GROUP BY context_id""".replace("{0}", _XML_BIN_LIST), "all_parts"))
+def q_conservation_check(spark, sf):
+    """The characters of the chunks against those of the parts that went in."""
+    f = all_files(spark, sf).select("context_id", F.col("path").alias("ord"), "path", "text")
+    chunks = PK.build_context_xml(f, mode="xml", limit=CHAR_LIMIT)
+    parts = f.where(~R.binary_suffix("path", "xml")).select("context_id", X.render_part("path", X.strip_nuls("text"), style="xml", path="path").alias("part"))
+    return PK.conservation_check(chunks, parts)

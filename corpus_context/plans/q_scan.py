@@ -275,7 +275,7 @@ n AS (SELECT f.root, f.path, regexp_extract(f.path, '([^/]*)$', 1) AS name, subs
              starts_with(substr(f.path, length(f.root) + 2), first.lang || '/') AS own, first.lang
       FROM files f JOIN first ON first.root = f.root)
 SELECT root, path FROM n
-WHERE NOT (contains(rel, '/build/') OR contains(rel, '/node_modules/')
+WHERE NOT (contains(rel, '/build/') OR (contains(rel, '/node_modules/') AND NOT (own AND ends_with(name, '.log')))
            OR (ends_with(name, '.log') AND NOT own)
            OR (ends_with(name, '.min.js') AND NOT regexp_matches(name, '^doc_00[0-4]'))
            OR regexp_matches(name, '^doc_.*[^02468]\\.txt$')
@@ -283,3 +283,17 @@ WHERE NOT (contains(rel, '/build/') OR contains(rel, '/node_modules/')
 def q_gitignore_filter(spark, sf):
     """X2 over the corpus with ignore files; build/ stays out although a file in it is re-included."""
     return S.gitignore_filter(_with_ignore_files(spark, sf)).where(P.basename("path") != ".gitignore").select("root", "path")
+
+
+@query("unreadable_files", "T4 B13", with_views("""
+SELECT i.root, i.path, i.is_dir, bad IS NULL AS is_valid, CASE WHEN bad IS NULL THEN i.reason ELSE 'Error: the file cannot be read' END AS reason,
+       CASE WHEN bad IS NULL THEN i.token_count ELSE 0 END AS token_count, i.strategy
+FROM items i LEFT JOIN (SELECT root, path, doc_id AS bad FROM files WHERE doc_id % 17 = 0) f
+     ON f.root = i.root AND f.path = i.path AND NOT i.is_dir AND i.strategy <> 'skip'""", "items", "files"))
+def q_unreadable_files(spark, sf):
+    """T4 where the content of every 17th document could not be read: its row stays, invalid and without tokens."""
+    f = TD.files(spark, sf)
+    lost = F.col("doc_id") % 17 == 0
+    f = f.withColumns({c: F.when(~lost, F.col(c)) for c in ("text", "content")})
+    f = S.attach_settings(f, TD.workspaces(spark, sf, with_groups=False))
+    return S.corpus_tokens(f, "chars4").select(*ITEM_COLS.split(", "))

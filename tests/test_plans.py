@@ -10,7 +10,7 @@ import __spark_entry__ as E
 SF = "/root/testdata/sf0.001"
 PYTHON_NODES = ("ArrowEvalPython", "BatchEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF")
 JVM_ONLY = ["corpus_tokens", "folder_tokens", "folder_state_tri", "scan_summary", "build_context", "pack_tokens",
-            "pack_chars_xml", "snapshot_diff", "drift_new", "resolve_drift", "apply_events"]
+            "pack_chars_xml", "gitignore_filter", "apply_events_keep_selection", "snapshot_diff", "drift_new", "resolve_drift", "apply_events"]
 
 
 def _plan(spark, name):
