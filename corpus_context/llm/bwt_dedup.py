@@ -21,7 +21,8 @@ windows are grouped by content in Spark instead.
 
 Defined cases: null is the empty text; texts shorter than LENGTH keep all; repeated rows are separate
 documents whose texts repeat each other, so both lose them; spans can cut a character, so ``kept`` is binary;
-an empty table gives no rows; extra columns are carried, those named like a result replaced.
+an empty table gives no rows; extra columns are carried, but for ``raw`` and ``found``, which are dropped, and those named
+like a result, which are replaced.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpus_context.llm.common import cut_lineage, drop_matching, keep_matching, releasing, small_batches, with_key
-from corpus_context.llm.jaccard_join import _mix, _whole_groups
+from corpus_context.llm.common import cut_lineage, drop_matching, keep_matching, releasing, small_batches, whole_groups, with_key
+from corpus_context.llm.jaccard_join import _mix
 
 LENGTH, GRAM = 200, 64
 REACH = LENGTH - GRAM  # bytes next to an anchor's gram that a window can hold
@@ -183,7 +184,7 @@ def repeated_offsets(block: np.ndarray, lo: np.ndarray, hi: np.ndarray, parts: l
 
 
 def _refine(batches):
-    for t in _whole_groups(batches, ["sym"]):
+    for t in whole_groups(batches, ["sym"]):
         sym = t.column("sym").to_numpy()
         block = np.r_[0, np.cumsum(sym[1:] != sym[:-1])].astype(np.int64)
         lo, hi = (t.column(c).to_numpy().astype(np.int64) for c in ("lo", "hi"))

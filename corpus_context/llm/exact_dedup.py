@@ -9,8 +9,8 @@ bytes form classes of their own, so any digest gives right results.
 
 Defined cases: a null text counts as the empty text (and equals it); a null id sorts below every
 other; rows repeated with id and text are one class of which exactly one row stays; an empty table
-gives no rows; extra columns are carried, but for ``file``, ``row`` and the result columns' names,
-which are replaced.
+gives no rows; extra columns are carried, but for ``file``, ``row``, ``digest``, ``top`` and ``n``, which are dropped, and
+the result columns' names, which are replaced.
 """
 
 from __future__ import annotations

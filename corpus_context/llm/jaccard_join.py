@@ -14,8 +14,7 @@ links can be. Round two brings each member's shingles together once per pair of
 compares and verifies there, and returns for each member the number of its links and a spanning forest
 of the links. So one large bucket or group is spread over many bounded tasks and nothing is capped.
 
-Result per document row: class_id (smallest key of the documents that links connect; the id itself where ids
-are unique integers), n_links (other documents of similarity >= the threshold, copies counted each).
+Result per document row: class_id (smallest id of the documents that links connect; null if all of theirs are null), n_links (other documents of similarity >= the threshold, copies counted each).
 
 Defined cases: a text of fewer than five words is one shingle of its words; a text without words (null,
 empty, signs only) links to nothing and is its own class; repeated rows are documents of equal text; an
@@ -33,7 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpus_context.llm.common import Memo, cut_lineage, keep_matching, releasing, small_batches, texts_of, with_key
+from corpus_context.llm.common import (Forest, Memo, components, cut_lineage, keep_matching, releasing, small_batches, texts_of,
+                                       whole_groups, with_key)
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, BAND_VALUES = 32, 4
@@ -114,25 +114,6 @@ def surviving(sig: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return left
 
 
-class Forest:
-    """Union-find over positions 0..n-1, the smallest position as root."""
-
-    def __init__(self, n: int):
-        self.up = np.arange(n)
-
-    def join(self, i: np.ndarray, j: np.ndarray) -> None:
-        up = self.up
-        for a, b in zip(i.tolist(), j.tolist()):
-            while up[a] != a:
-                a = up[a]
-            while up[b] != b:
-                b = up[b]
-            if a != b:
-                up[max(a, b)] = min(a, b)
-        while (up[up] != up).any():
-            up[:] = up[up]
-
-
 def documents(docs: DataFrame, with_shingles: bool = False) -> DataFrame:
     """(_key, set_id, n, sig[, shingles]) of (_key, text)."""
 
@@ -161,26 +142,6 @@ def documents(docs: DataFrame, with_shingles: bool = False) -> DataFrame:
     return docs.select("_key", "text").mapInArrow(releasing(run), schema)
 
 
-def _whole_groups(batches, key: list[str]):
-    """Tables that each hold whole groups, from batches sorted by ``key``."""
-    held = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        t = pa.Table.from_batches([b])
-        k = [t.column(c).to_numpy() for c in key]
-        starts = np.nonzero(np.any([c[1:] != c[:-1] for c in k], axis=0))[0] + 1
-        if held and any(held[-1].column(c)[-1].as_py() != t.column(c)[0].as_py() for c in key):
-            yield pa.concat_tables(held)
-            held = []
-        if len(starts):
-            yield pa.concat_tables([*held, t.slice(0, starts[-1])])
-            held, t = [], t.slice(starts[-1])
-        held.append(t)
-    if held:
-        yield pa.concat_tables(held)
-
-
 def _pairs(t: pa.Table, key: list[str]):
     """Yields candidate positions (i, j) of all pairs to compare in the groups of ``t``, by distance in the
     sorted table: within a group of one block, across the sides in a group of two."""
@@ -206,7 +167,7 @@ def _signatures(t: pa.Table) -> np.ndarray:
 
 def _candidate_forest(batches):
     key = ["group", "bi", "bj"]
-    for t in _whole_groups(batches, key):
+    for t in whole_groups(batches, key):
         sig, rep, forest = _signatures(t), t.column("rep").to_numpy(), Forest(t.num_rows)
         for i, j in _pairs(t, key):
             apart = forest.up[i] != forest.up[j]
@@ -250,7 +211,7 @@ def _two(a: np.ndarray, b: np.ndarray) -> int:
 
 def _verified(batches):
     key = ["group", "bi", "bj"]
-    for t in _whole_groups(batches, key):
+    for t in whole_groups(batches, key):
         sig, rep, copies = _signatures(t), t.column("rep").to_numpy(), t.column("copies").to_numpy()
         sets = [np.frombuffer(s, np.uint64) for s in t.column("shingles").to_pylist()]
         n = np.array([len(s) for s in sets], np.int64)
@@ -288,30 +249,13 @@ def _in_blocks(members: DataFrame, size: str, block: int) -> DataFrame:
         size, "own", "other").repartition("group", "bi", "bj").sortWithinPartitions("group", "bi", "bj")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label): connected components of the edges (a, b), the smallest node as label. Alternates large
-    and small stars, whose number of edges never grows, until nothing changes."""
-    edges = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(
-            F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
-        edges = cut_lineage(small.where("a <> b").distinct())
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(
-                edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
-        before = now
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with _key (a key of the row's own), _class (the smallest key of its class), _links (see n_links)."""
+    return _classes(with_key(docs, id_col), text_col)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with class_id and n_links."""
-    small_batches(docs.sparkSession)
-    keyed = with_key(docs, id_col)
+def _classes(keyed: DataFrame, text_col: str) -> DataFrame:
+    small_batches(keyed.sparkSession)
     texts = keyed.select("_key", F.col(text_col).alias("text"))
     sigs = cut_lineage(documents(texts))
     reps = sigs.where("n > 0").groupBy("set_id").agg(F.min("_key").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
@@ -332,13 +276,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = again.select(F.col("_key").alias("rep"), "sig", "shingles").join(groups, "rep")
     found = cut_lineage(_in_blocks(full, "size", GROUP_BLOCK).mapInArrow(releasing(_verified), "rep long, links long, root long"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    classes = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    labels = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
 
     by_set = reps.select("set_id", "rep", "copies").join(links, "rep", "left").join(
-        classes.select(F.col("node").alias("rep"), "label"), "rep", "left")
+        labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
     of = sigs.where("n > 0").select("_key", "set_id").join(by_set, "set_id").select(
         "_key", F.coalesce("label", "rep").alias("class_id"),
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    kept = keyed.select(*[f"`{c}`" for c in keyed.columns if c.lower() not in ("class_id", "n_links")])
-    return kept.join(of, "_key", "left").withColumns({
-        "class_id": F.coalesce("class_id", "_key"), "n_links": F.coalesce("n_links", F.lit(0).cast("long"))}).drop("_key")
+    return keyed.join(of.withColumnsRenamed({"class_id": "_class", "n_links": "_links"}), "_key", "left").withColumns({
+        "_class": F.coalesce("_class", "_key"), "_links": F.coalesce("_links", F.lit(0).cast("long"))})
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with class_id (the smallest id in the row's class) and n_links."""
+    keyed = with_key(docs, id_col)
+    found = _classes(keyed, text_col)
+    if keyed.where(~F.col(id_col).eqNullSafe(F.col("_key"))).isEmpty():  # the keys are the ids
+        found = found.withColumn("_id", F.col("_class"))
+    else:
+        found = cut_lineage(found)
+        found = found.join(found.groupBy("_class").agg(F.min(id_col).alias("_id")), "_class")
+    kept = [f"`{c}`" for c in docs.columns if c.lower() not in ("class_id", "n_links")]
+    return found.select(*kept, F.col("_id").alias("class_id"), F.col("_links").alias("n_links"))

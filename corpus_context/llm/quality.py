@@ -178,12 +178,15 @@ def score(labelled: DataFrame, posterior: dict[str, float], model: dict[int, flo
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound: int = SAMPLE) -> DataFrame:
     """``docs`` with pattern, posterior, score and keep."""
-    voted = cut_lineage(label(docs.select(F.col(id_col), F.col(text_col).alias("text"))).select(id_col, "pattern"))
+    text = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("text"))
+    voted = cut_lineage(label(text).select("_id", "pattern", F.xxhash64("text").alias("_hash")))
     table = voted.groupBy("pattern").count().collect()  # at most 3^labellers rows
     p, *_ = estimate([r["pattern"] for r in table], [r["count"] for r in table])
     posterior = dict(zip([r["pattern"] for r in table], p.tolist()))
-    chosen = voted.where(F.col(id_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(bound)
-    sample = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col)  # bound rows
+    one = voted.where("_id is not null").groupBy("_id").agg(F.min(F.struct("pattern", "_hash")).alias("v")).select("_id", "v.*")
+    chosen = one.orderBy(F.xxhash64("_id"), "_id").limit(bound)
+    sample = text.withColumn("_hash", F.xxhash64("text")).join(F.broadcast(chosen), ["_id", "_hash"])
+    sample = sample.dropDuplicates(["_id"])  # bound rows, however often an id comes
     fitted = cut_lineage(_sample_features(sample)).withColumn("one", F.lit(1)).groupBy("one").applyInArrow(
         _fit(posterior), "feature long, weight double")
     model = {r.feature: r.weight for r in fitted.collect()}

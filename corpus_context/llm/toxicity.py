@@ -75,7 +75,9 @@ def sampled(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFram
     some = some.withColumn("k", F.row_number().over(first)).where(F.col("k") <= bound).drop("k")
     total = lab.groupBy("toxic").agg(F.count(F.lit(1)).alias("share"))
     some = some.join(F.broadcast(total), "toxic")
-    texts = docs.select(F.col("doc_id").alias("id"), F.col("text")).join(F.broadcast(some), "id")  # 2 x bound rows at most
+    ids = F.broadcast(some.select("id").distinct())  # 2 x bound at most
+    texts = docs.select(F.col("doc_id").alias("id"), F.col("text")).join(ids, "id", "left_semi")
+    texts = texts.groupBy("id").agg(F.min("text").alias("text")).join(F.broadcast(some), "id")  # one text per id, however often it comes
 
     def run(batches):
         memo = Memo(_features)

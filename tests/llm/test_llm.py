@@ -457,6 +457,40 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     assert k == len(corpus_pipeline.STAGES) - 1
 
 
+def test_pipeline_keeps_extra_columns_of_any_name(spark, tmp_path):
+    names = ["file", "row", "n", "digest", "top", "raw", "found", "row_key", "class_id", "n_links", "spans", "p_toxic", "rejected", "kept", "id",
+             "pattern", "_key_", "a.b", "Text2"]
+    d = spark.read.parquet(f"{SF}/documents.parquet").limit(120)
+    now = d.select("*", *[F.lit(f"own {n}").alias(n) for n in names])
+    columns = now.columns
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        path = str(tmp_path / str(k))
+        stage(spark, now, SF).write.parquet(path)
+        now = spark.read.parquet(path)
+        assert now.columns == columns
+        rows = now.collect()
+        assert rows and all(r[n] == f"own {n}" for r in rows for n in names)
+    assert corpus_pipeline.STAGES[-1][1](spark, now, SF).count() > 0
+
+
+def test_classes_keep_their_ids_beside_repeated_ones(spark):
+    long = " ".join(f"word{k}" for k in range(60))
+    rows = [(100, long), (200, long + " end"), (300, "x y z"), (300, "x y z"), (7, "other " + "words " * 9), (None, long)]
+    out = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").withColumn("class_id", F.lit("x"))).collect()
+    assert sorted((r.doc_id or 0, r.class_id, r.n_links) for r in out) == [(0, 100, 2), (7, 7, 0), (100, 100, 2), (200, 100, 2), (300, 300, 1), (300, 300, 1)]
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert len(kept) == 3 and {r.doc_id for r in kept} - {100, 200, None} == {300, 7}
+
+
+def test_samples_hold_one_text_per_id(spark):
+    rows = [(1, f"bad text {k}") for k in range(300)] + [(k, f"good text {k}") for k in range(2, 40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([(k, int(k == 1)) for k in range(1, 40)], "doc_id long, toxic int")
+    n = {r.toxic: r["count"] for r in toxicity.sampled(d, lab, bound=10).groupBy("toxic").count().collect()}
+    assert n == {0: 10, 1: 1}
+    assert quality.classify(d, bound=50).count() == len(rows)
+
+
 def test_pipeline_on_an_empty_table(spark):
     now = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
