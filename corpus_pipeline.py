@@ -1,7 +1,7 @@
 """Corpus pipeline: toxicity, exact dedup, near-duplicate removal, repeated-passage removal, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept; its result is written as Parquet
-and read again. All but the last return the columns of ``documents``.
+and read again. All but the last return the columns of ``documents``, extra ones unchanged whatever their names.
 """
 
 from __future__ import annotations
@@ -16,35 +16,40 @@ from corpus_context.llm import bwt_dedup, exact_dedup, jaccard_join, packing, to
 from corpus_context.llm.common import scratch_path, table
 
 
-def _columns(docs: DataFrame) -> list[str]:
-    return [f"`{c}`" for c in docs.columns]
+def _narrow(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, _rest): the other columns travel in one, so that no name of theirs can clash with an operator's."""
+    rest = [F.col(f"`{c}`").alias(c) for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *rest).alias("_rest"))
+
+
+def _whole(df: DataFrame, docs: DataFrame, **changed) -> DataFrame:
+    """``df`` with the columns of ``docs`` again; ``changed`` replaces some of the others."""
+    return df.select(*[F.col(c) if c in ("doc_id", "text") else changed.get(c, F.col("_rest")[c]).alias(c) for c in docs.columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go; the others stay as they are."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("not rejected").select(*_columns(docs))
+    return _whole(toxicity.score(_narrow(docs), model).where("not rejected"), docs)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest id stays."""
-    return exact_dedup.dedup(docs).where("kept").select(*_columns(docs))
+    return _whole(exact_dedup.dedup(_narrow(docs)).where("kept"), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the class's id (its smallest key) stays."""
-    rows = jaccard_join.with_key(docs, "doc_id")
-    return jaccard_join.near_duplicates(rows.withColumnRenamed("_key", "row_key"), "row_key").where(
-        "class_id = row_key").select(*_columns(docs))
+    """Of each class of near copies one document stays: that of the smallest id, one of them if several rows have it."""
+    return _whole(jaccard_join.classes(_narrow(docs)).where("_class = _key"), docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that occur again anywhere are cut; bytes left of a cut character become U+FFFD."""
-    left = bwt_dedup.remove_repeats(docs)
+    left = bwt_dedup.remove_repeats(_narrow(docs))
     whole = F.size("spans") == 0
     text = F.when(whole, F.col("text")).otherwise(F.make_valid_utf8(F.col("kept").cast("string")))
-    return left.withColumns({"text": text}).withColumn(
-        "n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*_columns(docs))
+    n_chars = F.when(whole, F.col("_rest")["n_chars"]).otherwise(F.length("text").cast("long"))
+    return _whole(left.withColumn("text", text), docs, n_chars=n_chars)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
