@@ -54,7 +54,7 @@ def to_relative(p, root) -> Column:
     pre = _root_prefix(root)
     return (
         F.when(p == root, F.lit("."))
-        .when(p.startswith(pre), F.substring(p, F.length(pre) + 1, 1 << 30))
+        .when(p.startswith(pre), F.substr(p, F.length(pre) + 1))
         .otherwise(F.replace(p, F.lit("\\"), F.lit("/")))
     )
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from corpus_context.functions import paths as P
 from corpus_context.functions import rules as R
 from corpus_context.operators.moves import apply_events_keep_selection  # noqa: F401  (S4)
+from corpus_context.session import cut_lineage
 
 TS_FMT = "yyyy-MM-dd HH:mm:ss.SSS"
 
@@ -26,7 +27,7 @@ def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """
     o = old.select("root", "path", F.col("size").alias("o_size"), F.sha2(F.col("content"), 256).alias("o_h"))
     n = new.select("root", "path", F.col("size").alias("n_size"), F.sha2(F.col("content"), 256).alias("n_h"))
-    j = o.join(n, ["root", "path"], "full")
+    j = cut_lineage(o.join(n, ["root", "path"], "full"))  # sizes and hashes: each side's content is read once
     created = j.where(F.col("o_h").isNull()).select("root", "path", F.col("n_h").alias("h"))
     deleted = j.where(F.col("n_h").isNull()).select("root", "path", F.col("o_h").alias("h"))
     modified = j.where(F.col("o_h").isNotNull() & F.col("n_h").isNotNull() &

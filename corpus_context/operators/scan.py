@@ -158,7 +158,7 @@ def _corpus_tokens_one_pass(files: DataFrame, estimator, ignore, max_bytes: int)
         F.col("path").alias("path"), F.lit(False).alias("is_dir"), (~unread).alias("is_valid"), reason.alias("reason"),
         tokens.alias("token_count"), strategy.alias("strategy")))
     dirs = F.transform(
-        F.filter(F.slice(P.ancestors("path", "root"), 2, 1 << 20), lambda d: R.dir_pruned(d, F.col("root"), ig)),
+        F.filter(P.ancestors("path", "root"), lambda d: (d != F.col("root")) & R.dir_pruned(d, F.col("root"), ig)),
         lambda d: F.struct(d.alias("path"), F.lit(True).alias("is_dir"), F.lit(True).alias("is_valid"), F.lit("").alias("reason"),
                            F.lit(0).cast("long").alias("token_count"), F.lit(None).cast("string").alias("strategy")))
     rows = x.select("root", F.explode(F.filter(F.concat(F.array(file_row), dirs), lambda r: r.isNotNull())).alias("r"))

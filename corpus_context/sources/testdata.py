@@ -69,7 +69,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rel(f: DataFrame) -> F.Column:
-    return F.substring(f["path"], F.length(f["root"]) + 2, 1 << 30)
+    return F.substr(f["path"], F.length(f["root"]) + 2)
 
 
 def selections(spark: SparkSession, sf_dir: str) -> DataFrame:
