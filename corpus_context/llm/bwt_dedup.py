@@ -1,15 +1,14 @@
-"""6. Removal of repeated byte strings by merging sparse suffix orders.
+"""6. Removal of repeated byte strings by grouping anchored suffixes and refining what is left open.
 
 Every byte covered by a string of LENGTH bytes that also starts elsewhere (in any document, the same one
 included) is removed.
 
-A transform of all suffixes would be refined byte by byte over the whole corpus. Here the suffixes kept are
+The dealt merge of whole transforms would refine every byte of the corpus LENGTH times. Here the suffixes kept are
 those at anchors: each LENGTH-byte window has one, the start of its GRAM-byte string of least hash, so equal
 windows have equal anchors at equal offsets and every window belongs to exactly one (anchor, offset).
-A shard is what one task reads. It orders its anchors by their first GRAM bytes, as one symbol, next to which
-it keeps the text on both sides. The shards' orders are then merged by refining their interleave, block by
-block, without sorting the suffixes anew:
-  1. by the first symbol: blocks of one suffix are done, nothing there is repeated;
+No transform is built and no sorted orders are merged; of the dealt method, the refinement of blocks (intervals of suffixes
+with a common prefix) is left, the first two steps of which are hash grouping:
+  1. by the first GRAM bytes, as one symbol: blocks of one suffix are done, nothing there is repeated;
   2. by everything on both sides that the anchor's windows can reach: blocks of two or more are done, all
      their windows are repeated;
   3. what is left (a block whose suffixes begin alike and then differ) byte by byte: the blocks after t
