@@ -115,13 +115,14 @@ def files_of(ranges: DataFrame) -> DataFrame:
     return ranges.where("hi >= lo").select("context_id", "chunk_no", F.explode(F.sequence("lo", "hi")).alias("rank"))
 
 
-def ranked(parts: DataFrame, order_cols, keys=("context_id",)) -> DataFrame:
+def ranked(parts: DataFrame, order_cols, keys=("context_id",), written: bool = False) -> DataFrame:
     """``parts`` with their 0-based rank per key in ``order_cols`` order.
 
     One range-partitioned sort on (key, order); a row's rank is its place in its task, less that of its key's first row
-    there, plus the key's rows in the tasks before (a table of a row per key and task). No window spans a key."""
+    there, plus the key's rows in the tasks before (a table of a row per key and task). No window spans a key.
+    The sort samples its input first, so that is written unless it is a ``written`` table already."""
     keys = list(keys)
-    x = cut_lineage(parts).repartitionByRange(*keys, *order_cols).sortWithinPartitions(*keys, *order_cols)
+    x = (parts if written else cut_lineage(parts)).repartitionByRange(*keys, *order_cols).sortWithinPartitions(*keys, *order_cols)
     x = cut_lineage(x.select("*", F.spark_partition_id().alias("_task"), F.monotonically_increasing_id().alias("_at")))
     runs = x.groupBy(*keys, "_task").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
@@ -155,12 +156,12 @@ def build_context(sel_files: DataFrame, contexts: DataFrame, estimator="chars4",
     ok = ~R.binary_suffix("path", "packer") & ~R.too_many_nuls("text") & R.non_empty("text")
     size = est("text") + est(F.concat(X.part_header("rel"), F.lit(X.PART_FOOTER)))
     listed = cut_lineage(sel_files.select("context_id", "rel", F.when(ok, size).cast("long").alias("t")))
-    tree = cut_lineage(render_tree(listed.select("context_id", "rel"), contexts))
+    tree = render_tree(listed.select("context_id", "rel"), contexts)
     hdr = contexts.join(tree, "context_id").where(F.col("has_sel")).select(
         "context_id", X.render_header("prompt", "tree").alias("header"))
     hdr = cut_lineage(hdr.withColumn("h", est("header").cast("long")))
 
-    parts = cut_lineage(ranked(listed.where("t is not null"), ["rel"]).join(hdr.select("context_id", "h"), "context_id"))
+    parts = cut_lineage(ranked(listed.where("t is not null"), ["rel"], written=True).join(hdr.select("context_id", "h"), "context_id"))
     ranges = chunk_ranges(parts, limit, F.col("h"), guard=True)
     # contexts with a selection but no packable file still give their header chunk
     empty_ctx = hdr.join(ranges.select("context_id").distinct(), "context_id", "left_anti")
@@ -185,7 +186,7 @@ def build_context(sel_files: DataFrame, contexts: DataFrame, estimator="chars4",
         ch = ch.join(hdr.select("context_id", "header"), "context_id").withColumn(
             "text", F.concat("header", body, F.when(F.col("is_last"), F.lit("\n")).otherwise(F.lit(""))))
         ch = ch.withColumn("chars", F.char_length("text").cast("long")).drop("ps", "header")
-    none = tree.where(~F.col("has_sel")).select(
+    none = contexts.select("context_id").join(hdr.select("context_id"), "context_id", "left_anti").select(
         "context_id", F.lit(1).alias("chunk_no"), F.lit(0).cast("long").alias("tokens"),
         F.lit(0).cast("long").alias("file_tokens"), F.lit(0).cast("long").alias("n_files"),
         F.lit(True).alias("is_last"),
