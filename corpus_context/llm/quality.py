@@ -33,8 +33,8 @@ from corpus_context.llm.linear import Sparse, fit_logistic, sigmoid
 SAMPLE, DIMENSIONS, RIDGE, ROUNDS = 10_000, 1 << 16, 1e-5, 1_500
 #: Rounds of expectation-maximisation.
 EM_ROUNDS = 200
-#: Prior accuracy of a labeller on good documents, and its strength as a multiple of the documents.
-RARELY, BELIEF = 0.995, 2.0
+#: Prior accuracy of a labeller on good documents, and its strength in documents, the same at every size.
+RARELY, BELIEF = 0.995, 50.0
 #: Accuracy on bad documents that the rounds start from.
 SEEN = 0.3
 LABELLERS = ("symbols", "capitals", "exclaims", "cells", "stutter", "lines", "variety", "sentences", "letters")
@@ -90,18 +90,18 @@ def estimate(patterns: list[str], counts: list[int], rounds: int = EM_ROUNDS):
 
     Labellers are taken as independent given the class and abstain regardless of it. Each looks for a
     fault of its own, so no two-class model can tell them by agreement alone: the start says that a bad
-    document shows a given fault seldom, the prior that a good one hardly ever does."""
+    document shows a given fault seldom, the prior that a good one hardly ever does. The prior weighs
+    :data:`BELIEF` documents, so that a labeller that often misfires on good ones is found out."""
     if not patterns:
         return np.empty(0), np.full(len(LABELLERS), 0.8), np.full(len(LABELLERS), 0.8), 0.5
     v = np.array([["bg-".index(c) for c in p] for p in patterns])
     good, bad, n = v == 1, v == 0, np.array(counts, float)
     on_good, on_bad, share = np.full(v.shape[1], RARELY), np.full(v.shape[1], SEEN), 0.9
-    belief = 10 + BELIEF * n.sum()
     for _ in range(rounds):
         odds = (np.log(share / (1 - share)) + good @ np.log(on_good / (1 - on_bad)) + bad @ np.log((1 - on_good) / on_bad))
         p = sigmoid(odds)
         w = n * p
-        on_good = ((w @ good + RARELY * belief) / (w @ (good | bad) + belief)).clip(0.5, 0.9999)
+        on_good = ((w @ good + RARELY * BELIEF) / (w @ (good | bad) + BELIEF)).clip(0.5, 0.9999)
         w = n * (1 - p)
         on_bad = ((w @ bad + 8) / (w @ (good | bad) + 10)).clip(0.05, 0.999)
         share = float(((n @ p + 1) / (n.sum() + 2)).clip(0.01, 0.99))

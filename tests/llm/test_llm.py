@@ -159,6 +159,19 @@ def test_em_recovers_accuracies():
     assert abs(share - 0.9) < 0.02 and np.abs(on_bad - 0.6).max() < 0.1 and on_good.min() > 0.98
 
 
+@pytest.mark.parametrize("on_good, on_bad, share", [
+    (np.linspace(0.7, 0.9, 9), 0.6, 0.8), (np.linspace(0.9, 0.7, 9), 0.5, 0.9), (np.r_[0.7, [0.99] * 8], 0.4, 0.9)])
+def test_em_finds_labellers_that_misfire_on_good_documents(on_good, on_bad, share):
+    """The prior says 0.995; the votes say otherwise, and outweigh it."""
+    rng = np.random.default_rng(1)
+    good = rng.random(20_000) < share
+    faults = np.where(good[:, None], rng.random((20_000, 9)) >= on_good, rng.random((20_000, 9)) < on_bad)
+    pats = Counter("".join("gb"[int(f)] for f in row) for row in faults)
+    _, found_good, found_bad, found_share = quality.estimate(list(pats), list(pats.values()))
+    assert np.abs(found_good - on_good).max() < 0.03 and np.abs(found_bad - on_bad).max() < 0.06
+    assert abs(found_share - share) < 0.03
+
+
 # 2 --------------------------------------------------------------------------------------------
 def test_exact_dedup_with_colliding_digests_and_several_batches(spark, docs, tmp_path, none):
     path = str(tmp_path / "d")
