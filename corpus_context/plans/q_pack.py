@@ -8,6 +8,7 @@ from corpus_context.functions import paths as P
 from corpus_context.functions import rules as R
 from corpus_context.functions import text as X
 from corpus_context.functions import tokens as TK
+from corpus_context.operators import lines as LN
 from corpus_context.operators import pack as PK
 from corpus_context.operators import scan as S
 from corpus_context.operators import selection as SEL
@@ -327,3 +328,80 @@ def q_conservation_check(spark, sf):
     chunks = PK.build_context_xml(f, mode="xml", limit=CHAR_LIMIT)
     parts = f.where(~R.binary_suffix("path", "xml")).select("context_id", X.render_part("path", X.strip_nuls("text"), style="xml", path="path").alias("part"))
     return PK.conservation_check(chunks, parts)
+
+
+@query("render_tree_lines", "R6 as ordered rows, J3 J1", with_views(f"""
+WITH {_tree_sql('sel_files')}
+SELECT context_id, CAST(0 AS BIGINT) AS ord, regexp_extract(root, '([^/]+)$', 1) || '/' AS line FROM ctx
+UNION ALL SELECT context_id, CAST(row_number() OVER (PARTITION BY context_id ORDER BY key) AS BIGINT), line FROM tl""", "ctx", "sel_files"))
+def q_render_tree_lines(spark, sf):
+    return LN.tree_lines(selected_files(spark, sf).select("context_id", "rel"), contexts(spark, sf))
+
+
+@query("render_tree_flat_lines", "R7 as ordered rows", with_views("""
+WITH f AS (SELECT context_id, regexp_extract(rel, '^(.*)/[^/]*$', 1) AS dir, regexp_extract(rel, '([^/]*)$', 1) AS name
+           FROM (SELECT DISTINCT context_id, rel FROM sel_files)),
+l AS (SELECT context_id, dir, 1 AS below, name,
+             CASE WHEN name = max(name) OVER (PARTITION BY context_id, dir) THEN '│   └── ' ELSE '│   ├── ' END || name AS line FROM f
+      UNION ALL
+      SELECT DISTINCT context_id, dir, 0, '', '├── ' || CASE WHEN dir = '' THEN '(root)' ELSE dir || '/' END FROM f)
+SELECT context_id, CAST(0 AS BIGINT) AS ord, 'Project: ' || regexp_extract(root, '([^/]+)$', 1) AS line FROM ctx
+UNION ALL SELECT context_id, CAST(row_number() OVER (PARTITION BY context_id ORDER BY dir, below, name) AS BIGINT), line FROM l""",
+                                                                       "ctx", "sel_files"))
+def q_render_tree_flat_lines(spark, sf):
+    return LN.tree_flat_lines(selected_files(spark, sf).select("context_id", "rel"), contexts(spark, sf))
+
+
+#: Files of which one in seven could not be read, for R10's error texts.
+_PANEL_SRC = """
+SELECT s.*, row_number() OVER (PARTITION BY context_id ORDER BY s.path) - 1 AS ord, coalesce(i.token_count, 0) AS token_count,
+       s.size % 7 = 3 AS lost,
+       regexp_replace(regexp_extract(regexp_extract(rel, '([^/]*)$', 1), '^\\.*[^.].*(\\.[^.]*)$', 1), '^\\.', '') AS ext
+FROM sel_files s LEFT JOIN items i ON i.path = s.path"""
+
+
+def _panel_parts(spark, sf, style):
+    from corpus_context.plans.q_scan import corpus_items
+
+    lost = F.col("size") % 7 == 3
+    f = selected_files(spark, sf).withColumn("error", F.when(lost, "denied")).withColumn("text", F.when(~lost, F.col("text")))
+    out = LN.panel_parts(f, corpus_items(spark, sf).where("not is_dir").select("path", "token_count"), style)
+    return out.select("context_id", "ord", "rel", "tokens", F.md5("part").alias("part_md5"))
+
+
+@query("context_panel_parts", "R10 as ordered rows, with item tokens and unreadable files; B14 R2 R3(panel) T4", with_views(f"""
+WITH p AS ({_PANEL_SRC})
+SELECT context_id, ord, rel, CAST(token_count AS BIGINT) AS tokens,
+       md5(rel || chr(10) || '```' || lower(ext) || chr(10)
+           || CASE WHEN size > 10485760 THEN '[File too large: ' || format('{{:,}}', size) || ' bytes - skipped for performance]'
+                   WHEN lost THEN '[Error reading file: denied]' ELSE replace(text, '```', '``·') END
+           || chr(10) || '```' || chr(10) || chr(10)) AS part_md5
+FROM p""", "sel_files", "items"))
+def q_context_panel_parts(spark, sf):
+    return _panel_parts(spark, sf, "panel")
+
+
+@query("context_line_parts", "R10 in its lines form, R3(lines) T4", with_views(f"""
+WITH p AS ({_PANEL_SRC})
+SELECT context_id, ord, rel, CAST(CASE WHEN lost THEN 0 ELSE token_count END AS BIGINT) AS tokens,
+       md5(CASE WHEN lost THEN '[Error reading ' || rel || ': denied]' || chr(10)
+                ELSE rel || chr(10) || '```' || ext || chr(10) || text || chr(10) || '```' || chr(10) END) AS part_md5
+FROM p""", "sel_files", "items"))
+def q_context_line_parts(spark, sf):
+    return _panel_parts(spark, sf, "lines")
+
+
+@query("chunk_files", "K1 A7 as files named aggregation_chunk_NN.md", _build_context_sql("""
+SELECT context_id, chunk_no, CAST(length(text) AS BIGINT) AS chars, md5(text) AS text_md5 FROM out WHERE text <> ''"""))
+def q_chunk_files(spark, sf):
+    """Write every chunk as a file of its own into the shared checkpoint folder and read the files back."""
+    import uuid
+
+    from corpus_context.session import scratch_path
+    from corpus_context.sinks.chunk_files import context_dir_name, read_chunk_files, write_chunk_files
+
+    out = scratch_path(spark, f"chunk-files-{uuid.uuid4().hex}")
+    ctx = contexts(spark, sf)
+    write_chunk_files(PK.build_context(selected_files(spark, sf), ctx, "chars4", TOKEN_LIMIT), out)
+    read = read_chunk_files(spark, out).join(ctx.select("context_id", context_dir_name("context_id").alias("ctx_dir")), "ctx_dir")
+    return read.select("context_id", "chunk_no", F.char_length("text").cast("long").alias("chars"), F.md5("text").alias("text_md5"))

@@ -47,7 +47,7 @@ def fs_event_source(spark: SparkSession, path: str, fmt: str = "parquet", max_fi
 def read_documents(spark: SparkSession, paths: list[str] | str, id_col: str | None = None) -> DataFrame:
     """Whole JSON documents from files -> (doc_id, json, is_valid); doc_id is the file's name without its extension, or
     the folder column ``id_col``; is_valid tells a JSON object from anything else, a cut or corrupt file included."""
-    files = spark.read.option("wholetext", True).text(paths)
+    files = spark.read.text(paths, wholetext=True)
     name = F.regexp_replace("_metadata.file_name", r"\.[^.]*$", "") if id_col is None else F.col(id_col).cast("string")
     d = files.select(name.alias("doc_id"), F.col("value").alias("json"))
     valid = F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json("json")), F.lit("OBJECT")), F.lit(False))

@@ -45,7 +45,7 @@ def test_documents_v0_v1_and_corrupt(spark, tmp_path):
     w = {"folder_path": "/a", "instructions": "x"}
     given = {"v0": {"one": w, "two": w}, "v1": {"schema_version": 1, "last_active_workspace": "one", "workspaces": {"one": w}}, "list": [1, 2]}
     for name, doc in given.items():
-        (tmp_path / f"{name}.json").write_text(json.dumps(doc))
+        (tmp_path / f"{name}.json").write_text(json.dumps(doc, indent=2))
     (tmp_path / "cut.json").write_text('{"one": {"folder_pa')
     (tmp_path / "empty.json").write_text(" ")
     docs = SF.read_documents(spark, str(tmp_path))

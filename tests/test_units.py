@@ -244,11 +244,11 @@ def test_apply_events_structure(spark):
 def test_chunk_text_objects(spark, tmp_path):
     from corpus_context.sinks.chunks import read_chunk_texts, read_chunks, write_chunks
 
-    ch = spark.createDataFrame([("ctx", 1, 5, 20, 1, "first chunk"), ("ctx", 2, 3, 12, 1, "second")],
+    ch = spark.createDataFrame([("ctx", 1, 5, 20, 1, "first\nchunk"), ("ctx", 2, 3, 12, 1, "second")],
                                "context_id string, chunk_no int, tokens long, chars long, n_files long, text string")
     write_chunks(ch, str(tmp_path / "out"), text_files=True)
     texts = {r["chunk"]: r["text"] for r in read_chunk_texts(spark, str(tmp_path / "out")).collect()}
-    assert texts == {"aggregation_chunk_01.md": "first chunk", "aggregation_chunk_02.md": "second"}
+    assert texts == {"aggregation_chunk_01.md": "first\nchunk", "aggregation_chunk_02.md": "second"}
     tot = read_chunks(spark, str(tmp_path / "out")).collect()[0]
     assert (tot["n_chunks"], tot["total_chars"]) == (2, 17)
 
