@@ -42,11 +42,11 @@ _RESULTS = {"posterior": T.DoubleType(), "score": T.DoubleType(), "keep": T.Bool
 _ENDS = re.compile(r"[.?](?:\s|$)")
 
 
-def _flags(word: str) -> tuple[bool, bool, bool, bool, bool]:
-    """Of a word: trailing sign clutter, all capitals, exclamations, table cell border, plain letters."""
+def _flags(word: str) -> int:
+    """Of a word, a bit each: trailing sign clutter, all capitals, exclamations, table cell border, plain letters."""
     core = word.strip(".,;:!?\"'()")
-    return (len(word) > 2 and sum(not c.isalnum() for c in word[-3:]) == 3, len(core) > 1 and core.isupper(),
-            word.endswith("!!"), word == "|", core.isalpha())
+    return ((len(word) > 2 and sum(not c.isalnum() for c in word[-3:]) == 3) | (len(core) > 1 and core.isupper()) << 1
+            | word.endswith("!!") << 2 | (word == "|") << 3 | core.isalpha() << 4)
 
 
 def _vote(value: float, good_below: float, bad_from: float) -> int:
@@ -59,7 +59,8 @@ def votes(text: str, flags: Memo) -> list[int]:
     n = len(words)
     if not n:
         return [-1] * len(LABELLERS)
-    clutter, capitals, exclaims, cells, letters = (sum(c) / n for c in zip(*map(flags.__getitem__, words)))
+    found = Counter(map(flags.__getitem__, words))
+    clutter, capitals, exclaims, cells, letters = (sum(c for f, c in found.items() if f >> k & 1) / n for k in range(5))
     stutter = sum(map(eq, words, words[1:])) / n
     lines = [x for x in text.split("\n") if x.strip()]
     repeated = 1 - len(set(lines)) / len(lines)
