@@ -146,22 +146,30 @@ def with_key(df: DataFrame, id_col: str) -> DataFrame:
     return cut_lineage(df.withColumn("_key", F.monotonically_increasing_id()))
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as the side of a join that is never broadcast. Spark sizes a table by its compressed files and takes an
+    explode for as many rows as went in, so that it may send millions of rows through the driver."""
+    return df.hint("merge")
+
+
+def counted(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` (already written) as the side of a join: broadcast up to ``bound`` rows, shuffled beyond, whatever Spark takes
+    its size for."""
+    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else shuffled(df)
+
+
 def keep_matching(df: DataFrame, keys: DataFrame, key: str, bound: int = BROADCAST_ROWS) -> DataFrame:
     """Rows of ``df`` whose ``key`` is in the one-column table ``keys`` (already written, distinct).
 
     Up to ``bound`` keys (counted) are broadcast, so the other rows are dropped before any
     shuffle; a larger key table is joined by a shuffle. Same rows either way.
     """
-    if keys.limit(bound + 1).count() <= bound:
-        keys = F.broadcast(keys)
-    return df.join(keys, key, "left_semi")
+    return df.join(counted(keys, bound), key, "left_semi")
 
 
 def drop_matching(df: DataFrame, keys: DataFrame, key: str, bound: int = BROADCAST_ROWS) -> DataFrame:
     """The complement of :func:`keep_matching`; rows with a null key stay."""
-    if keys.limit(bound + 1).count() <= bound:
-        keys = F.broadcast(keys)
-    return df.join(keys, key, "left_anti")
+    return df.join(counted(keys, bound), key, "left_anti")
 
 
 class Forest:
@@ -238,8 +246,7 @@ def components(edges: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     """
 
     def least(e: DataFrame) -> DataFrame:
-        low = cut_lineage(e.groupBy("a").agg(F.min("b").alias("m")))
-        return F.broadcast(low) if low.count() <= bound else low
+        return counted(cut_lineage(e.groupBy("a").agg(F.min("b").alias("m"))), bound)
 
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     edges = cut_lineage(edges.mapInArrow(releasing(_forests), "a long, b long").distinct())

@@ -32,8 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpus_context.llm.common import (Forest, Memo, components, cut_lineage, keep_matching, releasing, small_batches, texts_of,
-                                       whole_groups, with_key)
+from corpus_context.llm.common import (Forest, Memo, components, counted, cut_lineage, keep_matching, releasing, shuffled,
+                                       small_batches, texts_of, whole_groups, with_key)
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, BAND_VALUES = 32, 4
@@ -265,22 +265,22 @@ def _classes(keyed: DataFrame, text_col: str) -> DataFrame:
         F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.substring("sig", b * 8 + 1, F.lit(8)))).alias("band", "v")).select(
         F.xxhash64("band", "v").alias("group"), "rep")
     shared = bands.groupBy("group").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = bands.join(shared, "group").join(reps.select("rep", "sig"), "rep")
+    members = bands.join(shuffled(shared), "group").join(shuffled(reps.select("rep", "sig")), "rep")
     edges = _in_blocks(members, "size", BUCKET_BLOCK).mapInArrow(releasing(_candidate_forest), "a long, b long")
 
     groups = components(edges)
-    sizes = groups.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    groups = cut_lineage(groups.join(sizes, "label").join(reps.select(F.col("rep").alias("node"), "copies"), "node").select(
+    sizes = cut_lineage(groups.groupBy("label").agg(F.count(F.lit(1)).alias("size")))
+    groups = cut_lineage(groups.join(counted(sizes), "label").join(shuffled(reps.select(F.col("rep").alias("node"), "copies")), "node").select(
         F.col("node").alias("rep"), F.col("label").alias("group"), "size", "copies"))
     again = documents(keep_matching(texts, groups.select(F.col("rep").alias("_key")), "_key"), with_shingles=True)
-    full = again.select(F.col("_key").alias("rep"), "sig", "shingles").join(groups, "rep")
+    full = again.select(F.col("_key").alias("rep"), "sig", "shingles").join(counted(groups), "rep")
     found = cut_lineage(_in_blocks(full, "size", GROUP_BLOCK).mapInArrow(releasing(_verified), "rep long, links long, root long"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     labels = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
 
-    by_set = reps.select("set_id", "rep", "copies").join(links, "rep", "left").join(
-        labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
-    of = sigs.where("n > 0").select("_key", "set_id").join(by_set, "set_id").select(
+    by_set = reps.select("set_id", "rep", "copies").join(shuffled(links), "rep", "left").join(
+        shuffled(labels.select(F.col("node").alias("rep"), "label")), "rep", "left")
+    of = sigs.where("n > 0").select("_key", "set_id").join(shuffled(by_set), "set_id").select(
         "_key", F.coalesce("label", "rep").alias("class_id"),
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     return keyed.join(of.withColumnsRenamed({"class_id": "_class", "n_links": "_links"}), "_key", "left").withColumns({
@@ -295,6 +295,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = found.withColumn("_id", F.col("_class"))
     else:
         found = cut_lineage(found)
-        found = found.join(found.groupBy("_class").agg(F.min(id_col).alias("_id")), "_class")
+        found = found.join(counted(cut_lineage(found.groupBy("_class").agg(F.min(id_col).alias("_id")))), "_class")
     kept = [f"`{c}`" for c in docs.columns if c.lower() not in ("class_id", "n_links")]
     return found.select(*kept, F.col("_id").alias("class_id"), F.col("_links").alias("n_links"))
