@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpus_context.llm.common import cut_lineage, drop_matching, keep_matching, releasing, small_batches, whole_groups, with_key
+from corpus_context.llm.common import (cut_lineage, drop_matching, keep_matching, releasing, shuffled, small_batches, whole_groups,
+                                       with_key)
 from corpus_context.llm.jaccard_join import _mix
 
 LENGTH, GRAM = 200, 64
@@ -214,14 +215,14 @@ def repeated_spans(texts: DataFrame, hot: int = HOT) -> DataFrame:
     left = cut_lineage(parsed.join(first, "sym"))
     kinds = cut_lineage(left.groupBy("sym", "around").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("_key", "pos", "lo", "hi")).alias("one")))
-    settled = left.join(kinds.where("n > 1").select("sym", "around"), ["sym", "around"]).select(
+    settled = left.join(shuffled(kinds.where("n > 1").select("sym", "around")), ["sym", "around"]).select(
         "_key", (F.col("pos") - F.col("hi")).alias("start"), (F.col("pos") - F.col("lo") + LENGTH).alias("end"))
 
     several = kinds.groupBy("sym").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     open_ = kinds.join(several, "sym").select("sym", "n", "one.*", (F.col("kinds") > hot).alias("hot"))
     lists = cut_lineage(open_.groupBy("_key").agg(
         F.collect_list(F.struct("sym", "n", "pos", "lo", "hi")).alias("found"), F.max("hot").alias("hot")))
-    around = keep_matching(texts, lists.select("_key"), "_key").join(lists, "_key").select("_key", "raw", "found").mapInArrow(
+    around = keep_matching(texts, lists.select("_key"), "_key").join(shuffled(lists), "_key").select("_key", "raw", "found").mapInArrow(
         releasing(_surroundings), _AROUND)
     if lists.where("hot").isEmpty():
         refined = around.repartition("sym").sortWithinPartitions("sym").mapInArrow(releasing(_refine), "_key long, start long, end long")
@@ -266,7 +267,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ids = lists.select("_key")
     whole = drop_matching(rows, ids, "_key").withColumns(
         {"spans": F.array().cast(_SPANS), "kept": F.col("raw")}).drop("raw", "_key")
-    touched = keep_matching(rows, ids, "_key").join(lists, "_key")
+    touched = keep_matching(rows, ids, "_key").join(shuffled(lists), "_key")
     fields = [f for f in touched.schema.fields if f.name not in ("raw", "found")]
     cut = touched.mapInArrow(releasing(_cut), T.StructType([*fields, *T.StructType.fromDDL(f"spans {_SPANS}, kept binary").fields]))
     return whole.unionByName(cut.drop("_key"))

@@ -39,3 +39,14 @@ def test_sides_are_broadcast_by_their_rows_alone(spark, tmp_path):
         for bound, kind in ((100, "BroadcastHashJoin"), (99, "SortMergeJoin")):
             out = join(rows, keys, "id", bound)
             assert kind in plan(out) and [r.id for r in out.orderBy("id").collect()] == list(want)
+
+
+def test_lists_of_repeats_are_not_broadcast(spark):
+    """Their rows are as long as a document has repeats, and their files a seventh of that."""
+    r = random.Random(5)
+    passage = "".join(r.choices("abcdef ", k=300))
+    texts = ["".join(r.choices("abcdef ", k=249)) + chr(65 + k) + passage * (k % 3) for k in range(12)]
+    out = bwt_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert "Inner, Build" not in plan(out) and "SortMergeJoin" in plan(out)
+    kept = {x.doc_id: bytes(x.kept).decode() for x in out.collect()}
+    assert kept == {k: t[:250] for k, t in enumerate(texts)}
